@@ -78,21 +78,21 @@ def mix64(h: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Numbers words in a worker and keeps their 64-bit hashes; starts anew when it holds too many."""
 
-    def __init__(self, most: int = 300_000, most_bytes: int = 32_000_000):
+    def __init__(self, most: int = 300_000, most_bytes: int = 16_000_000):
         self.most, self.most_bytes = most, most_bytes
         self._clear()
 
     def _clear(self) -> None:
         self.ids: dict[bytes, int] = defaultdict(count().__next__)
-        self.hashes, self.known = np.zeros(1024, np.uint64), 0
+        self.hashes, self.known, self.weighed, self.bytes = np.zeros(1024, np.uint64), 0, 0, 0
 
     def number(self, words: list[bytes]) -> np.ndarray:
         """Ids of the words, equal for equal words until the next ``trim``."""
         return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
 
-    def hashed(self, words: list[bytes]) -> np.ndarray:
-        """64-bit hashes of the words."""
-        ids = self.number(words)
+    def hashed(self, words: list[bytes], ids: np.ndarray | None = None) -> np.ndarray:
+        """64-bit hashes of the words; ``ids``: what ``number`` has just given for them."""
+        ids = self.number(words) if ids is None else ids
         if (n := len(self.ids)) > self.known:
             if n > len(self.hashes):
                 self.hashes = np.concatenate([self.hashes[: self.known], np.zeros(max(n, 2 * self.known) - self.known, np.uint64)])
@@ -100,12 +100,14 @@ class Vocabulary:
             new = list(self.ids)[self.known :] if n - self.known > 4096 else _last(self.ids, n - self.known)
             self.hashes[self.known : n] = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
             self.known = n
-        out = self.hashes[ids]
-        self.trim(sum(map(len, words)) if len(words) and len(words[0]) > 1 << 20 else 0)
-        return out
-
-    def trim(self, new_bytes: int = 0) -> None:
-        if len(self.ids) > self.most or new_bytes > self.most_bytes:
+        return self.hashes[ids]
+
+    def trim(self) -> None:
+        """Call between texts: starts anew if there are too many words, or too many bytes of long words."""
+        for w in _last(self.ids, max(0, len(self.ids) - self.weighed)):
+            self.bytes += len(w)
+        self.weighed = len(self.ids)
+        if len(self.ids) > self.most or self.bytes > self.most_bytes:
             self._clear()
 
 

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from mentionloom.llm.mixing import op7_source_mixing
+from mentionloom.llm.pii import op3_pii
+from mentionloom.llm.quality import op2_quality_rules
 from mentionloom.llm.sharding import op1_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_quality_rules": op2_quality_rules,
+        "op3_pii": op3_pii,
         "op7_source_mixing": op7_source_mixing,
     }
 
