@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mentionloom.llm.langid import op4_language_id
 from mentionloom.llm.mixing import op7_source_mixing
+from mentionloom.llm.packing import op5_best_fit_packing
 from mentionloom.llm.pii import op3_pii
 from mentionloom.llm.quality import op2_quality_rules
 from mentionloom.llm.sharding import op1_sharding
@@ -17,6 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op2_quality_rules": op2_quality_rules,
         "op3_pii": op3_pii,
+        "op4_language_id": op4_language_id,
+        "op5_best_fit_packing": op5_best_fit_packing,
         "op7_source_mixing": op7_source_mixing,
     }
 
