@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mentionloom.llm.embeddings import op6_embedding_near_dedup
 from mentionloom.llm.langid import op4_language_id
 from mentionloom.llm.mixing import op7_source_mixing
 from mentionloom.llm.packing import op5_best_fit_packing
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pii": op3_pii,
         "op4_language_id": op4_language_id,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op7_source_mixing": op7_source_mixing,
     }
 
