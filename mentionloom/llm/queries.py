@@ -14,6 +14,7 @@ from mentionloom.llm.pii import op3_pii
 from mentionloom.llm.quality import op2_quality_rules
 from mentionloom.llm.sharding import op1_sharding
 from mentionloom.llm.shingles import op10_ngram_jaccard_join
+from mentionloom.llm.tokenfiles import op9_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op7_source_mixing": op7_source_mixing,
+        "op9_token_files": op9_token_files,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
 
