@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mentionloom.llm.embeddings import op6_embedding_near_dedup
 from mentionloom.llm.langid import op4_language_id
+from mentionloom.llm.lm import op8_lm_scoring
 from mentionloom.llm.mixing import op7_source_mixing
 from mentionloom.llm.packing import op5_best_fit_packing
 from mentionloom.llm.pii import op3_pii
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op7_source_mixing": op7_source_mixing,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_token_files": op9_token_files,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
