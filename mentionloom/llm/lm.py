@@ -35,11 +35,14 @@ END, START = b"", b" "
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    """Compressed, first bytes of all numbers first: high bytes are mostly zero, and cost next to nothing together."""
+    x = np.ascontiguousarray(x).ravel()
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
 
 
 def _unpack(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 def batches_of(rows: DataFrame) -> DataFrame:
@@ -52,6 +55,12 @@ def batches_of(rows: DataFrame) -> DataFrame:
         def row():
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids))
             tokens = np.concatenate(texts)
+            # frequent words get small numbers; the two stand-ins keep theirs
+            often = np.bincount(tokens, minlength=len(ids))
+            by = np.concatenate([[0, 1], 2 + np.argsort(-often[2:], kind="stable")])
+            place = np.empty(len(by), np.int64)
+            place[by] = np.arange(len(by))
+            tokens, hashes = place[tokens], hashes[by]
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
             seen = np.repeat(~np.array(held, bool), lengths)
             counts = np.bincount(tokens[seen], minlength=len(ids)).astype(np.uint32)
@@ -88,7 +97,7 @@ def batches_of(rows: DataFrame) -> DataFrame:
 
 
 def word_shards(made: DataFrame, shards: int) -> DataFrame:
-    """Answers (batch, shard, counts, ids) to the batches' words in the order of their numbers, and sums (n, v) of each shard."""
+    """Answers (batch, numbers, counts, ids) to the batches' words, and sums (n, v) of each shard."""
 
     def ask(batches):
         for b in batches:
@@ -99,13 +108,13 @@ def word_shards(made: DataFrame, shards: int) -> DataFrame:
                 ends = np.searchsorted(to[by], np.arange(shards + 1))
                 at = [by[ends[i] : ends[i + 1]] for i in range(shards)]
                 used = [i for i in range(shards) if len(at[i])]
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([batch] * len(used), pa.int64()), pa.array([h[at[i]].tobytes() for i in used], pa.binary()), pa.array([_pack(c[at[i]]) for i in used], pa.binary())], names=["shard", "batch", "words", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([batch] * len(used), pa.int64()), pa.array([_pack(h[at[i]]) for i in used], pa.binary()), pa.array([_pack(c[at[i]]) for i in used], pa.binary()), pa.array([_pack(np.diff(at[i], prepend=0)) for i in used], pa.binary())], names=["shard", "batch", "words", "counts", "numbers"])
 
     start = np.uint64(xxhash.xxh3_64_intdigest(START))
 
     def answer(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
-        words = [np.frombuffer(x, np.uint64) for x in table["words"].to_pylist()]
+        words = [_unpack(x, np.uint64) for x in table["words"].to_pylist()]
         h, c = np.concatenate(words), np.concatenate([_unpack(x, np.uint32) for x in table["counts"].to_pylist()]).astype(np.int64)
         unique, inverse = np.unique(h, return_inverse=True)
         total = np.bincount(inverse, c, len(unique)).astype(np.int64)
@@ -118,10 +127,11 @@ def word_shards(made: DataFrame, shards: int) -> DataFrame:
         n = table.num_rows
         none = pa.nulls(n, pa.int64())
         parts = [(_pack(counts[s:e].astype(np.uint64)), _pack(ids[s:e].astype(np.uint64))) for s, e in zip(edges, edges[1:], strict=False)]
-        return pa.table([pa.concat_arrays([table["batch"].combine_chunks(), pa.nulls(1, pa.int64())]), pa.array([shard] * (n + 1), pa.int32()), pa.array([x for x, _ in parts] + [None], pa.binary()), pa.array([x for _, x in parts] + [None], pa.binary()), pa.concat_arrays([none, pa.array([int(counted.sum())])]), pa.concat_arrays([none, pa.array([int((counted > 0).sum())])])], names=["batch", "shard", "counts", "ids", "n", "v"])
+        numbers = pa.concat_arrays([table["numbers"].combine_chunks(), pa.nulls(1, pa.binary())])
+        return pa.table([pa.concat_arrays([table["batch"].combine_chunks(), pa.nulls(1, pa.int64())]), numbers, pa.array([x for x, _ in parts] + [None], pa.binary()), pa.array([x for _, x in parts] + [None], pa.binary()), pa.concat_arrays([none, pa.array([int(counted.sum())])]), pa.concat_arrays([none, pa.array([int((counted > 0).sum())])])], names=["batch", "numbers", "counts", "ids", "n", "v"])
 
-    asked = made.select("batch", "words", "counts").mapInArrow(ask, "shard int, batch long, words binary, counts binary")
-    return asked.groupBy("shard").applyInArrow(answer, "batch long, shard int, counts binary, ids binary, n long, v long")
+    asked = made.select("batch", "words", "counts").mapInArrow(ask, "shard int, batch long, words binary, counts binary, numbers binary")
+    return asked.groupBy("shard").applyInArrow(answer, "batch long, numbers binary, counts binary, ids binary, n long, v long")
 
 
 class Batch:
@@ -129,16 +139,11 @@ class Batch:
 
     def __init__(self, row: dict, shards: int):
         self.shards = shards
-        h = _unpack(row["words"], np.uint64)
-        to = (h % np.uint64(shards)).astype(np.int64)
-        self.counts, self.ids = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-        for a in row["answers"]:
-            at = np.flatnonzero(to == a["shard"]) if shards < 64 else None
-            if at is None:
-                by = self.__dict__.setdefault("_by", np.argsort(to, kind="stable"))
-                ends = self.__dict__.setdefault("_ends", np.searchsorted(to[by], np.arange(shards + 1)))
-                at = by[ends[a["shard"]] : ends[a["shard"] + 1]]
-            self.counts[at], self.ids[at] = _unpack(a["counts"], np.uint64), _unpack(a["ids"], np.uint64)
+        answers = [(np.cumsum(_unpack(a["numbers"], np.int64)), a) for a in row["answers"]]
+        size = sum(len(n) for n, _ in answers)
+        self.counts, self.ids = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for n, a in answers:
+            self.counts[n], self.ids[n] = _unpack(a["counts"], np.uint64), _unpack(a["ids"], np.uint64)
         self.tokens, self.lengths = _unpack(row["tokens"], np.uint32).astype(np.int64), _unpack(row["lengths"], np.int64)
         self.firsts = np.cumsum(self.lengths) - self.lengths
         context = np.empty_like(self.tokens)
@@ -147,10 +152,10 @@ class Batch:
         self.held = np.array(row["held_out"], bool)
         # pairs by the ids of context and word
         order = np.argsort(self.ids)
-        place = np.empty(len(h), np.int64)
-        place[order] = np.arange(len(h))
-        pairs, self.inverse = np.unique(place[context] * len(h) + place[self.tokens], return_inverse=True)
-        self.context, self.word = order[pairs // len(h)], order[pairs % len(h)]
+        place = np.empty(size, np.int64)
+        place[order] = np.arange(size)
+        pairs, self.inverse = np.unique(place[context] * size + place[self.tokens], return_inverse=True)
+        self.context, self.word = order[pairs // size], order[pairs % size]
         self.trained = np.bincount(self.inverse[np.repeat(~self.held, self.lengths)], minlength=len(pairs))
 
     def dealt(self, total: int) -> list[np.ndarray]:
@@ -258,8 +263,8 @@ def katz_scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
     made = written(batches_of(rows), "lm-batches")
     words = written(word_shards(made, shards), "lm-words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    told = words.filter("batch is not null").groupBy("batch").agg(F.collect_list(F.struct("shard", "counts", "ids")).alias("answers"))
-    joined = made.drop("counts").join(told, "batch")
+    told = words.filter("batch is not null").groupBy("batch").agg(F.collect_list(F.struct("numbers", "counts", "ids")).alias("answers"))
+    joined = made.drop("counts", "words").join(told, "batch")
     pairs = written(pair_shards(joined.drop("keys"), shards, total, distinct), "lm-pairs")
     fields = [f"n{r}" for r in range(1, LARGE + 1)]
     # at most HOT rows, and one

@@ -320,20 +320,19 @@ class Encoder:
     def _new(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, and how many each has. Long strings of words with a special token between them cost least;
         words that hold one themselves are encoded alone."""
-        plain = [i for i, w in enumerate(words) if self.between.encode() not in w]
-        out: list[np.ndarray | None] = [None] * len(words)
-        strings = [self.between.join([words[i].decode("utf-8", "surrogatepass") for i in plain[k : k + 500]]) for k in range(0, len(plain), 500)]
-        for k, e in enumerate(self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)):
-            ids = np.array(e.ids, np.int64)
-            cuts = np.flatnonzero(ids == self.between_id)
-            for i, part in zip(plain[500 * k : 500 * k + 500], np.split(ids, cuts), strict=True):
-                out[i] = part
-            for i in plain[500 * k + 1 : 500 * k + 500]:
-                out[i] = out[i][1:]
-        for i, part in enumerate(out):
-            if part is None:
-                out[i] = np.array(self.tokenizer.encode(words[i].decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, np.int64)
-        return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
+        odd = {i for i, w in enumerate(words) if self.between.encode() in w}
+        plain = [w for i, w in enumerate(words) if i not in odd] if odd else words
+        strings = [self.between.join(b"\n".join(plain[k : k + 500]).decode("utf-8", "surrogatepass").split("\n")) for k in range(0, len(plain), 500)]
+        found = [np.array([*e.ids, self.between_id], np.int64) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+        ends = np.flatnonzero(flat == self.between_id)
+        flat, length = np.delete(flat, ends), np.diff(ends, prepend=-1) - 1
+        if odd:
+            parts, starts = iter(np.split(flat, np.cumsum(length)[:-1])), []
+            for i, w in enumerate(words):
+                starts.append(np.array(self.tokenizer.encode(w.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, np.int64) if i in odd else next(parts))
+            flat, length = np.concatenate(starts), np.fromiter(map(len, starts), np.int64, len(starts))
+        return flat, length
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many of them each text has."""
