@@ -17,6 +17,8 @@ import os
 import struct
 import uuid
 import zlib
+from collections import defaultdict
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,11 @@ from mentionloom.llm.common import input_bytes, shared_dir, small_batches, writt
 
 MAGIC, HEAD = b"MLT1", struct.Struct("<4s5I")
 #: Ids of a block at most, and blocks that are coded side by side; a segment holds no more.
-BLOCK, LANES = 2048, 2048
+BLOCK, LANES = 1024, 2048
 #: Slots of the order-2 and order-1 tables of a block.
 SLOTS = 1024
 #: The order-0 counts and the shares are renewed after so many ids of a block.
-RENEW = (16, 32, 64, 128, 256, 512, 1024, 1536)
+RENEW = (16, 32, 64, 128, 256, 512)
 #: Most times in a row that count, weight of an outcome that happened, and most of all weights together.
 SURE, STEP, FULL = 3, 16, 3500
 #: Intervals have 48 bits and give off 16 at a time; narrower ones than SMALL are cut to end at a border.
@@ -79,23 +81,57 @@ def _slots(before1: np.ndarray, before2: np.ndarray) -> tuple[np.ndarray, np.nda
 def _followed(slot: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What an order's table says before each id, for all blocks at once (a row a block): the id that followed last
     in the same slot (-1: none), and how often it has held in a row, 1 to SURE (0: none)."""
-    n = ids.size
-    key = (np.arange(len(ids))[:, None] * SLOTS + slot).ravel()
-    order = np.argsort(key, kind="stable")
-    k, x = key[order], ids.ravel()[order].astype(np.int32)
-    again = np.zeros(n, bool)
-    again[1:] = k[1:] == k[:-1]
-    hit = np.zeros(n, bool)
-    hit[1:] = again[1:] & (x[1:] == x[:-1])
+    lanes, length = ids.shape
+    # narrow numbers, row by row: a sort in linear time
+    order = np.argsort(slot.astype(np.uint16), axis=1, kind="stable").astype(np.int32)
+    order += (np.arange(lanes, dtype=np.int32) * length)[:, None]
+    order = order.ravel()
+    k, x = slot.ravel().take(order), ids.ravel().take(order)
+    again = np.empty(len(k), bool)
+    again[0] = False
+    np.equal(k[1:], k[:-1], out=again[1:])
+    again[::length] = False
+    hit = np.zeros(len(k), bool)
+    np.logical_and(again[1:], x[1:] == x[:-1], out=hit[1:])
     # ids in a row that were as said: places since the last miss
-    place = np.arange(n)
-    sure_after = np.minimum(SURE, 1 + place - np.maximum.accumulate(np.where(hit, 0, place)))
-    said, sure = np.full(n, -1, np.int32), np.zeros(n, np.int32)
-    said[order[1:]] = np.where(again[1:], x[:-1], -1)
-    sure[order[1:]] = np.where(again[1:], sure_after[:-1], 0)
+    place = np.arange(len(k), dtype=np.int32)
+    since = place - np.maximum.accumulate(np.where(hit, np.int32(0), place))
+    said, sure = np.full(len(k), -1, np.int32), np.zeros(len(k), np.int32)
+    known = np.flatnonzero(again)
+    to = order[known]
+    said[to] = x[known - 1]
+    sure[to] = np.minimum(SURE, 1 + since[known - 1])
     return said.reshape(ids.shape), sure.reshape(ids.shape)
 
 
+class _Ranks:
+    """Of all ids of each block: how many of its first ids are smaller, and how many are equal."""
+
+    def __init__(self, ids: np.ndarray):
+        self.order = np.argsort(ids.astype(np.uint16), axis=1, kind="stable").astype(np.int32)
+        x = np.take_along_axis(ids, self.order, 1)
+        new = np.ones(ids.shape, bool)
+        np.not_equal(x[:, 1:], x[:, :-1], out=new[:, 1:])
+        place = np.arange(ids.shape[1], dtype=np.int32)
+        self.start = np.maximum.accumulate(np.where(new, place, np.int32(0)), axis=1)
+        end = np.full(ids.shape, ids.shape[1], np.int32)
+        end[:, :-1] = np.where(new[:, 1:], place[1:], np.int32(ids.shape[1]))
+        self.end = np.minimum.accumulate(end[:, ::-1], axis=1)[:, ::-1]
+
+    def among(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the ids from ``begin`` to ``end``, among the first ``begin`` ones: numbers of smaller and of equal ids."""
+        lanes, length = self.order.shape
+        upto = np.zeros((lanes, length + 1), np.int32)
+        np.cumsum(self.order < begin, axis=1, out=upto[:, 1:])
+        row, col = np.nonzero((self.order >= begin) & (self.order < end))
+        first = upto[row, self.start[row, col]]
+        count = upto[row, self.end[row, col]] - first
+        out = np.zeros((2, lanes, end - begin), np.int32)
+        at = self.order[row, col] - begin
+        out[0, row, at], out[1, row, at] = first, count
+        return out[0], out[1]
+
+
 def _periods(block: int) -> list[tuple[int, int]]:
     edges = [0, *[r for r in RENEW if r < block], block]
     return list(zip(edges, edges[1:], strict=False))
@@ -113,25 +149,22 @@ def encode_blocks(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     blocks, rest = _active(len(ids), block)
     if not blocks:
         return np.zeros(0, np.uint16), np.zeros(0, np.int64)
-    known = np.zeros((blocks, block), np.int64)
+    known = np.zeros((blocks, block), np.int32)
     known.reshape(-1)[: len(ids)] = ids
     before1, before2 = np.zeros_like(known), np.zeros_like(known)
     before1[:, 1:], before2[:, 2:] = known[:, :-1], known[:, :-2]
-    slot1, slot2 = _slots(before1, before2)
+    slot1, slot2 = _slots(before1.astype(np.int64), before2.astype(np.int64))
     (p1, s1), (p2, s2) = _followed(slot1, known), _followed(slot2, known)
     states = (s2 << 3) + (s1 << 1) + ((p1 == p2) & (p1 >= 0)) + (np.arange(blocks, dtype=np.int32) << 5)[:, None]
+    del before1, before2, slot1, slot2, s1, s2
+    ranks = _Ranks(known)
     shares, every = Shares(blocks), np.arange(blocks)
     low, width = np.zeros(blocks, np.int64), np.full(blocks, WINDOW, np.int64)
     out_lane, out_word = [], []
     for begin, end in _periods(block):
         x, state = known[:, begin:end], states[:, begin:end]
         if begin:
-            past = np.sort(known[:, :begin], axis=1, kind="stable")
-            keys = (past + (every[:, None] << 17)).ravel()
-            asked = (x + (every[:, None] << 17)).ravel()
-            left = np.searchsorted(keys, asked)
-            count = (np.searchsorted(keys, asked, side="right") - left).reshape(x.shape)
-            first = left.reshape(x.shape) - every[:, None] * begin
+            first, count = ranks.among(begin, end)
         else:
             first = count = np.zeros_like(x)
         outcome = np.where(p2[:, begin:end] == x, 0, np.where(p1[:, begin:end] == x, 1, np.where(count > 0, 2, 3)))
@@ -301,60 +334,99 @@ def read_segments(file):
 
 
 class Encoder:
-    """Ids by the tokenizers library. For a vocabulary that drops white space between words (the file's pre-tokenizer
-    does) a text's ids are those of its words, so each distinct word is encoded once."""
+    """Ids by the tokenizers library. For a vocabulary that lower-cases and drops white space between words, as the
+    file's normaliser and pre-tokenizer do, a text's ids are those of its words, so each distinct word is encoded once;
+    a full stop or comma after an ASCII letter is a piece of its own, so it is cut off first."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         # any special token will do as a border
         self.between_id, self.between = next((i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special)
+        self.tails = {c: self._alone(bytes([c])) for c in b".,"}
         self._clear()
 
+    def _alone(self, word: bytes) -> list[int]:
+        return self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
+
     def _clear(self) -> None:
-        self.row: dict[bytes, int] = {}
-        self.flat, self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _new(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words, and how many each has. Long strings of words with a special token between them cost least;
-        words that hold one themselves are encoded alone."""
-        odd = {i for i, w in enumerate(words) if self.between.encode() in w}
-        plain = [w for i, w in enumerate(words) if i not in odd] if odd else words
+        self.row: dict[bytes, int] = defaultdict(count().__next__)
+        self.stem: dict[bytes, int] = defaultdict(count().__next__)
+        #: Ids of all stems; and of each word: its stem's place there, its number of ids, and the id of its cut-off sign.
+        self.flat, self.stem_start, self.stem_length = (np.zeros(0, np.int64) for _ in range(3))
+        self.start, self.length, self.tail = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _stems(self, stems: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stems one after the other, and how many each has. Long strings with a special token between the stems
+        cost least; a stem that holds one itself is encoded alone."""
+        odd = {i for i, w in enumerate(stems) if b"<" in w and any(x in w for x in self.special)}
+        plain = [w for i, w in enumerate(stems) if i not in odd] if odd else stems
         strings = [self.between.join(b"\n".join(plain[k : k + 500]).decode("utf-8", "surrogatepass").split("\n")) for k in range(0, len(plain), 500)]
         found = [np.array([*e.ids, self.between_id], np.int64) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
         flat = np.concatenate(found) if found else np.zeros(0, np.int64)
         ends = np.flatnonzero(flat == self.between_id)
         flat, length = np.delete(flat, ends), np.diff(ends, prepend=-1) - 1
         if odd:
-            parts, starts = iter(np.split(flat, np.cumsum(length)[:-1])), []
-            for i, w in enumerate(words):
-                starts.append(np.array(self.tokenizer.encode(w.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, np.int64) if i in odd else next(parts))
-            flat, length = np.concatenate(starts), np.fromiter(map(len, starts), np.int64, len(starts))
+            parts, out = iter(np.split(flat, np.cumsum(length)[:-1])), []
+            for i, w in enumerate(stems):
+                out.append(np.array(self._alone(w), np.int64) if i in odd else next(parts))
+            flat, length = np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
         return flat, length
 
+    def _learn(self, words: list[bytes]) -> None:
+        known = len(self.stem)
+        stems, tails = [], []
+        for w in words:
+            cut = len(w) > 1 and w[-1] in self.tails and 97 <= w[-2] <= 122 and len(self.tails[w[-1]]) == 1
+            stems.append(self.stem[w[:-1] if cut else w])
+            tails.append(self.tails[w[-1]][0] if cut else -1)
+        new = list(islice(reversed(self.stem), len(self.stem) - known))[::-1]
+        if new:
+            flat, length = self._stems(new)
+            self.stem_start = np.concatenate([self.stem_start, len(self.flat) + np.cumsum(length) - length])
+            self.stem_length, self.flat = np.concatenate([self.stem_length, length]), np.concatenate([self.flat, flat])
+        stems, tails = np.array(stems, np.int64), np.array(tails, np.int64)
+        self.start = np.concatenate([self.start, self.stem_start[stems]])
+        self.length = np.concatenate([self.length, self.stem_length[stems] + (tails >= 0)])
+        self.tail = np.concatenate([self.tail, tails])
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many of them each text has."""
         if len(self.row) > self.most or len(self.flat) > 8 * self.most:
             self._clear()
-        words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        if new := list({w for ws in words for w in ws if w not in self.row}):
-            self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
-            flat, length = self._new(new)
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
-            self.length = np.concatenate([self.length, length])
-            self.flat = np.concatenate([self.flat, flat])
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        # special tokens are told apart by case
+        words = [(x if b"<|" in x else x.lower()).split() for x in raw]
         counts = np.fromiter(map(len, words), np.int64, len(words))
-        rows = np.fromiter((r for ws in words for r in map(self.row.__getitem__, ws)), np.int64, int(counts.sum()))
-        length = self.length[rows]
+        known = len(self.row)
+        rows = np.fromiter(map(self.row.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        if len(self.row) > known:
+            self._learn(list(islice(reversed(self.row), len(self.row) - known))[::-1])
+        length, tail = self.length[rows], self.tail[rows]
         ends = np.cumsum(length)
-        ids = self.flat[np.repeat(self.start[rows] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+        at = np.repeat(self.start[rows] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+        # the place of a cut-off sign is one beyond its stem
+        ids = self.flat.take(at, mode="clip") if len(self.flat) else np.zeros(0, np.int64)
+        cut = np.flatnonzero(tail >= 0)
+        ids[ends[cut] - 1] = tail[cut]
         upto = np.concatenate([[0], ends])
         edges = np.concatenate([[0], np.cumsum(counts)])
         return ids, np.diff(upto[edges])
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder a worker: what it has learnt serves the worker's later tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def _with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
     return np.insert(ids, np.cumsum(counts), end)
 
@@ -372,7 +444,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = 2, key
     ordered = rows.repartitionByRange(n, F.col("key"), F.xxhash64("text")).sortWithinPartitions(F.col("key"), F.xxhash64("text"))
 
     def write(batches):
-        encoder = Encoder(tokenizer)
+        encode = encoder(tokenizer).encode
         fs, at = pyarrow.fs.FileSystem.from_uri(folder)
         part = TaskContext.get().partitionId()
         name, file, documents, total = f"part-{part:06d}-{uuid.uuid4().hex}.tok", None, 0, 0
@@ -389,7 +461,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = 2, key
 
         for b in batches:
             keys = b.column(0)
-            ids, counts = encoder.encode(b.column(1).to_pylist())
+            ids, counts = encode(b.column(1).to_pylist())
             held.append((keys.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(keys.is_null()), counts + 1, _with_end(ids, counts, end)))
             documents, total, size = documents + len(keys), total + len(held[-1][3]), size + len(held[-1][3])
             if size >= BLOCK * LANES:
