@@ -88,7 +88,7 @@ def features(raw: bytes, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     index = np.concatenate(families).astype(np.int64)
     value = np.concatenate([np.full(len(h), 1.0 / len(h)) for h in families])
     unique, inverse = np.unique(index, return_inverse=True)
-    return unique, np.bincount(inverse, value)
+    return unique.astype(np.int32), np.bincount(inverse, value).astype(np.float32)
 
 
 @dataclass

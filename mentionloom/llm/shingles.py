@@ -12,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ LEAVES = (8, 1024)
 FREQUENT = 1 << 18
 #: Shingles that a task sorts at once, and the share of their documents from which one is counted as frequent.
 FLUSH, SHARE = 2_000_000, 1 / 500
+#: Bits of a hash that a sketch counts by.
+SKETCH = 9
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,6 +50,13 @@ def print_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
 
 
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """Numbers of shingles by the top bits of their hashes. The distance of two sketches, term by term, is at most the
+    size of the sets' symmetric difference, which a link allows to be (na + nb) / 7."""
+    counts = np.bincount((shingles >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH)
+    return zstandard.ZstdCompressor(level=1).compress(np.minimum(counts, 255).astype(np.uint8).tobytes())
+
+
 def prefix_length(n: int) -> int:
     """So many shingles in the common order hold one that any partner of a set of n has as well."""
     return n - (3 * n + 3) // 4 + 1
@@ -63,7 +73,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def summaries(rows: DataFrame) -> DataFrame:
-    """From key, text: one row a document (key, n, fp), and rows of locally frequent shingles (hash, count, low, low_n);
+    """From key, text: one row a document (key, n, fp, sketch), and rows of locally frequent shingles (hash, count, low, low_n);
     low is the smallest fingerprint of a set that has the shingle. A set counts once in a task, however often it comes."""
 
     def work(batches):
@@ -80,28 +90,28 @@ def summaries(rows: DataFrame) -> DataFrame:
                 often = np.flatnonzero(count >= max(4, SHARE * len(held)))
                 low = [o[fps[o].argmin()] for o in (owner[order[starts[i] : starts[i] + count[i]]] for i in often)]
                 none = pa.nulls(len(often), kind)
-                yield pa.RecordBatch.from_arrays([none, pa.nulls(len(often), pa.int64()), pa.nulls(len(often), pa.int64()), _signed(every[order][starts[often]]), pa.array(count[often]), pa.array(fps[low] if low else fps[:0]), pa.array(ns[low] if low else ns[:0])], names=names)
+                yield pa.RecordBatch.from_arrays([none, pa.nulls(len(often), pa.int64()), pa.nulls(len(often), pa.int64()), _signed(every[order][starts[often]]), pa.array(count[often]), pa.array(fps[low] if low else fps[:0]), pa.array(ns[low] if low else ns[:0]), pa.nulls(len(often), pa.binary())], names=names)
 
-        names = ["key", "n", "fp", "hash", "count", "low", "low_n"]
+        names = ["key", "n", "fp", "hash", "count", "low", "low_n", "sketch"]
         kind = None
         for b in batches:
             kind = b.column(0).type
-            ns, fps = [], []
+            ns, fps, sketches = [], [], []
             for t in b.column(1).to_pylist():
                 h = shingle_set(t, words)
-                ns.append(len(h)), fps.append(print_of(h) if len(h) else None)
+                ns.append(len(h)), fps.append(print_of(h) if len(h) else None), sketches.append(sketch_of(h) if len(h) else None)
                 if len(h) and fps[-1] not in seen:
                     seen.add(fps[-1]), held.append((h, fps[-1]))
                     size += len(h)
             rest = [pa.nulls(len(ns), pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(fps, pa.int64()), *rest], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(fps, pa.int64()), *rest, pa.array(sketches, pa.binary())], names=names)
             if size >= FLUSH:
                 yield from flush()
                 held, seen, size = [], set(), 0
         yield from flush()
 
     key = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(work, f"key {key}, n long, fp long, hash long, count long, low long, low_n long")
+    return rows.mapInArrow(work, f"key {key}, n long, fp long, hash long, count long, low long, low_n long, sketch binary")
 
 
 class Order:
@@ -203,20 +213,38 @@ def regions(rows: DataFrame, order, buckets: int) -> DataFrame:
 
 
 def measured(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, na, nb, both) with the exact size of the intersection. Only documents that pairs name are read into sets."""
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    """(a, b, na, nb, both) with the exact size of the intersection, without pairs that their sketches rule out. Only
+    documents that the other pairs name are read into sets."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for c in "ab":
+        pairs = pairs.join(classes.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")), c)
+
+    def may(batches):
+        read = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            n = b["n_a"].to_numpy() + b["n_b"].to_numpy()
+            near = [7 * int(np.abs(np.frombuffer(read(x), np.uint8).astype(np.int16) - np.frombuffer(read(y), np.uint8)).sum()) <= m for x, y, m in zip(b["sketch_a"].to_pylist(), b["sketch_b"].to_pylist(), n, strict=True)]
+            kept = pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"])
+            yield kept.filter(pa.array(near, pa.bool_()))
+
+    pairs = written(pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(may, "a long, b long"), "pairs")
     named = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    keys = named.join(classes, "fp").select(F.col("key").alias("_key"), "fp")
+    keys = named.join(classes.select("fp", "key"), "fp").select(F.col("key").alias("_key"), "fp")
 
     def sets(batches):
-        words = Vocabulary()
+        words, seen = Vocabulary(), set()
         for b in batches:
-            kept = [(f, h) for f, h in zip(b.column(1).to_pylist(), (shingle_set(t, words) for t in b.column(0).to_pylist()), strict=True) if len(h) and print_of(h) == f]
+            kept = []
+            for t, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if f not in seen:
+                    h = shingle_set(t, words)
+                    if len(h) and print_of(h) == f:
+                        seen.add(f), kept.append((f, h))
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in kept], pa.int64()), pa.array([h.tobytes() for _, h in kept], pa.binary())], names=["fp", "shingles"])
 
     texts = docs.join(keys, docs.key.eqNullSafe(keys._key)).select("text", "fp")
-    # rows with one id and one text give a set more than once
-    found = written(texts.mapInArrow(sets, "fp long, shingles binary").dropDuplicates(["fp"]), "sets")
+    # rows with one id and one text may give a set more than once; the distances are made distinct below
+    found = written(texts.mapInArrow(sets, "fp long, shingles binary"), "sets")
 
     def meet(batches):
         for b in batches:
@@ -226,7 +254,7 @@ def measured(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
 
     one = pairs.join(found.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), "a")
     two = one.join(found.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")), "b")
-    out = written(two.select("a", "b", "sa", "sb").mapInArrow(meet, "a long, b long, na long, nb long, both long"), "distances")
+    out = written(two.select("a", "b", "sa", "sb").mapInArrow(meet, "a long, b long, na long, nb long, both long").distinct(), "distances")
     dropped(pairs, found)
     return out
 
@@ -244,11 +272,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     first = written(summaries(rows), "shingle-sets")
-    every = first.filter("hash is null").select("key", "n", "fp")
+    every = first.filter("hash is null").select("key", "n", "fp", "sketch")
     top = first.filter("hash is not null").groupBy("hash").agg(F.sum("count").alias("count"), F.min(F.struct("low", "low_n")).alias("low")).orderBy(F.desc("count"), "hash").limit(FREQUENT).select("hash", "count", "low.*")
     top = top.toArrow()
     order = spark.sparkContext.broadcast(Order(*(top[c].combine_chunks().to_numpy(zero_copy_only=False).view(np.uint64 if c == "hash" else np.int64).copy() for c in ("hash", "count", "low", "low_n"))))
-    classes = written(every.filter("n > 0").groupBy("fp").agg(F.min("key").alias("key")), "set-classes")
+    classes = written(every.filter("n > 0").groupBy("fp").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.any_value("sketch").alias("sketch")), "set-classes")
 
     met = written(regions(rows, order, buckets_for(docs)), "regions")
     members = met.filter("s is not null").select("s", F.col("a").alias("fp"), "n", "place", "pivot", "size")
@@ -286,10 +314,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
         known = written(known.unionByName(new), "distances")
         links = known.filter(LINKED).select("a", "b")
     found = components(links)
-    named = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = classes.select("fp", "key").join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     low = named.groupBy("component").agg(F.min("key").alias("component_id"))
     of_class = named.join(low, "component").select("fp", "component_id")
-    out = every.join(of_class, "fp", "left").select(F.col("key"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
+    out = every.select("key", "n", "fp").join(of_class, "fp", "left").select(F.col("key"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
     return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
