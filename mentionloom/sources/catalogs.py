@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 from mentionloom.functions.text import ANCHOR, anchor
 
@@ -56,8 +57,8 @@ NAMED = ("Resource Name", "Resource ID", "Parent Organization", "Reference")
 def scicrunch(responses: DataFrame) -> DataFrame:
     """From mention and xml: the rows of a response with a named link whose text is the mention or one of its
     expansions, by lower case. A response that can't be read gives none."""
-    kind = "query struct<clauses: struct<clauses: array<struct<expansion: struct<expansion: array<string>>>>>, result struct<results: struct<row: array<struct<data: array<struct<name: string, value: string>>>>>>"
-    read = responses.withColumn("r", F.from_xml("xml", kind, {"rowTag": "response"}))
+    kind = "query struct<clauses: struct<clauses: array<struct<expansion: struct<expansion: array<string>>>>>>, result struct<results: struct<row: array<struct<data: array<struct<name: string, value: string>>>>>>"
+    read = responses.withColumn("r", F.from_xml("xml", StructType.fromDDL(kind), {"rowTag": "response"}))
     first = F.get("r.query.clauses.clauses", F.lit(0))["expansion"]["expansion"]
     known = F.concat(F.transform(F.coalesce(first, F.array().cast("array<string>")), lambda x: F.lower(x)), F.array(F.lower("mention")))
     rows = read.select("mention", known.alias("scicrunch_synonyms"), F.explode("r.result.results.row").alias("row"))

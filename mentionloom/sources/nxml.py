@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from mentionloom.functions.text import collapse_space, license_of
 
@@ -20,7 +21,7 @@ def read_papers(spark: SparkSession, path: str) -> DataFrame:
 
 def well_formed(papers: DataFrame) -> DataFrame:
     """Papers that parse; others are left out, as one broken paper must not end a run."""
-    parsed = F.from_xml("xml", "_corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "rowTag": "article"})
+    parsed = F.from_xml("xml", StructType.fromDDL("_corrupt string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "rowTag": "article"})
     return papers.filter(F.col("xml").isNotNull()).withColumn("_x", parsed).filter(F.col("_x._corrupt").isNull()).drop("_x")
 
 
