@@ -64,8 +64,13 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of the bytes behind ``df``; only sets how finely work is dealt out."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Spark's own estimate of the bytes that ``df`` is read from; only sets how finely work is dealt out. Inputs
+    whose size Spark doesn't know count as 8 MB a shuffle partition."""
+    leaves, total = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0
+    for i in range(leaves.size()):
+        size = int(str(leaves.apply(i).stats().sizeInBytes()))
+        total += size if size < 1 << 60 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) << 23
+    return total
 
 
 def buckets_for(df: DataFrame, mb: int = 8, least: int = 16) -> int:

@@ -40,7 +40,8 @@ class ProductCode:
 
     def __post_init__(self) -> None:
         random = np.random.default_rng(1000 + self.dim)
-        self.width = -(-self.dim // self.blocks)
+        # in few dimensions filters would be few and alike; a rotation into 64 makes any vector a general one
+        self.width = -(-max(64, self.dim) // self.blocks)
         padded = self.width * self.blocks
         self.rotation = np.linalg.qr(random.standard_normal((padded, padded)))[0][: self.dim]
         books = random.standard_normal((self.blocks, self.words, self.width))

@@ -78,7 +78,7 @@ def mix(docs: DataFrame, total_share: float = 1.5, repeats: int = 2, weights: tu
     sources = sources.withColumn("share", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") * F.col("n_blocks")).otherwise(0.0))
     upto = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     sources = sources.withColumn("slots", F.sum("share").over(everything)).withColumn("high", F.sum("share").over(upto))
-    edge = lambda c: F.least(F.lit(CIRCLE), F.greatest(F.lit(0), F.round(c / F.col("slots") * CIRCLE).cast("long")))
+    edge = lambda c: F.least(F.lit(CIRCLE), F.greatest(F.lit(0), F.round(F.coalesce(F.try_divide(c, F.col("slots")), F.lit(0.0)) * CIRCLE).cast("long")))
     last = F.max(F.when(F.col("share") > 0, F.col("place"))).over(everything)
     sources = sources.withColumn("to", F.when(F.col("place") == last, F.lit(CIRCLE)).otherwise(edge(F.col("high")))).withColumn("from", edge(F.col("high") - F.col("share")))
     sources = sources.withColumn("from", F.coalesce(F.lag("to").over(Window.orderBy("place")), F.lit(0))).drop("high")

@@ -19,7 +19,7 @@ DIMENSIONS = 1 << 18
 #: Byte n-grams and word n-grams; each family's shares sum to 1 in a text.
 CHARS, WORDS = (3, 5), (1, 2)
 #: A document stays if the calibrated probability of good quality is no less.
-THRESHOLD = 0.3
+THRESHOLD = 0.5
 #: Most labelled rows of each class that are taken for training.
 TRAINING_ROWS = 2000
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\v\f\r"
