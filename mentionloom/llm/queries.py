@@ -33,5 +33,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: The mix: sizes, targets from the first source that isn't capped, the schedule, and what it takes of each document.
+MIX_SQL = r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS src, source IS NULL AS no_src, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h, text FROM documents),
+s0 AS (SELECT src, no_src, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY no_src, src) - 1 AS place FROM d GROUP BY src, no_src),
+s1 AS (SELECT *, [3, 1, 2][place % 3 + 1] AS weight, source_size * 2 AS cap, CAST((SELECT sum(source_size) FROM s0) AS DOUBLE) * 1.5 AS goal FROM s0),
+level AS (SELECT l FROM (SELECT a.place, (a.goal - coalesce((SELECT sum(b.cap) FROM s1 b WHERE (b.cap / b.weight, b.place) < (a.cap / a.weight, a.place)), 0))
+        / ((SELECT sum(weight) FROM s1) - coalesce((SELECT sum(b.weight) FROM s1 b WHERE (b.cap / b.weight, b.place) < (a.cap / a.weight, a.place)), 0)) AS l, a.cap / a.weight AS need, a.weight, a.cap FROM s1 a) WHERE l * weight < cap ORDER BY need, place LIMIT 1),
+t AS (SELECT s1.*, CASE WHEN cap <= weight * (SELECT l FROM level) OR (SELECT count(*) FROM level) = 0 THEN CAST(cap AS DOUBLE) ELSE (SELECT l FROM level) * weight END AS target,
+    CAST(greatest(64, least(65536, floor((SELECT sum(source_size) FROM s0) / 20000))) AS BIGINT) AS width FROM s1),
+n AS (SELECT *, CAST(ceil(source_size / width) AS BIGINT) AS n_blocks, CASE WHEN source_size > 0 THEN target / source_size * ceil(source_size / width) ELSE 0 END AS share FROM t),
+u AS (SELECT *, sum(share) OVER () AS slots, sum(share) OVER (ORDER BY place) AS high, max(CASE WHEN share > 0 THEN place END) OVER () AS last FROM n),
+v AS (SELECT *, CASE WHEN place = last THEN 4294967296 ELSE CAST(least(4294967296, greatest(0, round(high / slots * 4294967296))) AS BIGINT) END AS upto FROM u),
+w AS (SELECT *, coalesce(lag(upto) OVER (ORDER BY place), 0) AS since FROM v),
+p AS (SELECT slot, CAST(slot::HUGEINT * 2654435769 % 4294967296 AS BIGINT) AS x FROM (SELECT unnest(range(CAST(floor((SELECT max(slots) FROM u)) AS BIGINT))) AS slot)),
+k AS (SELECT place, n_blocks, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS rank FROM p JOIN w ON x >= since AND x < upto),
+takes AS (SELECT place, rank % n_blocks AS block, count(*) AS takes FROM k WHERE rank < 2 * n_blocks GROUP BY 1, 2),
+laid AS (SELECT doc_id, size, source_size, target, place, width, coalesce(sum(size) OVER (PARTITION BY place ORDER BY h, doc_id, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM d JOIN n USING (src, no_src)),
+pieces AS (SELECT *, unnest(range(CAST(pos // width AS BIGINT), CAST((pos + greatest(size, 1) - 1) // width + 1 AS BIGINT))) AS block FROM laid)
+SELECT doc_id, size, source_size, target, CAST(coalesce(sum((least(pos + size, (block + 1) * width) - greatest(pos, block * width)) * takes) FILTER (size > 0), 0) AS BIGINT) AS taken
+FROM pieces LEFT JOIN takes USING (place, block) GROUP BY doc_id, size, source_size, target, place, pos"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_source_mixing": MIX_SQL}
