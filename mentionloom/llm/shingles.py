@@ -62,12 +62,6 @@ def prefix_length(n: int) -> int:
     return n - (3 * n + 3) // 4 + 1
 
 
-def may_link(na: np.ndarray, nb: np.ndarray, pa_: np.ndarray, pb: np.ndarray) -> np.ndarray:
-    """False where sizes, or what is left after the places of the first common shingle, rule a link out."""
-    need = (3 * (na + nb) + 6) // 7
-    return (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)) & (1 + np.minimum(na - pa_ - 1, nb - pb - 1) >= need)
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -193,7 +187,8 @@ def regions(rows: DataFrame, order, buckets: int) -> DataFrame:
             for i in range(k):
                 for j in range(i + 1, k):
                     a, b = first + i, first + j
-                    ok = may_link(n[a], n[b], place[a], place[b])
+                    # whatever shares a small region is measured, so what is left shares large regions only
+                    ok = 4 * np.minimum(n[a], n[b]) >= 3 * np.maximum(n[a], n[b])
                     pairs.append(np.stack([fp[a[ok]], fp[b[ok]]]))
         large = np.flatnonzero(sizes > LEAVES[0])
         if len(large):
@@ -298,14 +293,18 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
         at = written(at.join(open_, "s"), "strangers")
         small = at if leaf is None else at.filter(F.col("strangers") <= leaf)
         x, y = (small.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("fp", "n", "place", "own", "d", "apart")]) for k in "xy")
+        rest = None if leaf is None else at.filter(F.col("strangers") > leaf)
+        last = rest is None or rest.isEmpty()
+        meet = (F.col("own_x") != F.col("own_y")) & (~F.col("apart_y") | (F.col("fp_x") < F.col("fp_y"))) & (4 * F.least("n_x", "n_y") >= 3 * F.greatest("n_x", "n_y"))
+        window = F.coalesce(F.abs(F.col("d_x") - F.col("d_y")) <= 0.25 + 1e-9, F.lit(True))
+        met = x.filter("apart_x").join(y, ["s"]).filter(meet).groupBy("fp_x", "fp_y", "n_x", "n_y").agg(F.count("*").alias("shared"), F.min(window).alias("near"))
+        # of two sets that link, each may lack so few shingles of the other that their prefixes share this many
         need = F.floor((3 * (F.col("n_x") + F.col("n_y")) + 6) / 7)
-        meet = (
-            (F.col("own_x") != F.col("own_y")) & (~F.col("apart_y") | (F.col("fp_x") < F.col("fp_y"))) & (4 * F.least("n_x", "n_y") >= 3 * F.greatest("n_x", "n_y"))
-            & (F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) >= need) & F.coalesce(F.abs(F.col("d_x") - F.col("d_y")) <= 0.25 + 1e-9, F.lit(True))
-        )
-        pairs = x.filter("apart_x").join(y, ["s"]).filter(meet).select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b"))
-        if leaf is not None:
-            rest = at.filter(F.col("strangers") > leaf)
+        spare = lambda n: need - F.floor((3 * n + 3) / 4) + 1  # noqa: E731  prefix_length(n) - (n - need)
+        # the number is known where no region of the pair waits for another pivot
+        enough = F.col("shared") >= F.least(spare(F.col("n_x")), spare(F.col("n_y"))) if last and depth == 0 else F.lit(True)
+        pairs = met.filter(F.col("near") & enough).select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b"))
+        if rest is not None:
             # the strangers of a large region, and all that may link with them, gather around the smallest stranger
             pairs = pairs.unionByName(rest.filter("fp != next").select(F.col("fp").alias("a"), F.col("next").alias("b")))
             members = written(rest.select("s", "fp", "n", "place", F.col("next").alias("pivot"), "size"), "members")
