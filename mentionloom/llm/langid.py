@@ -235,15 +235,18 @@ def calibrate(models: Models, rows: list[tuple[str, str]]) -> None:
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = TRAINING_DOCS) -> Models | None:
-    """Models from about ``most`` documents of every language, picked by a hash of the key, and a fifth as many for calibration.
+    """Models from about ``most`` documents of every language, picked by a hash of key and text, and a fifth as many for calibration.
 
     Run counts are made on the executors; the driver gets counts of distinct runs of these bounded samples."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null")
+    # a share for each language, a number a language; texts are filtered where they are read
+    shares = {r["lang"]: min(1.0, 1.2 * most / r["count"]) for r in rows.groupBy("lang").count().collect()}
+    if not shares:
+        return None
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")]
+    draw = F.pmod(F.xxhash64(F.lit(3), "key", "text"), F.lit(1_000_000)) / 1_000_000
     # five in six of the picked documents make the models, the rest the calibration
-    share = F.least(F.lit(1.0), 1.2 * most / F.count("*"))
-    shares = rows.groupBy("lang").agg(share.alias("share"))
-    draw = F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(1_000_000)) / 1_000_000
-    picked = rows.withColumn("draw", draw).join(shares, "lang").filter("draw < share")
+    picked = rows.withColumn("draw", draw).withColumn("share", share).filter("draw < share")
     small_batches(docs.sparkSession)
 
     def count(batches):
