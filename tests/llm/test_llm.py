@@ -633,6 +633,29 @@ def test_sketches_never_exceed_the_difference():
         assert np.abs(read(shingles.sketch_of(a)) - read(shingles.sketch_of(b))).sum() <= len(np.setxor1d(a, b))
 
 
+def test_linked_sets_share_enough_of_their_prefixes():
+    """The number that the join asks for across components, on random pairs at and above the threshold, in random orders."""
+    random.seed(9)
+    met = 0
+    for _ in range(4000):
+        n = random.randint(1, 60)
+        base = random.sample(range(1000), n)
+        x, y = set(base), set(random.sample(base, max(1, n - random.randint(0, n // 4))))
+        x |= set(random.sample(range(1000, 1100), random.randint(0, n // 6)))
+        y |= set(random.sample(range(1100, 1200), random.randint(0, n // 6)))
+        both = len(x & y)
+        if 100 * both < 75 * (len(x) + len(y) - both):
+            continue
+        met += 1
+        rank = dict(zip(range(1200), random.sample(range(1200), 1200), strict=True))
+        px, py = (set(sorted(z, key=rank.get)[: shingles.prefix_length(len(z))]) for z in (x, y))
+        need = (3 * (len(x) + len(y)) + 6) // 7
+        assert both >= need
+        assert len(px & py) >= min(need - (3 * len(z) + 3) // 4 + 1 for z in (x, y))
+        assert len(px & py) >= 1
+    assert met > 500
+
+
 # ---- pipeline
 
 
