@@ -77,6 +77,11 @@ def link(mentions: DataFrame, catalog: Catalog, ids: DataFrame) -> DataFrame:
     return rows.join(named, "software_mention", "left").select(*METADATA.fieldNames())
 
 
+def all_links(mentions: DataFrame, catalogs: list[Catalog], ids: DataFrame) -> dict[str, DataFrame]:
+    """The link tables of several catalogs, by name."""
+    return {c.name: link(mentions, c, ids) for c in catalogs}
+
+
 def merge(tables: list[DataFrame]) -> DataFrame:
     """All link tables in one, without repeated rows and without inexact GitHub matches; null sources stay."""
     out = tables[0]
