@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionloom.llm.common import Vocabulary, buckets_for, dropped, lower_ascii, mix64, small_batches, written
@@ -67,7 +67,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def summaries(rows: DataFrame) -> DataFrame:
-    """From key, text: one row a document (key, n, fp, sketch), and rows of locally frequent shingles (hash, count, low, low_n);
+    """From key, text, mark: one row a document (key, n, fp, sketch, mark), and rows of locally frequent shingles (hash, count, low, low_n);
     low is the smallest fingerprint of a set that has the shingle. A set counts once in a task, however often it comes."""
 
     def work(batches):
@@ -84,9 +84,9 @@ def summaries(rows: DataFrame) -> DataFrame:
                 often = np.flatnonzero(count >= max(4, SHARE * len(held)))
                 low = [o[fps[o].argmin()] for o in (owner[order[starts[i] : starts[i] + count[i]]] for i in often)]
                 none = pa.nulls(len(often), kind)
-                yield pa.RecordBatch.from_arrays([none, pa.nulls(len(often), pa.int64()), pa.nulls(len(often), pa.int64()), _signed(every[order][starts[often]]), pa.array(count[often]), pa.array(fps[low] if low else fps[:0]), pa.array(ns[low] if low else ns[:0]), pa.nulls(len(often), pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([none, pa.nulls(len(often), pa.int64()), pa.nulls(len(often), pa.int64()), _signed(every[order][starts[often]]), pa.array(count[often]), pa.array(fps[low] if low else fps[:0]), pa.array(ns[low] if low else ns[:0]), pa.nulls(len(often), pa.binary()), pa.nulls(len(often), pa.int64())], names=names)
 
-        names = ["key", "n", "fp", "hash", "count", "low", "low_n", "sketch"]
+        names = ["key", "n", "fp", "hash", "count", "low", "low_n", "sketch", "mark"]
         kind = None
         for b in batches:
             kind = b.column(0).type
@@ -98,14 +98,14 @@ def summaries(rows: DataFrame) -> DataFrame:
                     seen.add(fps[-1]), held.append((h, fps[-1]))
                     size += len(h)
             rest = [pa.nulls(len(ns), pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(fps, pa.int64()), *rest, pa.array(sketches, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(fps, pa.int64()), *rest, pa.array(sketches, pa.binary()), b.column(2)], names=names)
             if size >= FLUSH:
                 yield from flush()
                 held, seen, size = [], set(), 0
         yield from flush()
 
     key = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(work, f"key {key}, n long, fp long, hash long, count long, low long, low_n long, sketch binary")
+    return rows.mapInArrow(work, f"key {key}, n long, fp long, hash long, count long, low long, low_n long, sketch binary, mark long")
 
 
 class Order:
@@ -224,7 +224,7 @@ def measured(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
 
     pairs = written(pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(may, "a long, b long"), "pairs")
     named = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    keys = named.join(classes.select("fp", "key"), "fp").select(F.col("key").alias("_key"), "fp")
+    keys = named.join(classes.select("fp", "first"), "fp").select(F.col("first.key").alias("_key"), F.col("first.mark").alias("_mark"), "fp")
 
     def sets(batches):
         words, seen = Vocabulary(), set()
@@ -237,7 +237,7 @@ def measured(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
                         seen.add(f), kept.append((f, h))
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in kept], pa.int64()), pa.array([h.tobytes() for _, h in kept], pa.binary())], names=["fp", "shingles"])
 
-    texts = docs.join(keys, docs.key.eqNullSafe(keys._key)).select("text", "fp")
+    texts = docs.join(keys, docs.key.eqNullSafe(keys._key) & (docs.mark == keys._mark)).select("text", "fp")
     # rows with one id and one text may give a set more than once; the distances are made distinct below
     found = written(texts.mapInArrow(sets, "fp long, shingles binary"), "sets")
 
@@ -263,15 +263,21 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     A null text, and one without words, has no shingles, links with nothing and is its own component. Equal sets are
     one class that joins once, so copies never multiply. Rows with a null key take part; their component is the smallest key
     that isn't null, null if there is none. Equal rows get equal results; other columns don't matter."""
+    out = _components(docs, key, text)
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _components(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, mark (a hash of the text), n, component (a label, null without shingles) and component_id of every row."""
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
     first = written(summaries(rows), "shingle-sets")
-    every = first.filter("hash is null").select("key", "n", "fp", "sketch")
+    every = first.filter("hash is null").select("key", "n", "fp", "sketch", "mark")
     top = first.filter("hash is not null").groupBy("hash").agg(F.sum("count").alias("count"), F.min(F.struct("low", "low_n")).alias("low")).orderBy(F.desc("count"), "hash").limit(FREQUENT).select("hash", "count", "low.*")
     top = top.toArrow()
     order = spark.sparkContext.broadcast(Order(*(top[c].combine_chunks().to_numpy(zero_copy_only=False).view(np.uint64 if c == "hash" else np.int64).copy() for c in ("hash", "count", "low", "low_n"))))
-    classes = written(every.filter("n > 0").groupBy("fp").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.any_value("sketch").alias("sketch")), "set-classes")
+    classes = written(every.filter("n > 0").groupBy("fp").agg(F.min("key").alias("key"), F.min(F.struct("key", "mark")).alias("first"), F.min("n").alias("n"), F.any_value("sketch").alias("sketch")), "set-classes")
 
     met = written(regions(rows, order, buckets_for(docs)), "regions")
     members = met.filter("s is not null").select("s", F.col("a").alias("fp"), "n", "place", "pivot", "size")
@@ -315,24 +321,23 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     found = components(links)
     named = classes.select("fp", "key").join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     low = named.groupBy("component").agg(F.min("key").alias("component_id"))
-    of_class = named.join(low, "component").select("fp", "component_id")
-    out = every.select("key", "n", "fp").join(of_class, "fp", "left").select(F.col("key"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
-    return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
+    of_class = named.join(low, "component").select("fp", "component", "component_id")
+    out = every.select("key", "mark", "n", "fp").join(of_class, "fp", "left")
+    return out.select("key", "mark", "n", "component", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest key, with its own columns; documents without shingles all stay.
-
-    Where several rows have that key and shingles, the first in the order of their texts stays."""
-    verdict = jaccard_components(docs, key, text)
+    """One document of each component, with its own columns: the one with the smallest key that isn't null, of rows with
+    that key the one whose text has the smallest hash. Documents without shingles all stay."""
+    rows = _components(docs, key, text).filter("n > 0")
+    stay = rows.groupBy("component").agg(F.min(F.struct(F.isnull("key").alias("no"), "key", "mark")).alias("s")).select(F.col("s.key").alias("_key"), F.col("s.mark").alias("_stay")).distinct()
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    stay = verdict.filter("kept").select(F.col(key).alias("_key"), (F.col("n_shingles") > 0).alias("_some")).distinct()
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).withColumn("_mark", F.xxhash64(names[text]))
     # without words there are no shingles
     some = F.coalesce(F.col(names[text]).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    joined = plain.join(stay, F.col(names[key]).eqNullSafe(F.col("_key")) & (some == F.col("_some"))).drop("_key")
-    twin = F.row_number().over(Window.partitionBy(names[key], "_some").orderBy(names[text]))
-    return joined.withColumn("_twin", twin).filter("_twin = 1 or not _some").select(*[F.col(n).alias(c) for c, n in names.items()])
+    kept = plain.filter(some).join(stay, F.col(names[key]).eqNullSafe(F.col("_key")) & (F.col("_mark") == F.col("_stay"))).dropDuplicates([names[key], "_mark"])
+    out = kept.select(*names.values()).unionByName(plain.filter(~some).select(*names.values()))
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
