@@ -303,13 +303,16 @@ def _components(docs: DataFrame, key: str, text: str) -> DataFrame:
         last = rest is None or rest.isEmpty()
         meet = (F.col("own_x") != F.col("own_y")) & (~F.col("apart_y") | (F.col("fp_x") < F.col("fp_y"))) & (4 * F.least("n_x", "n_y") >= 3 * F.greatest("n_x", "n_y"))
         window = F.coalesce(F.abs(F.col("d_x") - F.col("d_y")) <= 0.25 + 1e-9, F.lit(True))
-        met = x.filter("apart_x").join(y, ["s"]).filter(meet).groupBy("fp_x", "fp_y", "n_x", "n_y").agg(F.count("*").alias("shared"), F.min(window).alias("near"))
+        # either may be the one that is apart, by region: a pair's regions count together only if it has one order
+        one, two = (F.when(F.col("fp_x") < F.col("fp_y"), F.struct(*[F.col(f"{c}_{k}").alias(c) for c in ("fp", "n")])).otherwise(F.struct(*[F.col(f"{c}_{j}").alias(c) for c in ("fp", "n")])) for k, j in ("xy", "yx"))
+        met = x.filter("apart_x").join(y, ["s"]).filter(meet).select(one.alias("a"), two.alias("b"), window.alias("near"))
+        met = met.groupBy(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b")).agg(F.count("*").alias("shared"), F.min("near").alias("near"))
         # of two sets that link, each may lack so few shingles of the other that their prefixes share this many
-        need = F.floor((3 * (F.col("n_x") + F.col("n_y")) + 6) / 7)
+        need = F.floor((3 * (F.col("n_a") + F.col("n_b")) + 6) / 7)
         spare = lambda n: need - F.floor((3 * n + 3) / 4) + 1  # noqa: E731  prefix_length(n) - (n - need)
         # the number is known where no region of the pair waits for another pivot
-        enough = F.col("shared") >= F.least(spare(F.col("n_x")), spare(F.col("n_y"))) if last and depth == 0 else F.lit(True)
-        pairs = met.filter(F.col("near") & enough).select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b"))
+        enough = F.col("shared") >= F.least(spare(F.col("n_a")), spare(F.col("n_b"))) if last and depth == 0 else F.lit(True)
+        pairs = met.filter(F.col("near") & enough).select("a", "b")
         if rest is not None:
             # the strangers of a large region, and all that may link with them, gather around the smallest stranger
             pairs = pairs.unionByName(rest.filter("fp != next").select(F.col("fp").alias("a"), F.col("next").alias("b")))

@@ -613,6 +613,27 @@ def test_join_of_dense_regions(spark, monkeypatch, leaves):
     assert got == brute_join(texts)
 
 
+def test_join_bridges_large_groups(spark):
+    """Chains of overlapping windows: groups of near copies in several components, whose shingles are all common. The
+    documents between two groups are apart in some of their regions and in the largest component of others."""
+    random.seed(1)
+    chains = []
+    for c in range(60):
+        base = [f"c{c}w{i}" for i in range(170)]
+        chains.append({})
+        for i in range(80):
+            at = random.randint(0, 120)
+            w = base[at : at + 50 + random.randint(-3, 3)]
+            if random.random() < 0.5:
+                w[random.choice([0, -1])] = f"u{c}x{i}"
+            chains[-1][c * 80 + i] = " ".join(w)
+    df = spark.createDataFrame([x for c in chains for x in c.items()], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingles.jaccard_components(df).collect()}
+    for c in chains:
+        want = brute_join(c)
+        assert {k: got[k] for k in c} == want
+
+
 def test_join_edges(odd, empty):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in shingles.jaccard_components(odd).collect()]
     assert sorted(got, key=str) == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4), (5, 1, 4), (None, 1, None), (6, 2, 6)], key=str)
