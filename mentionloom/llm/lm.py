@@ -227,15 +227,30 @@ def pair_shards(joined: DataFrame, shards: int, total: int, distinct: int) -> Da
 
 
 def discounts(times: list[float]) -> np.ndarray:
-    """Good-Turing discounts of counts 1 to LARGE, from the numbers of pairs seen 1 to LARGE + 1 times. Where these don't
-    give falling counts between 0 and 1, absolute discounting takes their place, for all counts."""
+    """Good-Turing discounts of counts 1 to LARGE, from the numbers of pairs seen 1 to LARGE + 1 times.
+
+    Groups of copies make bumps in these numbers. From the first count on whose discount, or whose place after the counts
+    below it, a bump spoils, the numbers are taken from their log-linear fit (Gale and Sampson, 1995), which always gives
+    rising counts and discounts between 0 and 1 if it falls fast enough; else absolute discounting takes the place of all."""
     n = np.array(times, float)
     r = np.arange(1, LARGE + 1)
-    if (n > 0).all():
-        cut = (LARGE + 1) * n[LARGE] / n[0]
-        d = ((r + 1) * n[1:] / (n[:-1] * r) - cut) / (1 - cut) if cut < 1 else np.zeros(LARGE)
-        if ((d > 0) & (d < 1)).all():
-            return d
+
+    def turing(n: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cut = (LARGE + 1) * n[LARGE] / n[0]
+            return ((r + 1) * n[1:] / (n[:-1] * r) - cut) / (1 - cut) if cut < 1 else np.full(LARGE, np.nan)
+
+    some = np.flatnonzero(n) + 1
+    if len(some) > 1:
+        # a number next to zeros stands for them too
+        low, high = np.concatenate([[0], some[:-1]]), np.concatenate([some[1:], [2 * some[-1] - some[-2]]])
+        slope, at_one = np.polyfit(np.log(some), np.log(2 * n[some - 1] / (high - low)), 1)
+        if slope < -1:
+            own, fit = turing(n), turing(np.exp(at_one) * np.arange(1, LARGE + 2) ** slope)
+            for kept in range(LARGE, -1, -1):
+                d = np.concatenate([own[:kept], fit[kept:]])
+                if ((d > 0) & (d < 1)).all() and (np.diff(r * d) > 0).all():
+                    return d
     less = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
     return (r - min(0.9, max(0.1, less))) / r
 

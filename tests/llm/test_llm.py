@@ -501,6 +501,29 @@ def test_katz_edges(odd, empty):
     assert ((lm.discounts([0] * 6) > 0) & (lm.discounts([0] * 6) < 1)).all()
 
 
+@pytest.mark.parametrize("times", [[184712, 23127, 5984, 1951, 2262, 607], [1482341, 227973, 46941, 19718, 17404, 6993]])
+def test_a_bump_leaves_the_discounts_below_it(times):
+    """Numbers of pairs of sf0.01 and sf0.1: groups of five copies are many, and a plain discount of count 4 is over 1."""
+    cut = 6 * times[5] / times[0]
+    plain = [((r + 1) * times[r] / (r * times[r - 1]) - cut) / (1 - cut) for r in range(1, 6)]
+    assert plain[3] > 1
+    d = lm.discounts(times)
+    assert d[:3].tolist() == pytest.approx(plain[:3], rel=1e-9)
+    assert ((d > 0) & (d < 1)).all()
+    assert (np.diff(d * np.arange(1, 6)) > 0).all()
+
+
+def test_discounts_of_few_and_odd_counts():
+    # exactly log-linear numbers are their own fit
+    clean = [1e6 * r**-2.5 for r in range(1, 7)]
+    cut = 6 * clean[5] / clean[0]
+    assert lm.discounts(clean).tolist() == pytest.approx([((r + 1) * clean[r] / (r * clean[r - 1]) - cut) / (1 - cut) for r in range(1, 6)])
+    for times in ([3, 1, 0, 0, 0, 0], [5, 0, 0, 0, 0, 1], [0, 0, 4, 0, 0, 2], [7, 7, 7, 7, 7, 7], [1, 2, 3, 4, 5, 6], [9, 0, 0, 0, 0, 0], [900, 100, 30, 2, 50, 1]):
+        d = lm.discounts(times)
+        assert ((d > 0) & (d < 1)).all()
+        assert (np.diff(d * np.arange(1, 6)) > 0).all()
+
+
 # ---- token files
 
 
