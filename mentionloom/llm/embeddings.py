@@ -2,8 +2,8 @@
 
 Filter directions form a random product code: a random rotation, then blocks of coordinates with a codebook of random
 unit vectors each; a direction is one code word of every block. A vector belongs to all filters whose direction it
-exceeds by ALPHA; these are list-decoded from the sorted products by block, without visiting the others. Vectors
-that share a filter are compared in double precision."""
+exceeds by ALPHA; these are list-decoded from the sorted products by block, without visiting the others. One that
+exceeds few directions belongs to its nearest FEWEST instead. Vectors that share a filter are compared in double precision."""
 
 from __future__ import annotations
 
@@ -25,6 +25,8 @@ WORDS, BLOCKS = 128, 2
 #: cosine about three quarters of one's filters are the other's too, and some vectors are in far
 #: fewer than others.
 FILTERS_EACH = 40
+#: Filters that any vector is in at least.
+FEWEST = 32
 #: Rows of a filter that are compared at once.
 TILE = 1024
 
@@ -75,6 +77,21 @@ class ProductCode:
             sums, codes = sums[parent] + products[k][word], codes[parent] * self.words + word
         return np.sort(codes)
 
+    def nearest(self, products: np.ndarray, most: int) -> np.ndarray:
+        """The filters of one vector with the greatest sums. What begins one of them is among the best of its length."""
+        sums, codes = np.zeros(1), np.zeros(1, np.int64)
+        for k in range(self.blocks):
+            word = np.argsort(-products[k], kind="stable")[:most]
+            sums, codes = (sums[:, None] + products[k][word]).ravel(), (codes[:, None] * self.words + word).ravel()
+            best = np.argsort(-sums, kind="stable")[:most]
+            sums, codes = sums[best], codes[best]
+        return np.sort(codes)
+
+    def filters(self, products: np.ndarray) -> np.ndarray:
+        """All filters of one vector over the threshold, or its nearest FEWEST where these are more."""
+        found = self.decode(products)
+        return found if len(found) >= FEWEST else self.nearest(products, FEWEST)
+
 
 def normalised(raw: np.ndarray) -> np.ndarray:
     """Unit vectors; scaled first, so that squares don't overflow."""
@@ -152,7 +169,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, key: str =
                 raw = flat[at[of][:, None] + np.arange(dim)]
                 products = code.products(normalised(raw))
                 for i, row in enumerate(of):
-                    found = code.decode(products[i])
+                    found = code.filters(products[i])
                     place.append(np.full(len(found), row)), decoded.append(found)
                     units[row] = (raw[i].astype(component).tobytes(), found.astype(number).tobytes())
             if decoded:

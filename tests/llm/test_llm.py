@@ -365,6 +365,33 @@ def test_list_decoding_visits_what_a_scan_finds():
         assert code.decode(p).tolist() == np.flatnonzero(every.ravel() >= code.alpha).tolist()
 
 
+def test_near_copies_where_filters_are_few(spark):
+    """Groups of near copies around directions that exceed no filter's threshold."""
+    random = np.random.default_rng(11)
+    code = embeddings.ProductCode(64)
+    unit = embeddings.normalised(random.standard_normal((4000, 64)))
+    lone = [u for u, p in zip(unit, code.products(unit), strict=True) if not len(code.decode(p))][:12]
+    assert len(lone) == 12
+    rows = []
+    for center in lone:
+        for _ in range(4):
+            side = random.standard_normal(64)
+            rows.append((len(rows), (center + 0.12 * side / np.linalg.norm(side)).astype(np.float32).tolist(), 0))
+    want = brute_links(rows, 0.98)
+    assert sum(n for n, _ in want.values()) > 100
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()} == want
+
+
+def test_nearest_filters_are_those_of_a_scan():
+    code = embeddings.ProductCode(24, words=16, blocks=3, each=20)
+    unit = embeddings.normalised(np.random.default_rng(2).standard_normal((50, 24)))
+    for p in code.products(unit):
+        every = (p[0][:, None, None] + p[1][None, :, None] + p[2][None, None, :]).ravel()
+        assert code.nearest(p, 32).tolist() == sorted(np.argsort(-every)[:32].tolist())
+        assert set(code.decode(p)) <= set(code.filters(p)) and len(code.filters(p)) >= 32
+
+
 def test_components(spark):
     random.seed(6)
     pairs = [(random.randint(0, 300), random.randint(0, 300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 440)] + [(500, i) for i in range(501, 540)]
