@@ -105,14 +105,14 @@ class QualityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift by Newton's method, with Platt's smoothed labels."""
+def _platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift by Newton's method, with Platt's smoothed labels; a row counts as often as its weight."""
     good, bad = y.sum(), len(y) - y.sum()
     t = np.where(y == 1, (good + 1) / (good + 2), 1 / (bad + 2))
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -60, 60)))
-        w, g = p * (1 - p) + 1e-6, p - t
+        w, g = weight * (p * (1 - p) + 1e-6), weight * (p - t)
         ga, gb = (g * z).sum() + 1e-3 * (a - 1), g.sum()
         haa, hab, hbb = (w * z * z).sum() + 1e-3, (w * z).sum(), w.sum()
         det = haa * hbb - hab * hab
@@ -125,17 +125,17 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def train(rows: list[tuple[str, int]], epochs: int = 6, rate: float = 0.3) -> QualityModel | None:
-    """A model from (text, quality) rows; None unless both classes are there. One row in five calibrates."""
+def train(rows: list[tuple[str, int, float]], epochs: int = 6, rate: float = 0.3) -> QualityModel | None:
+    """A model from (text, quality, weight) rows; None unless both classes are there. One row in five calibrates, by weight."""
     words = Vocabulary()
     parts = []
-    for text, quality in rows:
+    for text, quality, weight in rows:
         raw = (text or "").encode("utf-8", "surrogatepass")
         w = raw.split()
         index, value = features(raw, words.hashed(w))
         words.trim()
         if len(index):
-            parts.append((index, value, int(quality)))
+            parts.append((index, value, int(quality), weight))
     fit, held = [p for i, p in enumerate(parts) if i % 5], parts[::5]
     if len({p[2] for p in fit}) < 2:
         return None
@@ -144,7 +144,7 @@ def train(rows: list[tuple[str, int]], epochs: int = 6, rate: float = 0.3) -> Qu
     share = sum(p[2] for p in fit) / len(fit)
     for _ in range(epochs):
         for i in random.permutation(len(fit)):
-            index, value, y = fit[i]
+            index, value, y, _ = fit[i]
             z = float(weights[index] @ value) + bias
             g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) * (0.5 / share if y else 0.5 / (1 - share))
             step = g * value
@@ -152,21 +152,23 @@ def train(rows: list[tuple[str, int]], epochs: int = 6, rate: float = 0.3) -> Qu
             weights[index] -= rate * step / np.sqrt(seen[index])
             bias_seen += g * g
             bias -= rate * g / np.sqrt(bias_seen)
-    z = np.array([float(weights[i] @ v) + bias for i, v, _ in held])
-    y = np.array([q for _, _, q in held], float)
-    slope, shift = _platt(z, y) if len(set(y)) > 1 else (1.0, 0.0)
+    z = np.array([float(weights[i] @ v) + bias for i, v, _, _ in held])
+    y, weight = (np.array([p[k] for p in held], float) for k in (2, 3))
+    slope, shift = _platt(z, y, weight) if len(set(y)) > 1 else (1.0, 0.0)
     return QualityModel(weights.astype(np.float32), bias, slope, shift)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, key: str = "doc_id", text: str = "text", label: str = "quality") -> list[tuple[str, int]]:
-    """Up to ``most`` rows of each class, in hash order of their ids. Ids with both classes or none are left out."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, key: str = "doc_id", text: str = "text", label: str = "quality") -> list[tuple[str, int, float]]:
+    """Up to ``most`` rows of each class, in hash order of their ids, each with the number of its class's ids that it
+    stands for. Ids with both classes or none are left out."""
     one = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.min(label).alias("_y"), F.max(label).alias("_top")).filter("_y = _top")
     order = [F.xxhash64(F.lit(11), "_id"), F.col("_id")]
     picked = one.filter("_y = 0").orderBy(*order).limit(most).unionByName(one.filter("_y = 1").orderBy(*order).limit(most)).select("_id", "_y")
+    stands = {r["_y"]: max(1.0, r["count"] / most) for r in one.groupBy("_y").count().collect()}
     # at most 2 * most rows of two numbers are broadcast
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(picked), "_id")
     rows = rows.orderBy(*order, "_text").limit(2 * most).collect()
-    return [(r["_text"], r["_y"]) for r in rows]
+    return [(r["_text"], r["_y"], stands[r["_y"]]) for r in rows]
 
 
 def score_quality(docs: DataFrame, model: QualityModel | None, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

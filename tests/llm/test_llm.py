@@ -122,6 +122,17 @@ def test_quality_of_held_out_labels(spark):
     assert sum(not r.kept for r in bad) >= 0.9 * len(bad)
 
 
+def test_calibration_keeps_the_shares_of_the_classes(spark):
+    """Texts that tell nothing, five of six good: the probability is near that share, however many rows a class may have."""
+    random.seed(12)
+    rows = [(i, " ".join(random.choice(["red", "blue", "green", "grey"]) for _ in range(60)), int(i % 6 > 0)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    for most in (1000, 100):
+        model = quality.train(quality.labelled_rows(df, df.drop("text"), most=most))
+        told = [r.probability for r in quality.score_quality(df, model).collect()]
+        assert 0.75 < np.mean(told) < 0.9
+
+
 def test_quality_edges(spark, odd, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     model = quality.train(quality.labelled_rows(odd, labels))
