@@ -31,7 +31,15 @@ QUAD = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOGIN = re.compile(r"://([^\s/@:]{1,256}:[^\s/@]{1,256})@")
-NUMBER = re.compile(r"(?:[\x20_-]?(?:no|number|nr|id))?[.:#=]{0,2}\x20?([A-Z]{0,4}[0-9][A-Z0-9-]{4,32}[0-9])", re.IGNORECASE | re.ASCII)
+LEAD = r"(?:[\x20_-]?(?:no|number|nr|id))?[.:#=]{0,2}\x20?"
+NUMBER = re.compile(LEAD + r"([A-Z]{0,4}[0-9][A-Z0-9-]{4,}[0-9])", re.IGNORECASE | re.ASCII)
+#: As printed, in groups, or in one run.
+IBAN = re.compile(LEAD + r"([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})", re.IGNORECASE | re.ASCII)
+#: Characters of an IBAN, by country. Those of any other country have 15 to 34.
+IBAN_LENGTHS = {c: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}.items() for c in countries.split()}
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -58,12 +66,25 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_end(text: str, start: int, end: int) -> int | None:
+    """Where the IBAN ends that starts the groups text[start:end]; None if there's none. It ends with a group."""
+    at = [i for i in range(start, end) if text[i] != " "]
+    code = "".join(text[i] for i in at).upper()
+    known = IBAN_LENGTHS.get(code[:2])
+    for n in [known] if known else range(len(code), 14, -1):
+        if n <= len(code) and not (text[at[n - 1] + 1 : at[n - 1] + 2].isascii() and text[at[n - 1] + 1 : at[n - 1] + 2].isalnum()):
+            if int("".join(str(int(c, 36)) for c in code[4:n] + code[:4])) % 97 == 1:
+                return at[n - 1] + 1
+    return None
+
+
 def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then kind as listed; code points, ends exclusive.
 
     For each base kind the spans are the leftmost ones that don't overlap; what fails validation is passed over
-    whole. Account numbers inside a base span are left to it."""
+    whole. Account numbers that meet a base span are left to it, but for an IBAN, of whose digits a card may be a part."""
     found: list[tuple[int, int, str]] = []
+    ibans = set()
     after = dict.fromkeys((*KINDS, "quad"), 0)
     for last, kind in anchors.iter(text):
         if kind == "0":
@@ -98,13 +119,18 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str
         elif kind == "://":
             if m := LOGIN.match(text, last - 2):
                 found.append((m.start(1), m.end(1), "login"))
-        elif m := NUMBER.match(text, last + 1):
-            if m.start(1) >= after["account"]:
+        # a cue inside a number announces no other
+        elif last >= after["account"]:
+            if (m := IBAN.match(text, last + 1)) and (end := iban_end(text, m.start(1), m.end(1))):
+                after["account"] = end
+                ibans.add((m.start(1), end, "account"))
+                found.append((m.start(1), end, "account"))
+            elif m := NUMBER.match(text, last + 1):
                 after["account"] = m.end(1)
                 found.append((m.start(1), m.end(1), "account"))
     base = [x for x in found if x[2] in BASE]
     if len(base) < len(found):
-        found = base + [x for x in found if x[2] not in BASE and not any(b[0] < x[1] and x[0] < b[1] for b in base)]
+        found = base + [x for x in found if x[2] not in BASE and (x in ibans or not any(b[0] < x[1] and x[0] < b[1] for b in base))]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 

@@ -178,6 +178,27 @@ def test_pii_added_spans_and_masks():
     assert pii.spans("An account of events, ssn unknown, passport to 3 lands", anchors) == []
 
 
+def test_accounts_in_groups_and_long_ones():
+    anchors = pii.automaton()
+    told = lambda t: [(t[s:e], k) for s, e, k in pii.spans(t, anchors)]
+    for iban in ("DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "MT84MALT011000012345MTLCAST001S", "de89 3704 0044 0532 0130 00"):
+        for before, behind in (("IBAN: ", " or pay 20 in cash"), ("iban ", ""), ("Account no. ", ". Then"), ("IBAN ", "\n1234 5678")):
+            assert [x for x in told(before + iban + behind) if x[1] == "account"] == [(iban, "account")]
+            assert pii.redact(before + iban + behind, pii.spans(before + iban + behind, anchors)) == f"{before}[ACCOUNT]{behind}"
+    # a wrong check sum makes no IBAN
+    assert told("IBAN: DE88 3704 0044 0532 0130 00") == []
+    # the card that is a part of an IBAN doesn't uncover the rest
+    for check in range(97):
+        t = f"IBAN BE{check:02} 5390 0754 70"
+        for tail in range(100):
+            code = f"{t}{tail:02}"[5:].replace(" ", "")
+            if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+                assert pii.redact(f"{t}{tail:02}!", pii.spans(f"{t}{tail:02}!", anchors)) == "IBAN [ACCOUNT]!"
+    long = "AB12" + "3456-7890" * 8
+    assert told(f"account {long}, and") == [(long, "account")]
+    assert pii.spans("acct1" * 40_000 + "1", anchors)[-1][1] == 200_001
+
+
 def test_op3(spark, texts):
     rows = queries()["op3_pii"](spark, SF).collect()
     assert sorted(r.doc_id for r in rows) == sorted(texts)
