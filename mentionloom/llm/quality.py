@@ -42,9 +42,16 @@ def repeated_words(ids: np.ndarray) -> int:
     """Words inside 3-word windows that occur twice or more."""
     if len(ids) < 4:
         return 0
-    key = (ids[:-2] << 42) | (ids[1:-1] << 21) | ids[2:]
-    order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
+    if ids.max() >> 21:
+        # the vocabulary may number more words than three of which fit into a key; a text itself rarely has as many
+        ids = np.unique(ids, return_inverse=True)[1]
+    if ids.max() >> 21:
+        order = np.lexsort((ids[2:], ids[1:-1], ids[:-2]))
+        same = np.logical_and.reduce([x[order[1:]] == x[order[:-1]] for x in (ids[:-2], ids[1:-1], ids[2:])])
+    else:
+        key = (ids[:-2] << 42) | (ids[1:-1] << 21) | ids[2:]
+        order = np.argsort(key, kind="stable")
+        same = key[order[1:]] == key[order[:-1]]
     at = np.union1d(order[1:][same], order[:-1][same])
     hit = np.zeros(len(ids), bool)
     for i in range(3):
@@ -53,7 +60,7 @@ def repeated_words(ids: np.ndarray) -> int:
 
 
 def statistics(text: str | None, words: list[bytes], ids: np.ndarray) -> Statistics:
-    """Counts over a whole text; ``ids`` number its words, equal for equal words only, under 2^21."""
+    """Counts over a whole text; ``ids`` number its words, equal for equal words only."""
     if not text:
         return Statistics()
     lines = [x for x in text.encode("utf-8", "surrogatepass").split(b"\n") if x.strip()]

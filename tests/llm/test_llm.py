@@ -147,6 +147,16 @@ def test_quality_edges(spark, odd, empty):
     assert quality.repeated_words(np.array([1, 2, 3, 9, 1, 2, 3])) == 6
 
 
+def test_repeated_words_of_many_distinct_words():
+    # packed into 21 bits each, (0, 2^21, 5) and (1, 0, 5) are one key
+    few = np.array([0, 1 << 21, 5, 9, 1, 0, 5])
+    assert quality.repeated_words(few) == 0
+    assert quality.repeated_words(np.concatenate([few, few[:3]])) == 6
+    many = np.arange((1 << 21) + 8)
+    assert quality.repeated_words(np.concatenate([many, few])) == 0
+    assert quality.repeated_words(np.concatenate([many, few, few[:3]])) == 6
+
+
 # ---- personal data
 
 
