@@ -2,30 +2,45 @@
 
 The Jaccard distance 1 - |x & y| / |x | y| is a metric, and unrelated documents are at distance 1 from each other, so
 documents make poor pivots for a whole corpus. The first level therefore takes single shingles as pivots: a document
-belongs to the regions of its rarest shingles, as many as a partner at distance 1/4 can't all lack. Inside a region
-documents overlap and distances spread, so a small region joins directly, and a large one takes a document as pivot:
-what lies within 1/4 of it is linked; the rest pairs up only inside triangle-inequality windows, |d(x, p) - d(y, p)| <=
-1/4, and only across what is linked already. Regions that are still large take another pivot and join again."""
+belongs to the regions of its rarest shingles, as many as a partner at distance 1/4 can't all lack. Where a pair's first
+common shingle stands bounds its intersection, so most members of a region rule each other out by two numbers each.
+
+Small regions join directly. In larger ones documents are the pivots: whatever may be near the pivot is measured, what is
+within 1/4 of it forms its Voronoi cell together with all that links there, and cells are joined again. A region is done
+when it is one cell. Otherwise few pairs of different cells pass the triangle-inequality windows |d(x, p) - d(y, p)| <= 1/4
+and the windows of size, and are measured, or every cell gets a pivot of its own, four times as many a round."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mentionloom.llm.common import Vocabulary, buckets_for, dropped, lower_ascii, mix64, small_batches, written
 from mentionloom.llm.components import components
 
 WORDS = 5
-#: Regions of up to so many documents join directly, by depth; the last depth joins all that is left.
-LEAVES = (8, 1024)
+#: Regions of up to so many documents join directly.
+LEAF = 8
+#: Members of a region that a task holds at once; of a larger one each is passed on as it comes.
+HELD = 1 << 16
+#: Pairs of a region's cells that are measured without another pivot, a member.
+PAIRS_EACH = 16
+#: Rounds of more pivots; from then on what the windows leave is measured.
+ROUNDS = 4
+#: Sizes of one band differ by less than this factor.
+BAND = 1.05
 #: Shingles whose counts order the pivots; all others count as rare. Only speed depends on it, and 4 MB are broadcast.
 FREQUENT = 1 << 18
-#: Shingles that a task sorts at once, and the share of their documents from which one is counted as frequent.
-FLUSH, SHARE = 2_000_000, 1 / 500
+#: Shingles that a task sorts at once, and how many of their documents have one that is counted.
+FLUSH, SEEN = 2_000_000, 3
+#: Rows of the regions that are handled at once.
+ROWS = 1 << 17
 #: Bits of a hash that a sketch counts by.
 SKETCH = 9
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -67,27 +82,23 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def summaries(rows: DataFrame) -> DataFrame:
-    """From key, text, mark: one row a document (key, n, fp, sketch, mark), and rows of locally frequent shingles (hash, count, low, low_n);
-    low is the smallest fingerprint of a set that has the shingle. A set counts once in a task, however often it comes."""
+    """From key, text, mark: one row a document (key, n, fp, sketch, mark), and rows of shingles that are frequent in a part
+    of the documents (hash, count). A set counts once in a task, however often it comes."""
 
     def work(batches):
         words, held, seen, size = Vocabulary(), [], set(), 0
+        kind = None
 
         def flush():
             if held:
-                every = np.concatenate([h for h, _ in held])
-                fps, ns = np.array([f for _, f in held], np.int64), np.array([len(h) for h, _ in held], np.int64)
-                owner = np.repeat(np.arange(len(held)), ns)
-                order = np.argsort(every, kind="stable")
-                starts = np.flatnonzero(np.concatenate([[True], every[order][1:] != every[order][:-1]]))
+                every = np.sort(np.concatenate(held))
+                starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
                 count = np.diff(np.append(starts, len(every)))
-                often = np.flatnonzero(count >= max(4, SHARE * len(held)))
-                low = [o[fps[o].argmin()] for o in (owner[order[starts[i] : starts[i] + count[i]]] for i in often)]
-                none = pa.nulls(len(often), kind)
-                yield pa.RecordBatch.from_arrays([none, pa.nulls(len(often), pa.int64()), pa.nulls(len(often), pa.int64()), _signed(every[order][starts[often]]), pa.array(count[often]), pa.array(fps[low] if low else fps[:0]), pa.array(ns[low] if low else ns[:0]), pa.nulls(len(often), pa.binary()), pa.nulls(len(often), pa.int64())], names=names)
+                often = np.flatnonzero(count >= SEEN)
+                none = lambda t: pa.nulls(len(often), t)
+                yield pa.RecordBatch.from_arrays([none(kind), none(pa.int64()), none(pa.int64()), _signed(every[starts[often]]), pa.array(count[often]), none(pa.binary()), none(pa.int64())], names=names)
 
-        names = ["key", "n", "fp", "hash", "count", "low", "low_n", "sketch", "mark"]
-        kind = None
+        names = ["key", "n", "fp", "hash", "count", "sketch", "mark"]
         for b in batches:
             kind = b.column(0).type
             ns, fps, sketches = [], [], []
@@ -95,9 +106,9 @@ def summaries(rows: DataFrame) -> DataFrame:
                 h = shingle_set(t, words)
                 ns.append(len(h)), fps.append(print_of(h) if len(h) else None), sketches.append(sketch_of(h) if len(h) else None)
                 if len(h) and fps[-1] not in seen:
-                    seen.add(fps[-1]), held.append((h, fps[-1]))
+                    seen.add(fps[-1]), held.append(h)
                     size += len(h)
-            rest = [pa.nulls(len(ns), pa.int64())] * 4
+            rest = [pa.nulls(len(ns), pa.int64())] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(fps, pa.int64()), *rest, pa.array(sketches, pa.binary()), b.column(2)], names=names)
             if size >= FLUSH:
                 yield from flush()
@@ -105,54 +116,43 @@ def summaries(rows: DataFrame) -> DataFrame:
         yield from flush()
 
     key = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(work, f"key {key}, n long, fp long, hash long, count long, low long, low_n long, sketch binary, mark long")
+    return rows.mapInArrow(work, f"key {key}, n long, fp long, hash long, count long, sketch binary, mark long")
 
 
 class Order:
     """The common order of shingles: those that aren't frequent by hash, then the frequent ones by count and hash."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, low: np.ndarray, low_n: np.ndarray):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
         order = np.argsort(hashes)
-        self.hashes, self.counts, self.low, self.low_n = hashes[order], counts[order], low[order], low_n[order]
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.hashes):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        row = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return row, self.hashes[row] == h
+        self.hashes, self.counts = hashes[order], counts[order]
 
     def prefix(self, h: np.ndarray) -> np.ndarray:
-        row, known = self.find(h)
-        count = np.where(known, self.counts[row], 0) if known.any() else np.zeros(len(h), np.int64)
+        count = np.zeros(len(h), np.int64)
+        if len(self.hashes):
+            row = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            count = np.where(self.hashes[row] == h, self.counts[row], 0)
         return h[np.lexsort((h, count))[: prefix_length(len(h))]]
 
 
+def may_link(na, place_a, nb, place_b):
+    """Whether sets may link whose first common shingle is at these places: no more than what follows can be shared. So
+    the smaller one has it in its first seventh, and of two members of a region that haven't, none can link."""
+    return (3 * (na + nb) <= 7 * (na - place_a)) & (3 * (na + nb) <= 7 * (nb - place_b))
+
+
 def regions(rows: DataFrame, order, buckets: int) -> DataFrame:
-    """Candidate pairs (a, b; size null) of small regions and of pivots, and the members (s, a, n, place, pivot; size) of
-    large ones. Shingles go to buckets in packed columns; the members of a frequent shingle go to any bucket, as its
-    pivot is known beforehand, so no bucket has to hold a region that grows with the corpus."""
+    """Candidate pairs (a, b; s null) of small regions, and the members (s, a, n, place) of larger ones. Regions come sorted
+    and pass through a task as a stream, so none has to fit into memory."""
 
     def spread(batches):
         words, seen, size, parts = Vocabulary(), set(), 0, []
 
         def flush():
             if parts:
-                s = np.concatenate([p for p, _, _ in parts])
                 counts = np.array([len(p) for p, _, _ in parts])
                 fp, n = (np.repeat(np.array([x[k] for x in parts], np.int64), counts) for k in (1, 2))
-                place = np.arange(len(s)) - np.repeat(np.cumsum(counts) - counts, counts)
-                known = order.value.find(s)[1]
-                to = np.where(known, mix64(fp.view(np.uint64)), s) % np.uint64(buckets)
-                by = np.argsort(to, kind="stable")
-                ends = np.searchsorted(to[by], np.arange(buckets + 1))
-                for i in np.flatnonzero(np.diff(ends)):
-                    at = by[ends[i] : ends[i + 1]]
-                    yield int(i), *(x[at].astype(t).tobytes() for x, t in ((s, np.uint64), (fp, np.int64), (n, np.uint32), (place, np.uint32)))
-
-        def out(found):
-            columns = list(zip(*found, strict=True))
-            if columns:
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["bucket", "s", "fp", "n", "place"])
+                place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate([p for p, _, _ in parts])), pa.array(fp), pa.array((n << 32) | place)], names=["s", "fp", "at"])
 
         for b in batches:
             for t in b.column(0).to_pylist():
@@ -161,50 +161,84 @@ def regions(rows: DataFrame, order, buckets: int) -> DataFrame:
                     seen.add(fp)
                     parts.append((order.value.prefix(h), fp, len(h)))
                     size += len(parts[-1][0])
-            if size >= FLUSH:
-                yield from out(flush())
+            if size >= ROWS:
+                yield from flush()
                 parts, size = [], 0
                 if len(seen) > 200_000:
                     seen = set()
-        yield from out(flush())
-
-    def join(table: pa.Table) -> pa.Table:
-        s, fp, n, place = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("s", np.uint64), ("fp", np.int64), ("n", np.uint32), ("place", np.uint32)))
-        n, place = n.astype(np.int64), place.astype(np.int64)
-        by = np.lexsort((fp, s))
-        by = by[np.concatenate([[True], (s[by][1:] != s[by][:-1]) | (fp[by][1:] != fp[by][:-1])])]
-        s, fp, n, place = s[by], fp[by], n[by], place[by]
-        row, known = order.value.find(s)
-        pairs, members = [], []
-        if known.any():
-            x, o = known, order.value
-            members.append((s[x], fp[x], n[x], place[x], o.low[row[x]], o.low_n[row[x]], o.counts[row[x]]))
-        s, fp, n, place = s[~known], fp[~known], n[~known], place[~known]
-        starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+        yield from flush()
+
+    def join(s, fp, n, place):
+        """Pairs of whole regions that are small, and members of those that aren't."""
+        if not len(s):
+            return
+        starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         sizes = np.diff(np.append(starts, len(s)))
-        for k in range(2, LEAVES[0] + 1):
-            first = starts[sizes == k]
+        # a link's smaller set has the shingle in its first seventh
+        live = (sizes > 1) & (np.add.reduceat((7 * place <= n).astype(np.int64), starts) > 0)
+        pairs = []
+        for k in range(2, LEAF + 1):
+            first = starts[live & (sizes == k)]
             for i in range(k):
                 for j in range(i + 1, k):
                     a, b = first + i, first + j
-                    # whatever shares a small region is measured, so what is left shares large regions only
-                    ok = 4 * np.minimum(n[a], n[b]) >= 3 * np.maximum(n[a], n[b])
-                    pairs.append(np.stack([fp[a[ok]], fp[b[ok]]]))
-        large = np.flatnonzero(sizes > LEAVES[0])
-        if len(large):
-            at = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in large])
-            head = np.repeat(starts[large], sizes[large])
-            members.append((s[at], fp[at], n[at], place[at], fp[head], n[head], np.repeat(sizes[large], sizes[large])))
-        m = [np.concatenate(c) for c in zip(*members, strict=True)] if members else [np.zeros(0, np.int64)] * 7
-        # a pivot pairs with all members that sizes allow
-        star = (m[1] != m[4]) & (4 * np.minimum(m[2], m[5]) >= 3 * np.maximum(m[2], m[5]))
-        pairs.append(np.sort(np.stack([m[1][star], m[4][star]]), axis=0))
-        ab = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), np.int64)
-        none, more = pa.nulls(ab.shape[1], pa.int64()), [pa.array(c.view(np.int64)) for c in (m[0], m[1], m[2], m[3], m[4], m[6])]
-        return pa.table([pa.concat_arrays([pa.array(ab[0]), more[1]]), pa.concat_arrays([pa.array(ab[1]), pa.nulls(len(m[0]), pa.int64())]), *[pa.concat_arrays([none, c]) for c in (more[0], more[2], more[3], more[4], more[5])]], names=["a", "b", "s", "n", "place", "pivot", "size"])
-
-    packed = rows.select("text").mapInArrow(spread, "bucket int, s binary, fp binary, n binary, place binary")
-    return packed.groupBy("bucket").applyInArrow(join, "a long, b long, s long, n long, place long, pivot long, size long")
+                    ok = may_link(n[a], place[a], n[b], place[b])
+                    pairs.append(np.sort(np.stack([fp[a[ok]], fp[b[ok]]]), axis=0))
+        ab = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        yield out(*ab)
+        of = np.repeat(live & (sizes > LEAF), sizes)
+        yield out(fp[of], None, s[of], n[of], place[of])
+
+    def out(a, *rest):
+        return pa.RecordBatch.from_arrays([pa.array(a), *[pa.array(x) if x is not None else pa.nulls(len(a), pa.int64()) for x in (*rest, None, None, None)][:4]], names=["a", "b", "s", "n", "place"])
+
+    def stream(batches):
+        none = np.zeros(0, np.int64)
+        held, size, left, passing = [], 0, (none, none, none), None
+
+        def work():
+            s, fp, at = (np.concatenate([x, *[c[k] for c in held]]) for k, x in enumerate(left))
+            new = np.concatenate([[True], (s[1:] != s[:-1]) | (fp[1:] != fp[:-1])]) if len(s) else np.zeros(0, bool)
+            if passing is not None:
+                new[0] = False  # its last row, which has been passed on
+            return s[new], fp[new], at[new] >> 32, at[new] & 0xFFFFFFFF
+
+        for b in batches:
+            if not len(b):
+                continue
+            held.append([b.column(k).to_numpy() for k in range(3)])
+            size += len(b)
+            if size < ROWS:
+                continue
+            s, fp, n, place = work()
+            last = held[-1][0][-1]
+            if passing is not None:
+                go = s == passing
+                yield out(fp[go], None, s[go], n[go], place[go])
+                s, fp, n, place = (x[~go] for x in (s, fp, n, place))
+            end = np.searchsorted(s == last, True)  # regions but for the last one are whole
+            yield from join(s[:end], fp[:end], n[:end], place[:end])
+            s, fp, n, place = (x[end:] for x in (s, fp, n, place))
+            if passing != last:
+                passing = None
+            if len(s) > HELD:
+                passing = last
+                yield out(fp, None, s, n, place)
+            if passing is None:
+                left = (s, fp, (n << 32) | place)
+            else:
+                left = tuple(x[-1:] for x in held[-1])
+            held, size = [], 0
+        s, fp, n, place = work()
+        if passing is not None:
+            go = s == passing
+            yield out(fp[go], None, s[go], n[go], place[go])
+            s, fp, n, place = (x[~go] for x in (s, fp, n, place))
+        yield from join(s, fp, n, place)
+
+    spread_out = rows.select("text").mapInArrow(spread, "s long, fp long, at long")
+    dealt = spread_out.repartition(buckets, "s").sortWithinPartitions("s", "fp")
+    return dealt.mapInArrow(stream, "a long, b long, s long, n long, place long")
 
 
 def measured(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -224,7 +258,8 @@ def measured(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
 
     pairs = written(pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(may, "a long, b long"), "pairs")
     named = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    keys = named.join(classes.select("fp", "first"), "fp").select(F.col("first.key").alias("_key"), F.col("first.mark").alias("_mark"), "fp")
+    # written down, so that few of them are known to be few and all texts stay where they are
+    keys = written(named.join(classes.select("fp", "first"), "fp").select(F.col("first.key").alias("_key"), F.col("first.mark").alias("_mark"), "fp"), "named")
 
     def sets(batches):
         words, seen = Vocabulary(), set()
@@ -250,13 +285,63 @@ def measured(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     one = pairs.join(found.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), "a")
     two = one.join(found.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")), "b")
     out = written(two.select("a", "b", "sa", "sb").mapInArrow(meet, "a long, b long, na long, nb long, both long").distinct(), "distances")
-    dropped(pairs, found)
+    dropped(pairs, keys, found)
     return out
 
 
 LINKED = "100 * both >= 75 * (na + nb - both)"
 
 
+def _fits(x: str, y: str) -> Column:
+    """may_link for the members x and y of a join, of different cells, inside the windows of all pivots that both are measured from."""
+    c = lambda name, k: F.col(f"{name}_{k}")
+    fits = may_link(c("n", x), c("place", x), c("n", y), c("place", y)) & (c("cell", x) != c("cell", y))
+    near = lambda p: F.coalesce(F.abs(c("d", x)[p] - c("d", y)[p]) <= 0.25 + 1e-9, F.lit(True))
+    return fits & F.coalesce(F.forall(F.map_keys(c("d", x)), near), F.lit(True))
+
+
+def _side(members: DataFrame, k: str) -> DataFrame:
+    return members.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("fp", "n", "place", "cell", "d", "main")])
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("fp_x", "fp_y").alias("a"), F.greatest("fp_x", "fp_y").alias("b"))
+
+
+def pivots_of(members: DataFrame, most: int) -> DataFrame:
+    """(s, p) of the ``most`` largest cells of each region: the member with the fewest rarer shingles, in its first seventh."""
+    cells = members.groupBy("s", "cell").agg(F.count("*").alias("size"), F.min(F.when(F.expr("7 * place <= n"), F.struct("place", (-F.col("n")).alias("n"), "fp"))).alias("low")).filter("low is not null")
+    if most == 1:
+        return cells.groupBy("s").agg(F.max(F.struct("size", (-F.col("low.place")).alias("place"), "low"))["low"]["fp"].alias("p"))
+    ranked = cells.withColumn("rank", F.row_number().over(Window.partitionBy("s").orderBy(F.desc("size"), "low")))
+    return ranked.filter(F.col("rank") <= most).select("s", F.col("low.fp").alias("p"))
+
+
+def star_pairs(members: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Every pivot with the members of its region that it may link with."""
+    centre = _side(members.join(pivots, (members.s == pivots.s) & (members.fp == pivots.p), "left_semi"), "y")
+    return _ordered(_side(members, "x").join(centre, "s").filter(_fits("x", "y")))
+
+
+def banded(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join of cells, by region and band of sizes: the smaller sets of links, each in its own band, and the
+    larger ones, in all bands that a smaller partner may be in."""
+    band = lambda n: F.floor(F.log(n) / float(np.log(BAND)))
+    small = _side(members.filter("7 * place <= n"), "y").withColumn("band", band(F.col("n_y")))
+    top = F.least(F.col("n_x"), F.floor((7 * (F.col("n_x") - F.col("place_x")) - 3 * F.col("n_x")) / 3))
+    least = F.ceil(0.75 * F.col("n_x"))
+    large = _side(members, "x").filter(top >= least)
+    return large.withColumn("band", F.explode(F.sequence(band(least), band(top)))), small
+
+
+def cell_pairs(large: DataFrame, small: DataFrame) -> DataFrame:
+    """Pairs of different cells that all windows leave; within the largest cell of a region nothing meets."""
+    order = (F.col("n_y") < F.col("n_x")) | ((F.col("n_y") == F.col("n_x")) & (F.col("fp_y") < F.col("fp_x")))
+    some = large.filter("not main_x").join(small, ["s", "band"]).filter(order & _fits("x", "y"))
+    rest = large.filter("main_x").join(small.filter("not main_y"), ["s", "band"]).filter(order & _fits("x", "y"))
+    return _ordered(some).unionByName(_ordered(rest))
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id (smallest key that links reach) and kept for every row.
 
@@ -274,53 +359,39 @@ def _components(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
     first = written(summaries(rows), "shingle-sets")
     every = first.filter("hash is null").select("key", "n", "fp", "sketch", "mark")
-    top = first.filter("hash is not null").groupBy("hash").agg(F.sum("count").alias("count"), F.min(F.struct("low", "low_n")).alias("low")).orderBy(F.desc("count"), "hash").limit(FREQUENT).select("hash", "count", "low.*")
-    top = top.toArrow()
-    order = spark.sparkContext.broadcast(Order(*(top[c].combine_chunks().to_numpy(zero_copy_only=False).view(np.uint64 if c == "hash" else np.int64).copy() for c in ("hash", "count", "low", "low_n"))))
+    top = first.filter("hash is not null").groupBy("hash").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "hash").limit(FREQUENT).toArrow()
+    order = spark.sparkContext.broadcast(Order(*(top[c].combine_chunks().to_numpy(zero_copy_only=False).view(kind).copy() for c, kind in (("hash", np.uint64), ("count", np.int64)))))
     classes = written(every.filter("n > 0").groupBy("fp").agg(F.min("key").alias("key"), F.min(F.struct("key", "mark")).alias("first"), F.min("n").alias("n"), F.any_value("sketch").alias("sketch")), "set-classes")
 
     met = written(regions(rows, order, buckets_for(docs)), "regions")
-    members = met.filter("s is not null").select("s", F.col("a").alias("fp"), "n", "place", "pivot", "size")
-    # the pivot of a frequent shingle belongs to its region though its own prefix may lack the shingle: no pair is lost, both are measured
-    known = measured(met.filter("s is null"), rows, classes)
-    links = known.filter(LINKED).select("a", "b")
-    for depth, leaf in enumerate([*LEAVES[1:], None]):
+    # no two members are in one cell as yet, and none is measured
+    members = met.filter("s is not null").select("s", F.col("a").alias("fp"), "n", "place", F.col("a").alias("cell"), F.lit(None).cast("map<long,double>").alias("d"), F.lit(False).alias("main"))
+    pivots = written(pivots_of(members, 1), "pivots")
+    known = [measured(met.filter("s is null").select("a", "b").unionByName(star_pairs(members, pivots)), rows, classes)]
+    members = members.select("s", "fp", "n", "place")
+    for depth in range(1, ROUNDS + 1):
+        distances = reduce(DataFrame.unionByName, known)
+        cells = written(components(distances.filter(LINKED).select("a", "b")), "cells")
+        members = open_members(members, pivots, distances, cells)
         if members.isEmpty():
             break
-        found = components(links)
-        part = lambda c, n, found=found: found.select(F.col("node").alias(c), F.col("component").alias(n))
-        at = members.join(part("fp", "own"), "fp", "left").withColumn("own", F.coalesce("own", "fp"))
-        main = at.groupBy("s", "own").count().groupBy("s").agg(F.max(F.struct("count", "own"))["own"].alias("main"), F.count("*").alias("kinds")).filter("kinds > 1")
-        far = known.select(F.col("a").alias("fp"), F.col("b").alias("pivot"), "na", "nb", "both").unionByName(known.select(F.col("b").alias("fp"), F.col("a").alias("pivot"), "na", "nb", "both"))
-        at = at.join(far.select("fp", "pivot", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d")), ["fp", "pivot"], "left")
-        # who isn't in the region's largest component still has to meet its other components; most regions have one
-        at = at.join(main.select("s", "main"), "s").withColumn("apart", F.col("own") != F.col("main"))
-        open_ = at.filter("apart").groupBy("s").agg(F.count("*").alias("strangers"), F.min("fp").alias("next"))
-        at = written(at.join(open_, "s"), "strangers")
-        small = at if leaf is None else at.filter(F.col("strangers") <= leaf)
-        x, y = (small.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("fp", "n", "place", "own", "d", "apart")]) for k in "xy")
-        rest = None if leaf is None else at.filter(F.col("strangers") > leaf)
-        last = rest is None or rest.isEmpty()
-        meet = (F.col("own_x") != F.col("own_y")) & (~F.col("apart_y") | (F.col("fp_x") < F.col("fp_y"))) & (4 * F.least("n_x", "n_y") >= 3 * F.greatest("n_x", "n_y"))
-        window = F.coalesce(F.abs(F.col("d_x") - F.col("d_y")) <= 0.25 + 1e-9, F.lit(True))
-        # either may be the one that is apart, by region: a pair's regions count together only if it has one order
-        one, two = (F.when(F.col("fp_x") < F.col("fp_y"), F.struct(*[F.col(f"{c}_{k}").alias(c) for c in ("fp", "n")])).otherwise(F.struct(*[F.col(f"{c}_{j}").alias(c) for c in ("fp", "n")])) for k, j in ("xy", "yx"))
-        met = x.filter("apart_x").join(y, ["s"]).filter(meet).select(one.alias("a"), two.alias("b"), window.alias("near"))
-        met = met.groupBy(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b")).agg(F.count("*").alias("shared"), F.min("near").alias("near"))
-        # of two sets that link, each may lack so few shingles of the other that their prefixes share this many
-        need = F.floor((3 * (F.col("n_a") + F.col("n_b")) + 6) / 7)
-        spare = lambda n: need - F.floor((3 * n + 3) / 4) + 1  # noqa: E731  prefix_length(n) - (n - need)
-        # the number is known where no region of the pair waits for another pivot
-        enough = F.col("shared") >= F.least(spare(F.col("n_a")), spare(F.col("n_b"))) if last and depth == 0 else F.lit(True)
-        pairs = met.filter(F.col("near") & enough).select("a", "b")
-        if rest is not None:
-            # the strangers of a large region, and all that may link with them, gather around the smallest stranger
-            pairs = pairs.unionByName(rest.filter("fp != next").select(F.col("fp").alias("a"), F.col("next").alias("b")))
-            members = written(rest.select("s", "fp", "n", "place", F.col("next").alias("pivot"), "size"), "members")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = measured(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), rows, classes)
-        known = written(known.unionByName(new), "distances")
-        links = known.filter(LINKED).select("a", "b")
+        large, small = banded(members)
+        if depth < ROUNDS:
+            few = _few(members, large, small)
+            more = written(pivots_of(members.join(few, "s", "left_anti"), 4**depth), "pivots")
+            pivots = pivots.unionByName(more)
+            large, small = (t.join(few, "s", "left_semi") for t in (large, small))
+            pairs = cell_pairs(large, small).unionByName(star_pairs(members, more))
+        else:
+            pairs = cell_pairs(large, small)
+        new = pairs.distinct().join(distances.select("a", "b"), ["a", "b"], "left_anti")
+        known.append(measured(new, rows, classes))
+        if depth < ROUNDS:
+            # those whose pairs have all been measured are done
+            members = written(members.join(few, "s", "left_anti").select("s", "fp", "n", "place"), "members")
+            if members.isEmpty():
+                break
+    links = reduce(DataFrame.unionByName, known).filter(LINKED).select("a", "b")
     found = components(links)
     named = classes.select("fp", "key").join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     low = named.groupBy("component").agg(F.min("key").alias("component_id"))
@@ -329,6 +400,27 @@ def _components(docs: DataFrame, key: str, text: str) -> DataFrame:
     return out.select("key", "mark", "n", "component", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
 
 
+def open_members(members: DataFrame, pivots: DataFrame, distances: DataFrame, cells: DataFrame) -> DataFrame:
+    """The members of regions that are more than one cell, with their cell, whether it is the region's largest, and their
+    distances d from its pivots."""
+    at = members.join(cells.select(F.col("node").alias("fp"), F.col("component").alias("cell")), "fp", "left").withColumn("cell", F.coalesce("cell", "fp"))
+    main = at.groupBy("s", "cell").count().groupBy("s").agg(F.max(F.struct("count", "cell"))["cell"].alias("main"), F.count("*").alias("cells")).filter("cells > 1").select("s", "main")
+    at = at.join(main, "s").withColumn("main", F.col("main") == F.col("cell"))
+    far = distances.select(F.col("a").alias("fp"), F.col("b").alias("p"), "na", "nb", "both").unionByName(distances.select(F.col("b").alias("fp"), F.col("a").alias("p"), "na", "nb", "both"))
+    far = far.select("fp", "p", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("distance"))
+    told = at.join(pivots, "s").join(far, ["fp", "p"]).groupBy("s", "fp").agg(F.map_from_entries(F.collect_set(F.struct("p", "distance"))).alias("d"))
+    return written(at.join(told, ["s", "fp"], "left"), "members")
+
+
+def _few(members: DataFrame, large: DataFrame, small: DataFrame) -> DataFrame:
+    """Regions (s) whose cells make few pairs in the bands of sizes, for their members."""
+    count = lambda t, k: t.groupBy("s", "band").agg(F.count("*").alias(f"all_{k}"), F.count_if(~F.col(f"main_{k}")).alias(f"some_{k}"))
+    met = count(large, "x").join(count(small, "y"), ["s", "band"])
+    met = met.groupBy("s").agg(F.sum(F.col("some_x") * F.col("all_y") + (F.col("all_x") - F.col("some_x")) * F.col("some_y")).alias("pairs"))
+    size = members.groupBy("s").agg(F.count("*").alias("size"))
+    return written(size.join(met, "s", "left").filter(F.coalesce("pairs", F.lit(0)) <= PAIRS_EACH * F.col("size")).select("s"), "few")
+
+
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, with its own columns: the one with the smallest key that isn't null, of rows with
     that key the one whose text has the smallest hash. Documents without shingles all stay."""

@@ -684,10 +684,11 @@ def test_op10(spark, texts):
     assert got == brute_join(texts)
 
 
-@pytest.mark.parametrize("leaves", [(2, 3), (8, 1024)])
-def test_join_of_dense_regions(spark, monkeypatch, leaves):
+@pytest.mark.parametrize("limits", [{}, {"LEAF": 2, "HELD": 5, "ROWS": 64, "PAIRS_EACH": 0, "ROUNDS": 3}])
+def test_join_of_dense_regions(spark, monkeypatch, limits):
     """Large groups of near copies, strangers that share a passage, exact copies; small limits make regions recurse."""
-    monkeypatch.setattr(shingles, "LEAVES", leaves)
+    for name, value in limits.items():
+        monkeypatch.setattr(shingles, name, value)
     random.seed(8)
     vocabulary = [f"w{i}" for i in range(300)]
     texts, passage = {}, [random.choice(vocabulary) for _ in range(40)]
@@ -746,8 +747,8 @@ def test_sketches_never_exceed_the_difference():
         assert np.abs(read(shingles.sketch_of(a)) - read(shingles.sketch_of(b))).sum() <= len(np.setxor1d(a, b))
 
 
-def test_linked_sets_share_enough_of_their_prefixes():
-    """The number that the join asks for across components, on random pairs at and above the threshold, in random orders."""
+def test_linked_sets_may_link_at_their_first_common_shingle():
+    """The bound that regions go by, on random pairs at and above the threshold, in random orders."""
     random.seed(9)
     met = 0
     for _ in range(4000):
@@ -761,11 +762,11 @@ def test_linked_sets_share_enough_of_their_prefixes():
             continue
         met += 1
         rank = dict(zip(range(1200), random.sample(range(1200), 1200), strict=True))
-        px, py = (set(sorted(z, key=rank.get)[: shingles.prefix_length(len(z))]) for z in (x, y))
-        need = (3 * (len(x) + len(y)) + 6) // 7
-        assert both >= need
-        assert len(px & py) >= min(need - (3 * len(z) + 3) // 4 + 1 for z in (x, y))
-        assert len(px & py) >= 1
+        px, py = (sorted(z, key=rank.get)[: shingles.prefix_length(len(z))] for z in (x, y))
+        first = min(set(px) & set(py), key=rank.get)
+        assert shingles.may_link(len(x), px.index(first), len(y), py.index(first))
+        small, place = (x, px) if len(x) <= len(y) else (y, py)
+        assert 7 * place.index(first) <= len(small)
     assert met > 500
 
 
