@@ -300,8 +300,8 @@ def _fits(x: str, y: str) -> Column:
     return fits & F.coalesce(F.forall(F.map_keys(c("d", x)), near), F.lit(True))
 
 
-def _side(members: DataFrame, k: str) -> DataFrame:
-    return members.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("fp", "n", "place", "cell", "d", "main")])
+def _side(members: DataFrame, k: str, *more: str) -> DataFrame:
+    return members.select("s", *more, *[F.col(c).alias(f"{c}_{k}") for c in ("fp", "n", "place", "cell", "d", "main")])
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -324,21 +324,22 @@ def star_pairs(members: DataFrame, pivots: DataFrame) -> DataFrame:
 
 
 def banded(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides of the join of cells, by region and band of sizes: the smaller sets of links, each in its own band, and the
-    larger ones, in all bands that a smaller partner may be in."""
+    """Both sides of the join of cells, by region and the bands of both sizes. Each side, the larger and the smaller sets
+    of links, has its own band and takes all bands that the places of the region's shingle leave to a partner."""
     band = lambda n: F.floor(F.log(n) / float(np.log(BAND)))
-    small = _side(members.filter("7 * place <= n"), "y").withColumn("band", band(F.col("n_y")))
-    top = F.least(F.col("n_x"), F.floor((7 * (F.col("n_x") - F.col("place_x")) - 3 * F.col("n_x")) / 3))
-    least = F.ceil(0.75 * F.col("n_x"))
-    large = _side(members, "x").filter(top >= least)
-    return large.withColumn("band", F.explode(F.sequence(band(least), band(top)))), small
+    n, most = F.col("n"), F.floor((7 * (F.col("n") - F.col("place")) - 3 * F.col("n")) / 3)
+    bands = lambda low, high: F.explode(F.sequence(band(low), band(high)))
+    least = F.ceil(0.75 * n)
+    large = members.filter(most >= least).select("*", band(n).alias("band_x"), bands(least, F.least(n, most)).alias("band_y"))
+    small = members.filter(most >= n).select("*", band(n).alias("band_y"), bands(n, F.least(F.floor(4 * n / 3), most)).alias("band_x"))
+    return (_side(t, k, "band_x", "band_y") for t, k in ((large, "x"), (small, "y")))
 
 
 def cell_pairs(large: DataFrame, small: DataFrame) -> DataFrame:
     """Pairs of different cells that all windows leave; within the largest cell of a region nothing meets."""
     order = (F.col("n_y") < F.col("n_x")) | ((F.col("n_y") == F.col("n_x")) & (F.col("fp_y") < F.col("fp_x")))
-    some = large.filter("not main_x").join(small, ["s", "band"]).filter(order & _fits("x", "y"))
-    rest = large.filter("main_x").join(small.filter("not main_y"), ["s", "band"]).filter(order & _fits("x", "y"))
+    some = large.filter("not main_x").join(small, ["s", "band_x", "band_y"]).filter(order & _fits("x", "y"))
+    rest = large.filter("main_x").join(small.filter("not main_y"), ["s", "band_x", "band_y"]).filter(order & _fits("x", "y"))
     return _ordered(some).unionByName(_ordered(rest))
 
 
@@ -368,15 +369,17 @@ def _components(docs: DataFrame, key: str, text: str) -> DataFrame:
     members = met.filter("s is not null").select("s", F.col("a").alias("fp"), "n", "place", F.col("a").alias("cell"), F.lit(None).cast("map<long,double>").alias("d"), F.lit(False).alias("main"))
     pivots = written(pivots_of(members, 1), "pivots")
     known = [measured(met.filter("s is null").select("a", "b").unionByName(star_pairs(members, pivots)), rows, classes)]
-    members = members.select("s", "fp", "n", "place")
+    members, last = members.select("s", "fp", "n", "place"), False
     for depth in range(1, ROUNDS + 1):
+        # where more pivots have found nothing to measure, the windows alone leave few pairs
+        last = last or depth == ROUNDS
         distances = reduce(DataFrame.unionByName, known)
         cells = written(components(distances.filter(LINKED).select("a", "b")), "cells")
         members = open_members(members, pivots, distances, cells)
         if members.isEmpty():
             break
         large, small = banded(members)
-        if depth < ROUNDS:
+        if not last:
             few = _few(members, large, small)
             more = written(pivots_of(members.join(few, "s", "left_anti"), 4**depth), "pivots")
             pivots = pivots.unionByName(more)
@@ -386,11 +389,13 @@ def _components(docs: DataFrame, key: str, text: str) -> DataFrame:
             pairs = cell_pairs(large, small)
         new = pairs.distinct().join(distances.select("a", "b"), ["a", "b"], "left_anti")
         known.append(measured(new, rows, classes))
-        if depth < ROUNDS:
-            # those whose pairs have all been measured are done
-            members = written(members.join(few, "s", "left_anti").select("s", "fp", "n", "place"), "members")
-            if members.isEmpty():
-                break
+        if last:
+            break
+        # those whose pairs have all been measured are done
+        members = written(members.join(few, "s", "left_anti").select("s", "fp", "n", "place"), "members")
+        if members.isEmpty():
+            break
+        last = known[-1].isEmpty()
     links = reduce(DataFrame.unionByName, known).filter(LINKED).select("a", "b")
     found = components(links)
     named = classes.select("fp", "key").join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
@@ -413,9 +418,9 @@ def open_members(members: DataFrame, pivots: DataFrame, distances: DataFrame, ce
 
 
 def _few(members: DataFrame, large: DataFrame, small: DataFrame) -> DataFrame:
-    """Regions (s) whose cells make few pairs in the bands of sizes, for their members."""
-    count = lambda t, k: t.groupBy("s", "band").agg(F.count("*").alias(f"all_{k}"), F.count_if(~F.col(f"main_{k}")).alias(f"some_{k}"))
-    met = count(large, "x").join(count(small, "y"), ["s", "band"])
+    """Regions (s) whose cells make few pairs within the bands, for their members."""
+    count = lambda t, k: t.groupBy("s", "band_x", "band_y").agg(F.count("*").alias(f"all_{k}"), F.count_if(~F.col(f"main_{k}")).alias(f"some_{k}"))
+    met = count(large, "x").join(count(small, "y"), ["s", "band_x", "band_y"])
     met = met.groupBy("s").agg(F.sum(F.col("some_x") * F.col("all_y") + (F.col("all_x") - F.col("some_x")) * F.col("some_y")).alias("pairs"))
     size = members.groupBy("s").agg(F.count("*").alias("size"))
     return written(size.join(met, "s", "left").filter(F.coalesce("pairs", F.lit(0)) <= PAIRS_EACH * F.col("size")).select("s"), "few")
