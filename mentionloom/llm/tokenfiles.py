@@ -1,24 +1,26 @@
 """Token files: ids of documents, coded by an adaptive context-mixing range coder in independent, checksummed blocks.
 
-A block starts with an empty model. For each id the model predicts from the two ids before (order 2), from the one
-before (order 1) and from the counts of the block so far (order 0); an id that none of them knows is spelt out. How
-the interval is shared among the predictors is learnt, by how sure the order-2 and order-1 predictions are and
-whether they agree; agreeing predictions pool their share. Counts and shares are renewed as a block grows. An
-arithmetic coder narrows the interval. The blocks of a segment are coded side by side, one step of all of them at a
-time, so that every step is a few array operations.
+A block starts with an empty model. Three orders predict each id: order 2 and order 1 the id that followed last after the
+two ids or the one id before, order 0 all ids of the block so far, each by its count. The probability of an id is the sum
+of what the orders give to it, by shares that are learnt for every state of the predictions (how often each has held in a
+row, and whether they agree); the rest of the interval spells ids out that are new in the block. Counts and shares are
+renewed as a block grows. An arithmetic coder narrows the interval. The blocks of a segment are coded side by side, one
+step of all of them at a time, so that every step is a few array operations.
 
-File: segments, one after the other. Segment: "<4s5I" magic, documents, ids, block length, blocks, index bytes; the
-index (zlib: null mask, document ids as int64, counts as uint32) and its crc32; "<II" a block: 16-bit words of its
-code, crc32 of its ids as little-endian uint16; then the words of all blocks."""
+File: segments, one after the other. Segment: "<4s5I" magic, documents, ids, block length, blocks, index bytes, and the
+crc32 of these; the index (zlib: null mask, document ids as int64, counts as uint32) and its crc32; "<II" a block (16-bit
+words of its code, crc32 of its ids as little-endian uint16) and the crc32 of them all; then the words of all blocks."""
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections import defaultdict
-from itertools import chain, count, islice
+from itertools import chain, compress, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,48 +31,66 @@ from pyspark.sql import functions as F
 
 from mentionloom.llm.common import input_bytes, shared_dir, small_batches, written
 
-MAGIC, HEAD = b"MLT1", struct.Struct("<4s5I")
+MAGIC, HEAD, CRC = b"MLT2", struct.Struct("<4s5I"), struct.Struct("<I")
 #: Ids of a block at most, and blocks that are coded side by side; a segment holds no more.
 BLOCK, LANES = 1024, 2048
 #: Slots of the order-2 and order-1 tables of a block.
 SLOTS = 1024
 #: The order-0 counts and the shares are renewed after so many ids of a block.
 RENEW = (16, 32, 64, 128, 256, 512)
-#: Most times in a row that count, weight of an outcome that happened, and most of all weights together.
-SURE, STEP, FULL = 3, 16, 3500
-#: Intervals have 48 bits and give off 16 at a time; narrower ones than SMALL are cut to end at a border.
-WINDOW, SHIFT, SMALL = (1 << 48) - 1, 32, 1 << 28
+#: Most times in a row that count, and weight of an outcome that happened.
+SURE, STEP = 3, 16
+#: The interval is cut into 2 ** TOTAL parts; shares are multiples of 2 ** ID_BITS parts, and add up to all of them.
+TOTAL, ID_BITS = 30, 16
+SHARES = 1 << (TOTAL - ID_BITS)
+#: Intervals have 62 bits and give off 16 at a time; narrower ones than SMALL are cut to end at a border.
+WINDOW, SHIFT, BELOW, SMALL = (1 << 62) - 1, 46, (1 << 46) - 1, 1 << 42
+#: Stands for no id in the tables of a block.
+NOTHING = 1 << 16
 
 
 class Shares:
-    """How the outcomes (order 2, order 1, order 0, spelt out) share the interval, by block and state of the predictions."""
+    """How order 2, order 1, order 0 and ids that are new share the interval, by block and state of the predictions."""
 
     def __init__(self, lanes: int):
         two, one, same = np.arange(32) >> 3, (np.arange(32) >> 1) & 3, np.arange(32) & 1
-        self.start = np.tile(np.stack([8 * (two > 0) * two, 4 * one * (1 - same), np.full(32, 8), np.full(32, 4)], 1), (lanes, 1))
+        self.start = np.tile(np.stack([8 * two, 4 * one * (1 - same), np.full(32, 8), np.full(32, 4)], 1), (lanes, 1))
         self.seen = np.zeros((lanes * 32, 4), np.int64)
-        self.renew(np.zeros(0, np.int64))
+        self.renew(np.zeros(0, np.int64), 0)
 
-    def renew(self, happened: np.ndarray) -> None:
-        """``happened``: (block * 32 + state) * 4 + outcome of the ids since the last renewal."""
+    def renew(self, happened: np.ndarray, history: int) -> None:
+        """``happened``: (block * 32 + state) * 4 + outcome of the ids since the last renewal, an outcome being the first
+        that knew the id; ``history``: number of ids that order 0 counts. ``packed``: four shares of 16 bits."""
         self.seen += np.bincount(happened, minlength=self.seen.size).reshape(self.seen.shape)
         counts = self.start + STEP * self.seen
-        total = counts.sum(1, keepdims=True)
-        counts = np.where(total > FULL, counts * FULL // np.maximum(total, 1) + (self.start > 0), counts)
-        self.upper = counts.cumsum(1).astype(np.int32)
+        # a share that may be needed isn't nothing; new ids have what is left over by rounding
+        s = (counts * (SHARES - 4) // counts.sum(1, keepdims=True)) + (self.start > 0)
+        if not history:
+            s[:, 2] = 0
+        s[:, 3] += SHARES - s.sum(1)
+        self.packed = (s[:, 0] << 48) | (s[:, 1] << 32) | (s[:, 2] << 16) | s[:, 3]
 
 
-def _history(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order-0 counts of each block's ids so far (a row a block): the sorted ids, and the bounds of each one's run."""
-    t = ids.shape[1]
-    ids = np.sort(ids, axis=1, kind="stable")
-    new = np.ones(ids.shape, bool)
-    new[:, 1:] = ids[:, 1:] != ids[:, :-1]
-    place = np.arange(t, dtype=np.int32)
-    first = np.maximum.accumulate(np.where(new, place, 0), axis=1)
-    end = np.full(ids.shape, t, np.int32)
-    end[:, :-1] = np.where(new[:, 1:], place[1:], t)
-    return ids, first.astype(np.int32), np.minimum.accumulate(end[:, ::-1], axis=1)[:, ::-1]
+def _history(ids: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every id (a row a block) its run among the first ``begin`` ids of its block, when these are sorted: start and
+    length in one number, place * 1024 + count. By position, then as sorted with the sorted ids."""
+    lanes, length = ids.shape
+    order = np.argsort(ids.astype(np.uint16), axis=1, kind="stable").astype(np.int32)
+    order += (np.arange(lanes, dtype=np.int32) * length)[:, None]
+    order = order.ravel()
+    x = ids.ravel().take(order)
+    new = np.empty(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    new[::length] = True
+    starts = np.flatnonzero(new)
+    past = np.ones(len(x), np.int32) if begin == length else (order % length < begin).astype(np.int32)
+    count = np.add.reduceat(past, starts)
+    before = np.cumsum(count) - count
+    first = before - starts // length * begin
+    run = np.repeat((first * 1024 + count).astype(np.int32), np.diff(np.append(starts, len(x))))
+    out = np.empty(len(x), np.int32)
+    out[order] = run
+    return out.reshape(ids.shape), run.reshape(ids.shape), x.reshape(ids.shape)
 
 
 def _slots(before1: np.ndarray, before2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,8 +99,8 @@ def _slots(before1: np.ndarray, before2: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _followed(slot: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What an order's table says before each id, for all blocks at once (a row a block): the id that followed last
-    in the same slot (-1: none), and how often it has held in a row, 1 to SURE (0: none)."""
+    """What an order's table says before each id, for all blocks at once (a row a block): the place of the id that
+    followed last in the same slot, counted over all blocks, and how often it has held in a row, 1 to SURE (0: none)."""
     lanes, length = ids.shape
     # narrow numbers, row by row: a sort in linear time
     order = np.argsort(slot.astype(np.uint16), axis=1, kind="stable").astype(np.int32)
@@ -96,40 +116,12 @@ def _followed(slot: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     # ids in a row that were as said: places since the last miss
     place = np.arange(len(k), dtype=np.int32)
     since = place - np.maximum.accumulate(np.where(hit, np.int32(0), place))
-    said, sure = np.full(len(k), -1, np.int32), np.zeros(len(k), np.int32)
+    at, sure = np.zeros(len(k), np.int32), np.zeros(len(k), np.int32)
     known = np.flatnonzero(again)
     to = order[known]
-    said[to] = x[known - 1]
+    at[to] = order[known - 1]
     sure[to] = np.minimum(SURE, 1 + since[known - 1])
-    return said.reshape(ids.shape), sure.reshape(ids.shape)
-
-
-class _Ranks:
-    """Of all ids of each block: how many of its first ids are smaller, and how many are equal."""
-
-    def __init__(self, ids: np.ndarray):
-        self.order = np.argsort(ids.astype(np.uint16), axis=1, kind="stable").astype(np.int32)
-        x = np.take_along_axis(ids, self.order, 1)
-        new = np.ones(ids.shape, bool)
-        np.not_equal(x[:, 1:], x[:, :-1], out=new[:, 1:])
-        place = np.arange(ids.shape[1], dtype=np.int32)
-        self.start = np.maximum.accumulate(np.where(new, place, np.int32(0)), axis=1)
-        end = np.full(ids.shape, ids.shape[1], np.int32)
-        end[:, :-1] = np.where(new[:, 1:], place[1:], np.int32(ids.shape[1]))
-        self.end = np.minimum.accumulate(end[:, ::-1], axis=1)[:, ::-1]
-
-    def among(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of the ids from ``begin`` to ``end``, among the first ``begin`` ones: numbers of smaller and of equal ids."""
-        lanes, length = self.order.shape
-        upto = np.zeros((lanes, length + 1), np.int32)
-        np.cumsum(self.order < begin, axis=1, out=upto[:, 1:])
-        row, col = np.nonzero((self.order >= begin) & (self.order < end))
-        first = upto[row, self.start[row, col]]
-        count = upto[row, self.end[row, col]] - first
-        out = np.zeros((2, lanes, end - begin), np.int32)
-        at = self.order[row, col] - begin
-        out[0, row, at], out[1, row, at] = first, count
-        return out[0], out[1]
+    return at.reshape(ids.shape), sure.reshape(ids.shape)
 
 
 def _periods(block: int) -> list[tuple[int, int]]:
@@ -143,6 +135,11 @@ def _active(total: int, block: int) -> tuple[int, int]:
     return blocks, total - (blocks - 1) * block if blocks else 0
 
 
+def _narrow(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Which intervals can give off their first 16 bits, or must."""
+    return np.flatnonzero(((low ^ (low + width)) <= BELOW) | (width < SMALL))
+
+
 def encode_blocks(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     """Words of every block, one block after the other, and their number by block. The model's view of all ids is
     worked out for a whole period at once; only the narrowing of the intervals goes step by step."""
@@ -153,59 +150,69 @@ def encode_blocks(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     known.reshape(-1)[: len(ids)] = ids
     before1, before2 = np.zeros_like(known), np.zeros_like(known)
     before1[:, 1:], before2[:, 2:] = known[:, :-1], known[:, :-2]
-    slot1, slot2 = _slots(before1.astype(np.int64), before2.astype(np.int64))
-    (p1, s1), (p2, s2) = _followed(slot1, known), _followed(slot2, known)
-    states = (s2 << 3) + (s1 << 1) + ((p1 == p2) & (p1 >= 0)) + (np.arange(blocks, dtype=np.int32) << 5)[:, None]
-    del before1, before2, slot1, slot2, s1, s2
-    ranks = _Ranks(known)
-    shares, every = Shares(blocks), np.arange(blocks)
+    slot1, slot2 = _slots(before1, before2)
+    (at1, sure1), (at2, sure2) = _followed(slot1, known), _followed(slot2, known)
+    del before1, before2, slot1, slot2
+    shares, every, lane32 = Shares(blocks), np.arange(blocks), (np.arange(blocks, dtype=np.int32) << 5)[:, None]
     low, width = np.zeros(blocks, np.int64), np.full(blocks, WINDOW, np.int64)
     out_lane, out_word = [], []
     for begin, end in _periods(block):
-        x, state = known[:, begin:end], states[:, begin:end]
+        span, log = np.s_[:, begin:end], max(0, begin.bit_length() - 1)
+        x, s1, s2 = known[span], sure1[span], sure2[span]
+        p1, p2 = known.ravel().take(at1[span]), known.ravel().take(at2[span])
+        two = s2 > 0
+        same = (p1 == p2) & two & (s1 > 0)
+        one = (s1 > 0) & ~same
+        state = (s2 << 3) + (s1 << 1) + same + lane32
+        share = shares.packed.take(state)
+        w2, w1, w0, new = ((share >> k).astype(np.int32) & 0xFFFF for k in (48, 32, 16, 0))
+        w2 <<= ID_BITS
+        w1 <<= ID_BITS
+        each = (w0 << ID_BITS) >> log
         if begin:
-            first, count = ranks.among(begin, end)
+            upto = np.zeros(known.shape, np.int32)
+            upto[:, :end] = _history(np.ascontiguousarray(known[:, :end]), begin)[0]
+            run, n1, n2 = upto[span], upto.ravel().take(at1[span]) & 1023, upto.ravel().take(at2[span]) & 1023
+            n1 *= one
+            n2 *= two
+            first, count = run >> 10, run & 1023
+            w2 += each * n2
+            w1 += each * n1
+            first -= n2 * (p2 < x)
+            first -= n1 * (p1 < x)
         else:
             first = count = np.zeros_like(x)
-        outcome = np.where(p2[:, begin:end] == x, 0, np.where(p1[:, begin:end] == x, 1, np.where(count > 0, 2, 3)))
-        upper = shares.upper[state]
-        share_end = np.take_along_axis(upper, outcome[..., None], 2)[..., 0].astype(np.int64)
-        share_start = np.where(outcome > 0, np.take_along_axis(upper, np.maximum(outcome - 1, 0)[..., None], 2)[..., 0], 0).astype(np.int64)
+        outcome = np.where(two & (p2 == x), 0, np.where(one & (p1 == x), 1, np.where(count > 0, 2, 3)))
+        start = np.where(outcome == 0, 0, np.where(outcome == 1, w2, np.where(outcome == 2, w2 + w1 + each * first, (1 << TOTAL) + new * (x - (1 << ID_BITS)))))
+        length = np.where(outcome == 0, w2, np.where(outcome == 1, w1, np.where(outcome == 2, each * count, new)))
         # rows are steps from here on
-        total, begin_, share = (np.ascontiguousarray(c.T) for c in (upper[..., 3].astype(np.int64), share_start, share_end - share_start))
-        parts = np.ascontiguousarray(np.where(outcome < 2, 1, np.where(outcome == 2, max(1, begin), 65536)).T)
-        start = np.ascontiguousarray(np.where(outcome == 3, x, np.where(outcome == 2, first, 0)).T)
-        length = np.ascontiguousarray(np.where(outcome == 2, count, 1).T)
+        start, length = (np.ascontiguousarray(c.T).astype(np.int64) for c in (start, length))
         for t in range(begin, end):
             n, i = (blocks if t < rest else blocks - 1), t - begin
             if not n:
                 break
             a, w = low[:n], width[:n]
-            r = w // total[i, :n]
-            a += r * begin_[i, :n]
-            r *= share[i, :n]
-            r //= parts[i, :n]
+            r = w >> TOTAL
             a += r * start[i, :n]
             np.multiply(r, length[i, :n], out=w)
-            while True:
-                near = ((a ^ (a + w)) >> SHIFT) == 0
-                tiny = w < SMALL
-                go = np.flatnonzero(near | tiny)
-                if not len(go):
-                    break
-                cut = np.flatnonzero(tiny & ~near)
+            go = _narrow(a, w)
+            while len(go):
+                now, wide = a[go], w[go]
+                cut = np.flatnonzero((wide < SMALL) & ((now ^ (now + wide)) > BELOW))
                 if len(cut):
-                    w[cut] = -a[cut] & (SMALL - 1)
-                now = a[go]
+                    wide[cut] = -now[cut] & (SMALL - 1)
                 out_lane.append(go.astype(np.uint16)), out_word.append((now >> SHIFT).astype(np.uint16))
-                a[go] = (now << 16) & WINDOW
-                w[go] <<= 16
+                now = (now << 16) & WINDOW
+                wide <<= 16
+                a[go], w[go] = now, wide
+                go = go[_narrow(now, wide)]
         happened = (state.astype(np.int64) << 2) + outcome
         if end > rest:
-            happened[-1, max(0, rest - begin) :] = 3  # never read: the last block ends before
-        shares.renew(happened.ravel())
-    for shift in (32, 16, 0):
+            happened[-1, max(0, rest - begin) :] = ((blocks - 1) * 32 << 2) + 3  # never read: the last block ends before
+        shares.renew(happened.ravel(), end)
+    for shift in (SHIFT, SHIFT - 16, SHIFT - 32):
         out_lane.append(every.astype(np.uint16)), out_word.append(((low >> shift) & 0xFFFF).astype(np.uint16))
+    out_lane.append(every.astype(np.uint16)), out_word.append(((low << (48 - SHIFT)) & 0xFFFF).astype(np.uint16))
     lane = np.concatenate(out_lane)
     return np.concatenate(out_word)[np.argsort(lane, kind="stable")], np.bincount(lane, minlength=blocks)
 
@@ -218,114 +225,156 @@ def decode_blocks(words: np.ndarray, sizes: np.ndarray, total: int, block: int)
     words = np.concatenate([words, np.zeros(4, np.uint16)]).astype(np.int64)
     at, last = np.cumsum(sizes) - sizes, len(words) - 1
     code = np.zeros(blocks, np.int64)
-    for _ in range(3):
-        code = (code << 16) | words[at]
+    for shift in (SHIFT, SHIFT - 16, SHIFT - 32):
+        code |= words[np.minimum(at, last)] << shift
         at += 1
+    # the window isn't a multiple of 16 bits: what is left of the word that follows comes with the next one
+    code |= words[np.minimum(at, last)] >> (48 - SHIFT)
     low, width = np.zeros(blocks, np.int64), np.full(blocks, WINDOW, np.int64)
-    # a table's entry: id * 4 + how sure, -4 where nothing is said
-    one, two = np.full(blocks * SLOTS, -4, np.int32), np.full(blocks * SLOTS, -4, np.int32)
-    base, lane32 = np.arange(blocks) * SLOTS, np.arange(blocks, dtype=np.int64) << 5
-    before1, before2 = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
-    hist, shares, every = np.zeros((block, blocks), np.uint16), Shares(blocks), np.arange(blocks)
+    # entries of the tables: where the id is in the block, the id, how often it has held; NOTHING is no id, with no run
+    lane, nowhere = np.arange(blocks), block * blocks
+    one, two = np.full(blocks * SLOTS, (nowhere << 22) | (NOTHING << 5)), np.full(blocks * SLOTS, (nowhere << 22) | ((NOTHING + 1) << 5))
+    base, lane32 = lane.astype(np.int32) * SLOTS, lane << 5
+    hist, run, shares = np.zeros((block + 2, blocks), np.int32), np.zeros(nowhere + 1, np.int32), Shares(blocks)
     for begin, end in _periods(block):
-        past, first, final = _history(np.ascontiguousarray(hist[:begin].T)) if begin else (None, None, None)
+        log = max(0, begin.bit_length() - 1)
+        if begin:
+            by_place, by_rank, past = _history(np.ascontiguousarray(hist[2 : begin + 2].T), begin)
+            run[: begin * blocks] = by_place.T.ravel()
+            by_rank, past = by_rank.ravel(), past.ravel()
         happened = np.zeros((end - begin, blocks), np.int64)
         for t in range(begin, end):
             n = blocks if t < rest else blocks - 1
             if not n:
                 break
-            at1, at2 = _slots(before1[:n], before2[:n])
+            # two rows of zeros stand before the first id
+            at1, at2 = _slots(hist[t + 1, :n], hist[t, :n])
             at1 += base[:n]
             at2 += base[:n]
-            e1, e2 = one[at1], two[at2]
-            p1, p2 = e1 >> 2, e2 >> 2
-            state = ((e2 & 3) << 3) + ((e1 & 3) << 1) + ((p1 == p2) & (p1 >= 0)) + lane32[:n]
-            upper = shares.upper[state]
+            e1, e2 = one.take(at1), two.take(at2)
+            p1, p2 = (e1 >> 5) & 0x1FFFF, (e2 >> 5) & 0x1FFFF
+            same = p1 == p2
+            state = (e1 & 6) + (e2 & 24) + same + lane32[:n]
+            share = shares.packed.take(state)
+            r1, r2 = run.take(e1 >> 22), run.take(e2 >> 22)
+            n1, n2 = (r1 & 1023) * ~same, r2 & 1023
+            each = (share & 0xFFFF0000) >> log
+            upto2 = ((share >> 32) & 0xFFFF0000) + each * n2
+            only1 = ((share >> 16) & 0xFFFF0000) + each * n1
             a, w, c = low[:n], width[:n], code[:n]
-            u0, u1, u2 = upper[:, 0], upper[:, 1], upper[:, 2]
-            r = w // upper[:, 3]
-            v = (c - a) // r
-            b0, b1, b2 = v >= u0, v >= u1, v >= u2
-            outcome = b0.astype(np.int64) + b1 + b2
-            under = np.where(b2, u2, np.where(b1, u1, np.where(b0, u0, 0)))
-            over = np.where(b2, upper[:, 3], np.where(b1, u2, np.where(b0, u1, u0)))
-            a += r * under
-            r *= over - under
-            x = np.where(b0, p1, p2).astype(np.int64)
-            start = length = None
-            far = np.flatnonzero(b1)
+            r = w >> TOTAL
+            upto2 *= r
+            only1 *= r
+            v = c - a
+            second = v >= upto2
+            v -= upto2
+            x, add, length = np.where(second, p1, p2), upto2 * second, np.where(second, only1, upto2)
+            far = np.flatnonzero(v >= only1)
             if len(far):
-                spelt = b2[far]
-                parts = np.where(spelt, 65536, max(1, begin))
-                r[far] //= parts
-                place = np.minimum((c[far] - a[far]) // r[far], parts - 1)
-                start, length = place.copy(), np.ones(len(far), np.int64)
-                got = place.copy()
-                if begin:
-                    h = np.flatnonzero(~spelt)
-                    f, q = far[h], place[h]
-                    got[h] = past[f, q]
-                    start[h] = first[f, q]
-                    length[h] = final[f, q] - start[h]
-                elif not spelt.all():
-                    raise ValueError("damaged block")
-                x[far] = got
-                a[far] += r[far] * start
-                r[far] *= length
-            w[:] = r
-            while True:
-                near = ((a ^ (a + w)) >> SHIFT) == 0
-                tiny = w < SMALL
-                go = np.flatnonzero(near | tiny)
-                if not len(go):
-                    break
-                cut = np.flatnonzero(tiny & ~near)
+                u, e, h1, h2, q1, q2, rf, top = v[far] - only1[far], each[far], n1[far], n2[far], p1[far], p2[far], r[far], upto2[far] + only1[far]
+                u //= rf
+                room = e * (begin - h1 - h2)
+                spelt = u >= room
+                new = share[far] & 0xFFFF
+                # quotients of numbers below 2 ** 30 are exact as doubles
+                got = np.minimum((u - room) / new, 0xFFFF).astype(np.int64)
+                first_, length_, ran = room + new * got, new, np.zeros(len(far), np.int32)
+                k = np.flatnonzero(~spelt)
+                if begin and len(k):
+                    e, h1, h2, f = e[k], h1[k], h2[k], far[k]
+                    rank = (u[k] / e).astype(np.int64)
+                    # the places of what the other orders have said are left out
+                    f1, f2, less = r1[f] >> 10, r2[f] >> 10, q2[k] < q1[k]
+                    place = rank + np.where(less, h2, h1) * (rank >= np.where(less, f2, f1))
+                    place += np.where(less, h1, h2) * (place >= np.where(less, f1, f2))
+                    of = lane[f] * begin + np.minimum(place, begin - 1)
+                    got[k], ran[k] = past[of], by_rank[of]
+                    first_[k] = e * ((ran[k] >> 10) - (place - rank))
+                    length_[k] = e * (ran[k] & 1023)
+                first_ *= rf
+                first_ += top
+                length_ *= rf
+                x[far], add[far], length[far] = got, first_, length_
+                state <<= 2
+                state += second
+                state[far] += 1 + spelt
+            else:
+                state <<= 2
+                state += second
+            happened[t - begin, :n] = state
+            a += add
+            w[:] = length
+            go = _narrow(a, w)
+            while len(go):
+                now, wide = a[go], w[go]
+                cut = np.flatnonzero((wide < SMALL) & ((now ^ (now + wide)) > BELOW))
                 if len(cut):
-                    w[cut] = -a[cut] & (SMALL - 1)
-                a[go] = (a[go] << 16) & WINDOW
-                c[go] = ((c[go] << 16) & WINDOW) | words[np.minimum(at[go], last)]
-                at[go] += 1
-                w[go] <<= 16
-            hist[t, :n] = x
-            happened[t - begin, :n] = (state << 2) + outcome
-            one[at1] = np.where(p1 == x, np.minimum((e1 & 3) + 1, SURE), 1) + (x << 2)
-            two[at2] = np.where(p2 == x, np.minimum((e2 & 3) + 1, SURE), 1) + (x << 2)
-            before2[:n], before1[:n] = before1[:n].copy(), x
+                    wide[cut] = -now[cut] & (SMALL - 1)
+                now = (now << 16) & WINDOW
+                wide <<= 16
+                a[go], w[go] = now, wide
+                place = at[go]
+                two_words = (words.take(place, mode="clip") << 16) | words.take(place + 1, mode="clip")
+                c[go] = ((c[go] << 16) & WINDOW) | ((two_words >> (48 - SHIFT)) & 0xFFFF)
+                at[go] = place + 1
+                go = go[_narrow(now, wide)]
+            hist[t + 2, :n] = x
+            hit1, hit2 = p1 == x, p2 == x
+            # what a run is stays the same within a period: known from the order that knew the id, else just looked up
+            ran_ = r1 * hit1
+            np.copyto(ran_, r2, where=hit2)
+            if len(far):
+                ran_[far] = ran
+            run[t * blocks : t * blocks + n] = ran_
+            entry = (x << 5) + ((lane[:n] + t * blocks) << 22)
+            one[at1] = entry + np.minimum((e1 & 6) * hit1 + 2, 2 * SURE)
+            two[at2] = entry + np.minimum((e2 & 24) * hit2 + 8, 8 * SURE)
         if end > rest:
-            happened[max(0, rest - begin) :, -1] = 3
-        shares.renew(happened.ravel())
-    return np.ascontiguousarray(hist.T).reshape(-1)[:total]
+            happened[max(0, rest - begin) :, -1] = ((blocks - 1) * 32 << 2) + 3
+        shares.renew(happened.ravel(), end)
+    return np.ascontiguousarray(hist[2:].T).reshape(-1)[:total].astype(np.uint16)
 
 
 def write_segment(file, keys: np.ndarray, null: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
     """Append documents to an open file: their keys (any number where null is set), counts of ids, and all ids."""
-    if len(ids) and ids.max() >= 1 << 16:
+    if len(ids) and ids.max() >= 1 << ID_BITS:
         raise ValueError("ids must be below 65536")
     block = int(min(BLOCK, max(256, len(ids) // LANES)))
     words, sizes = encode_blocks(ids.astype(np.uint16), block)
     index = zlib.compress(null.astype(np.uint8).tobytes() + keys.astype("<i8").tobytes() + counts.astype("<u4").tobytes(), 1)
-    file.write(HEAD.pack(MAGIC, len(keys), len(ids), block, len(sizes), len(index)))
-    file.write(index + struct.pack("<I", zlib.crc32(index)))
     raw = ids.astype("<u2")
     crcs = [zlib.crc32(raw[i : i + block].tobytes()) for i in range(0, len(raw), block)]
-    file.write(np.stack([sizes, np.array(crcs, np.int64)], 1).astype("<u4").tobytes() if len(sizes) else b"")
+    table = np.stack([sizes, np.array(crcs, np.int64)], 1).astype("<u4").tobytes() if len(sizes) else b""
+    for part in (HEAD.pack(MAGIC, len(keys), len(ids), block, len(sizes), len(index)), index, table):
+        file.write(part + CRC.pack(zlib.crc32(part)))
     file.write(words.astype("<u2").tobytes())
 
 
+def _checked(file, size: int, what: str) -> bytes:
+    """The next ``size`` bytes, if the checksum after them holds."""
+    part, crc = file.read(size), file.read(CRC.size)
+    if len(part) < size or crc != CRC.pack(zlib.crc32(part)):
+        raise ValueError(f"damaged {what}")
+    return part
+
+
 def read_segments(file):
-    """(keys, null mask, counts, ids) of every segment; raises ValueError where a checksum doesn't hold."""
+    """(keys, null mask, counts, ids) of every segment; raises ValueError where a checksum doesn't hold. Nothing is made
+    room for before the numbers that ask for it have been checked."""
     while head := file.read(HEAD.size):
-        magic, docs, n, block, blocks, size = HEAD.unpack(head)
-        if magic != MAGIC:
+        if head[:4] != MAGIC:
             raise ValueError("not a token file")
-        index, crc = file.read(size), struct.unpack("<I", file.read(4))[0]
-        if zlib.crc32(index) != crc:
-            raise ValueError("damaged index")
-        index = zlib.decompress(index)
+        if len(head) < HEAD.size or file.read(CRC.size) != CRC.pack(zlib.crc32(head)):
+            raise ValueError("damaged head")
+        _, docs, n, block, blocks, size = HEAD.unpack(head)
+        index, table = zlib.decompress(_checked(file, size, "index")), _checked(file, 8 * blocks, "table")
         null, keys, counts = np.frombuffer(index[:docs], np.uint8).astype(bool), np.frombuffer(index[docs : 9 * docs], "<i8"), np.frombuffer(index[9 * docs :], "<u4").astype(np.int64)
-        table = np.frombuffer(file.read(8 * blocks), "<u4").reshape(-1, 2).astype(np.int64)
-        words = np.frombuffer(file.read(2 * int(table[:, 0].sum())), "<u2")
-        ids = decode_blocks(words, table[:, 0], n, block)
+        table = np.frombuffer(table, "<u4").reshape(-1, 2).astype(np.int64)
+        size = 2 * int(table[:, 0].sum())
+        words = file.read(size)
+        if len(words) < size:
+            raise ValueError("the file ends within a segment")
+        ids = decode_blocks(np.frombuffer(words, "<u2"), table[:, 0], n, block)
         raw = ids.astype("<u2")
         for i, crc in enumerate(table[:, 1]):
             if zlib.crc32(raw[i * block : (i + 1) * block].tobytes()) != crc:
@@ -333,20 +382,43 @@ def read_segments(file):
         yield keys, null, counts, ids
 
 
+#: What a tokenizer file must say for its texts to be taken apart into words and these into pieces here (fixed values).
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+#: The same pieces of words of printable ASCII characters.
+ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Below it no letter is changed by the normal form, and one that lower-casing splits is no letter any more.
+LATIN = "\u0250"
+
+
 class Encoder:
     """Ids by the tokenizers library. For a vocabulary that lower-cases and drops white space between words, as the
-    file's normaliser and pre-tokenizer do, a text's ids are those of its words, so each distinct word is encoded once;
-    a full stop or comma after an ASCII letter is a piece of its own, so it is cut off first."""
+    file's normaliser and pre-tokenizer say, a text's ids are those of its words, so each distinct word is encoded once;
+    a full stop or comma after an ASCII letter is a piece of its own, so it is cut off first. The pieces of plain words go
+    to the library's model as they are, all others through the whole tokenizer; so do whole texts for any other file."""
 
     def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        said = json.loads(self.tokenizer.to_str())
+        suffix, vocabulary = said["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab(with_added_tokens=False)
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.by_word = said["normalizer"] == NORMALIZER and said["pre_tokenizer"] == PRE_TOKENIZER and bool(suffix) and any(t.special for t in added.values()) and said.get("post_processor") is None and all(t.content.startswith("<|") for t in added.values())
+        if not self.by_word:
+            return
+        self.special = [t.content.encode() for t in added.values()]
         # any special token will do as a border
-        self.between_id, self.between = next((i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special)
+        self.between_id, self.between = next((i, t.content) for i, t in sorted(added.items()) if t.special)
         self.tails = {c: self._alone(bytes([c])) for c in b".,"}
+        self.pieces = Tokenizer.from_file(path)
+        self.pieces.normalizer = None
+        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        #: Ids that end a piece.
+        self.ends = np.zeros(1 + max(vocabulary.values()), bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
         self._clear()
 
     def _alone(self, word: bytes) -> list[int]:
@@ -354,49 +426,95 @@ class Encoder:
 
     def _clear(self) -> None:
         self.row: dict[bytes, int] = defaultdict(count().__next__)
-        self.stem: dict[bytes, int] = defaultdict(count().__next__)
-        #: Ids of all stems; and of each word: its stem's place there, its number of ids, and the id of its cut-off sign.
-        self.flat, self.stem_start, self.stem_length = (np.zeros(0, np.int64) for _ in range(3))
-        self.start, self.length, self.tail = (np.zeros(0, np.int64) for _ in range(3))
+        #: Of each word: how often it has come, where its ids start in flat, their number, and the id of its cut-off sign.
+        self.seen, self.start, self.length, self.tail = (np.zeros(0, np.int32) for _ in range(4))
+        self.flat = np.zeros(0, np.int32)
+
+    def _thin(self) -> None:
+        """Forget the words that have come once."""
+        often = self.seen > 1
+        if often.sum() > self.most // 2:
+            return self._clear()
+        words = list(compress(self.row, often))
+        start, length, self.tail = self.start[often], self.length[often], self.tail[often]
+        own = length - (self.tail >= 0)
+        ends = np.cumsum(own, dtype=np.int64)
+        self.flat = self.flat[np.repeat(start - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)]
+        self.row = defaultdict(count(len(words)).__next__, zip(words, range(len(words)), strict=True))
+        self.seen, self.start, self.length = np.ones(len(words), np.int32), (ends - own).astype(np.int32), length
 
     def _stems(self, stems: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of stems one after the other, and how many each has. Long strings with a special token between the stems
-        cost least; a stem that holds one itself is encoded alone."""
-        odd = {i for i, w in enumerate(stems) if b"<" in w and any(x in w for x in self.special)}
-        plain = [w for i, w in enumerate(stems) if i not in odd] if odd else stems
-        strings = [self.between.join(b"\n".join(plain[k : k + 500]).decode("utf-8", "surrogatepass").split("\n")) for k in range(0, len(plain), 500)]
+        """Ids of stems one after the other, and how many each has. Pieces go with spaces between, and end where an id ends
+        one; stems that aren't plain with a special token between, and one that holds a special token alone."""
+        letters = [w.isalpha() for w in stems]  # of ASCII
+        kind, length, pieces, rest, alone = np.zeros(len(stems), np.int8), np.zeros(len(stems), np.int64), [], [], []
+        per: list[int] = []
+        for i in np.flatnonzero(~np.array(letters, bool)).tolist():
+            word = stems[i].decode("utf-8", "surrogatepass")
+            if word.isascii() and word.isprintable() and "<|" not in word:
+                kind[i], found = 1, ASCII_PIECES.findall(word.lower())
+                pieces += found
+                per.append(len(found))
+            elif word.isalpha() and max(word) < LATIN and (low := word.lower()).isalpha():
+                kind[i] = 1
+                pieces.append(low), per.append(1)
+            elif "<" in word and any(x in stems[i] for x in self.special):
+                kind[i] = 3
+                alone.append(self._alone(stems[i]))
+            else:
+                kind[i] = 2
+                rest.append(word)
+        plain = list(compress(stems, letters))
+        flat = [self._pieces([b" ".join(plain[k : k + 500]).decode().lower() for k in range(0, len(plain), 500)], np.ones(len(plain), np.int64))]
+        flat.append(self._pieces([" ".join(pieces[k : k + 500]) for k in range(0, len(pieces), 500)], np.array(per, np.int64)))
+        strings = [self.between.join(rest[k : k + 500]) for k in range(0, len(rest), 500)]
         found = [np.array([*e.ids, self.between_id], np.int64) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-        flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-        ends = np.flatnonzero(flat == self.between_id)
-        flat, length = np.delete(flat, ends), np.diff(ends, prepend=-1) - 1
-        if odd:
-            parts, out = iter(np.split(flat, np.cumsum(length)[:-1])), []
-            for i, w in enumerate(stems):
-                out.append(np.array(self._alone(w), np.int64) if i in odd else next(parts))
-            flat, length = np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
-        return flat, length
+        joined = np.concatenate([np.zeros(0, np.int64), *found])
+        borders = joined == self.between_id
+        flat.append((joined[~borders], np.diff(np.flatnonzero(borders), prepend=-1) - 1))
+        flat.append((np.array([x for ids in alone for x in ids], np.int64), np.array([len(ids) for ids in alone], np.int64)))
+        for k, (_, n) in enumerate(flat):
+            length[kind == k] = n
+        of, out = np.repeat(kind, length), np.empty(length.sum(), np.int32)
+        for k, (ids, _) in enumerate(flat):
+            out[of == k] = ids
+        return out, length
+
+    def _pieces(self, strings: list[str], per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces with spaces between, and how many each stem has, of ``per`` pieces."""
+        found = [np.array(e.ids, np.int64) for e in self.pieces.encode_batch_fast(strings, add_special_tokens=False)]
+        flat = np.concatenate([np.zeros(0, np.int64), *found])
+        upto = np.concatenate([[0], np.flatnonzero(self.ends[flat]) + 1])
+        if len(upto) != per.sum() + 1:
+            raise ValueError("the pieces of words can't be told apart")
+        return flat, np.diff(upto[np.concatenate([[0], np.cumsum(per)])])
 
     def _learn(self, words: list[bytes]) -> None:
-        known = len(self.stem)
-        stems, tails = [], []
-        for w in words:
-            cut = len(w) > 1 and w[-1] in self.tails and 97 <= w[-2] <= 122 and len(self.tails[w[-1]]) == 1
-            stems.append(self.stem[w[:-1] if cut else w])
-            tails.append(self.tails[w[-1]][0] if cut else -1)
-        new = list(islice(reversed(self.stem), len(self.stem) - known))[::-1]
-        if new:
-            flat, length = self._stems(new)
-            self.stem_start = np.concatenate([self.stem_start, len(self.flat) + np.cumsum(length) - length])
-            self.stem_length, self.flat = np.concatenate([self.stem_length, length]), np.concatenate([self.flat, flat])
-        stems, tails = np.array(stems, np.int64), np.array(tails, np.int64)
-        self.start = np.concatenate([self.start, self.stem_start[stems]])
-        self.length = np.concatenate([self.length, self.stem_length[stems] + (tails >= 0)])
-        self.tail = np.concatenate([self.tail, tails])
+        known, signs = len(self.start), tuple(bytes([c]) for c, ids in self.tails.items() if len(ids) == 1)
+        cut = [i for i, w in enumerate(words) if w.endswith(signs) and len(w) > 1 and 97 <= w[-2] <= 122]
+        # a stem ends with a letter, so nothing is cut off it; it is a word of its own
+        stem_of = np.fromiter([self.row[words[i][:-1]] for i in cut], np.int64, len(cut))
+        words = words + list(islice(reversed(self.row), len(self.row) - known - len(words)))[::-1]
+        whole = np.ones(len(words), bool)
+        whole[cut] = False
+        start, length, tail = (np.full(len(words), x, np.int32) for x in (0, 0, -1))
+        flat, length[whole] = self._stems(list(compress(words, whole)))
+        ends = np.cumsum(length[whole], dtype=np.int64)
+        start[whole] = len(self.flat) + ends - length[whole]
+        self.flat = np.concatenate([self.flat, flat])
+        self.start, self.length, self.tail = (np.concatenate([x, y]) for x, y in ((self.start, start), (self.length, length), (self.tail, tail)))
+        if cut:
+            at = known + np.array(cut)
+            self.start[at], self.length[at], self.tail[at] = self.start[stem_of], self.length[stem_of] + 1, [self.tails[words[i][-1]][0] for i in cut]
+        self.seen = np.concatenate([self.seen, np.zeros(len(words), np.int32)])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many of them each text has."""
+        if not self.by_word:
+            found = [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.int64), *found]), np.fromiter(map(len, found), np.int64, len(found))
         if len(self.row) > self.most or len(self.flat) > 8 * self.most:
-            self._clear()
+            self._thin()
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         # special tokens are told apart by case
         words = [(x if b"<|" in x else x.lower()).split() for x in raw]
@@ -405,11 +523,12 @@ class Encoder:
         rows = np.fromiter(map(self.row.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
         if len(self.row) > known:
             self._learn(list(islice(reversed(self.row), len(self.row) - known))[::-1])
+        self.seen += np.bincount(rows, minlength=len(self.seen)).astype(np.int32)
         length, tail = self.length[rows], self.tail[rows]
-        ends = np.cumsum(length)
+        ends = np.cumsum(length, dtype=np.int64)
         at = np.repeat(self.start[rows] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
         # the place of a cut-off sign is one beyond its stem
-        ids = self.flat.take(at, mode="clip") if len(self.flat) else np.zeros(0, np.int64)
+        ids = self.flat.take(at, mode="clip").astype(np.int64) if len(self.flat) else np.zeros(0, np.int64)
         cut = np.flatnonzero(tail >= 0)
         ids[ends[cut] - 1] = tail[cut]
         upto = np.concatenate([[0], ends])
