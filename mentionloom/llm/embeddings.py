@@ -19,8 +19,12 @@ from mentionloom.llm.components import components
 
 #: Vectors link from this cosine on.
 LEAST_COSINE = 0.98
-#: Code words of a block, and blocks. 2 blocks of 128 words are 16,384 filters.
+#: Code words of a block at least, and blocks. 2 blocks of 128 words are 16,384 filters.
 WORDS, BLOCKS = 128, 2
+#: Members that a filter has on average at most; with more vectors there are more words.
+MEMBERS = 2048
+#: Members of a filter that a task holds, twice at most; those of a fuller one are compared part by part.
+PART = 8192
 #: Filters that a random vector is in, expected; the threshold follows from the dimension. Of a pair with the least
 #: cosine about three quarters of one's filters are the other's too, and some vectors are in far
 #: fewer than others.
@@ -137,24 +141,30 @@ def _union(ids: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[
     return [(x, find(x)) for x in list(root) if find(x) != x]
 
 
-def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, key: str = "vec_id", vector: str = "embedding", label: str = "label", words: int = WORDS, blocks: int = BLOCKS, each: float = FILTERS_EACH) -> DataFrame:
+def words_for(vectors: int, each: float = FILTERS_EACH, blocks: int = BLOCKS) -> int:
+    """Code words of a block by which a filter has MEMBERS on average."""
+    return max(WORDS, int(np.ceil((vectors * each / MEMBERS) ** (1 / blocks))))
+
+
+def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, key: str = "vec_id", vector: str = "embedding", label: str = "label", words: int | None = None, blocks: int = BLOCKS, each: float = FILTERS_EACH) -> DataFrame:
     """key, n_links, component_id, kept for every row.
 
     Only vectors of one label and one dimension are compared; null labels, and vectors that are null, empty, zero or
     have null or non-finite components, link with nothing. Equal vectors form a class that is compared once: its
-    members link with each other and share all links, so copies never multiply. ``words`` should grow as the number
-    of vectors to the power 1 / ``blocks``, so that a filter keeps its size; a filter with many members all the same is compared tile by
-    tile, and gives counts and spanning links only, never its pairs. Rows with one id count as that many vectors."""
+    members link with each other and share all links, so copies never multiply. Classes have numbers of their own, so keys may
+    have any type that has an order: rows with one key, or none, count as that many vectors, and null is no smallest key.
+    ``words`` grows as the number of vectors to the power 1 / ``blocks``, so that a filter keeps its size; one with many
+    members all the same is dealt out to tasks by pairs of its parts, and gives counts and spanning links only, never its pairs."""
     small_batches(vectors.sparkSession)
     # what moves is as narrow as it was given
     component = np.float32 if vectors.schema[vector].dataType.simpleString() == "array<float>" else np.float64
-    number = np.int32 if words**blocks < 1 << 31 else np.int64
-    rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label"))
+    rows = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label"))
     fine = F.coalesce(F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     # -0.0 and 0.0 are one value, and so is a vector with either
-    rows = rows.select("id", "label", F.when(fine, F.transform("v", lambda x: F.when(x == 0, 0.0).otherwise(x))).alias("v"))
-    classes = rows.filter("v is not null").groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    classes = written(classes, "vectors")
+    rows = rows.select("key", "label", F.when(fine, F.transform("v", lambda x: F.when(x == 0, 0.0).otherwise(x))).alias("v"))
+    classes = rows.filter("v is not null").groupBy("label", "v").agg(F.min("key").alias("key"), F.count("*").alias("copies"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "vectors")
+    size = words or words_for(classes.count(), each, blocks)
 
     def filters(batches):
         codes: dict[int, ProductCode] = {}
@@ -162,56 +172,61 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, key: str =
             lists = b.column(1)
             lengths = np.diff(lists.offsets.to_numpy())
             flat, at = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths) - lengths
-            place, decoded, units = [], [], [None] * len(lengths)
+            found, units = [None] * len(lengths), [None] * len(lengths)
             for dim in np.unique(lengths):
-                code = codes.setdefault(int(dim), ProductCode(int(dim), words, blocks, each))
+                code = codes.setdefault(int(dim), ProductCode(int(dim), size, blocks, each))
                 of = np.flatnonzero(lengths == dim)
                 raw = flat[at[of][:, None] + np.arange(dim)]
                 products = code.products(normalised(raw))
                 for i, row in enumerate(of):
-                    found = code.filters(products[i])
-                    place.append(np.full(len(found), row)), decoded.append(found)
-                    units[row] = (raw[i].astype(component).tobytes(), found.astype(number).tobytes())
-            if decoded:
-                place, decoded = np.concatenate(place), np.concatenate(decoded)
-                for part in range(0, len(place), 4096):
-                    p, d = place[part : part + 4096], decoded[part : part + 4096]
-                    take = pa.array(p)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(2).take(take), b.column(3).take(take), pa.array(lengths[p].astype(np.int32)), pa.array(d), pa.array([units[i][0] for i in p], pa.binary()), pa.array([units[i][1] for i in p], pa.binary())], names=["id", "label", "copies", "dim", "filter", "unit", "filters"])
-
-    id_kind, label_kind = (rows.schema[c].dataType.simpleString() for c in ("id", "label"))
-    spread = classes.select("id", "v", "label", "copies").mapInArrow(filters, f"id {id_kind}, label {label_kind}, copies long, dim int, filter long, unit binary, filters binary")
-    # rows of a filter come together in one partition, one after the other
-    dealt = spread.repartition("label", "dim", "filter").sortWithinPartitions("label", "dim", "filter", "id")
+                    found[row], units[row] = code.filters(products[i]), raw[i].astype(component).tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(lengths.astype(np.int32)), pa.array(found, pa.list_(pa.int64())), pa.array(units, pa.binary())], names=["id", "label", "copies", "dim", "filters", "unit"])
+
+    kind = rows.schema["label"].dataType.simpleString()
+    coded = written(classes.select("id", "v", "label", "copies").mapInArrow(filters, f"id long, label {kind}, copies long, dim int, filters array<long>, unit binary"), "filters")
+    full = coded.select("label", "dim", F.explode("filters").alias("filter")).groupBy("label", "dim", "filter").count().filter(F.col("count") > PART)
+    full = written(full.select("label", "dim", "filter", F.ceil(F.col("count") / PART).cast("int").alias("parts")), "full-filters")
+    spread = coded.select("*", F.explode("filters").alias("filter")).join(full, ["label", "dim", "filter"], "left")
+    # every two parts of a filter meet in one group
+    spread = spread.withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), "parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    spread = spread.select("label", "dim", "filter", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "copies", "unit", "filters")
+    group = ["label", "dim", "filter", "low", "high"]
+    # rows of a group come together in one partition, one after the other
+    dealt = spread.repartition(*group).sortWithinPartitions(*group, "part", "id")
 
     def compare(batches):
         held, held_key = [], None
         for b in batches:
-            keys = list(zip(b["label"].to_pylist(), b["dim"].to_pylist(), b["filter"].to_pylist(), strict=True))
+            keys = list(zip(*(b[c].to_pylist() for c in group), strict=True))
             starts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
             for s, e in zip(starts, starts[1:], strict=False):
                 if s == e:
                     continue
                 if held and keys[s] != held_key:
-                    yield from compared(held, held_key[2])
+                    yield from compared(held, held_key)
                     held = []
                 held_key = keys[s]
                 held.append(b.slice(s, e - s))
         if held:
-            yield from compared(held, held_key[2])
+            yield from compared(held, held_key)
 
-    def compared(parts, filter_):
-        n = sum(len(p) for p in parts)
+    def compared(batches, of_key):
+        n = sum(len(p) for p in batches)
         if n < 2:
             return
-        table = pa.Table.from_batches(parts)
-        ids, copies = table["id"].to_numpy(), table["copies"].to_numpy()
+        table = pa.Table.from_batches(batches)
+        ids, copies, part = table["id"].to_numpy(), table["copies"].to_numpy(), table["part"].to_numpy()
         unit = normalised(np.frombuffer(b"".join(table["unit"].to_pylist()), component).reshape(n, -1).astype(np.float64))
-        of = [np.frombuffer(x, number) for x in table["filters"].to_pylist()]
+        lists = table["filters"].combine_chunks()
+        of = np.split(lists.flatten().to_numpy(), lists.offsets.to_numpy()[1:-1] - lists.offsets.to_numpy()[0])
+        # one part with itself, or the first one with the second
+        whole, filter_ = of_key[3] == of_key[4], of_key[2]
+        border = n if whole else int(np.searchsorted(part, of_key[4]))
         links, pairs = np.zeros(n, np.int64), []
-        for i in range(0, n, TILE):
-            for j in range(0, i + 1, TILE):
-                a, b = link_tile((unit[i : i + TILE], of[i : i + TILE]), (unit[j : j + TILE], of[j : j + TILE]), filter_, least, i == j)
+        for i in range(0 if whole else border, n, TILE):
+            for j in range(0, i + 1 if whole else border, TILE):
+                left, right = slice(i, i + TILE), slice(j, j + TILE if whole else min(j + TILE, border))
+                a, b = link_tile((unit[left], of[left]), (unit[right], of[right]), filter_, least, whole and i == j)
                 a, b = a + i, b + j
                 np.add.at(links, a, copies[b])
                 np.add.at(links, b, copies[a])
@@ -225,12 +240,13 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, key: str =
     found = written(dealt.mapInArrow(compare, "id long, other long, links long"), "vector-links")
     joined = components(found.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     degree = found.filter("other is null").groupBy("id").agg(F.sum("links").alias("links"))
-    of_class = classes.select("label", "v", "id", "copies").join(degree, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")
-    of_class = of_class.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    out = rows.join(of_class, (rows.label == of_class.label) & (rows.v == of_class.v), "left").select(rows.id.alias("id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", rows.id).cast("long").alias("component_id"))
-    return out.select(F.col("id").alias(key), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    of_class = classes.join(degree, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    low = of_class.groupBy("component").agg(F.min("key").alias("low"))
+    of_class = of_class.join(low, "component").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "low", F.lit(True).alias("linked"))
+    out = rows.join(of_class, (rows.label == of_class.label) & (rows.v == of_class.v), "left").select(rows.key.alias("key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("linked"), F.col("low")).otherwise(rows.key).alias("component_id"))
+    return out.select(F.col("key").alias(key), "n_links", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings, by cosine in their label."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumn("component_id", F.col("component_id").cast("long"))

@@ -392,6 +392,41 @@ def test_near_duplicate_vectors(spark):
     assert embeddings.near_duplicates(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_ids_that_repeat_or_are_null(spark, kind):
+    """Two vectors with one id, each with one near copy, stay two groups; null ids take part, but are no smallest id."""
+    random = np.random.default_rng(3)
+    near = lambda x: (x + 0.01 * random.standard_normal(16)).tolist()
+    a, b, c, d = (random.standard_normal(16) for _ in range(4))
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (None, c), (4, near(c)), (None, d), (None, near(d)), (5, near(a))]
+    rows = [(i if i is None or kind == "long" else f"id{i}", list(map(float, v)), 0) for i, v in rows]
+    df = spark.createDataFrame(rows, f"vec_id {kind}, embedding array<double>, label int")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect()), key=str)
+    x = (lambda i: i) if kind == "long" else (lambda i: f"id{i}")
+    want = [(x(1), 2, x(1), True), (x(1), 1, x(1), True), (x(2), 2, x(1), False), (x(3), 1, x(1), False), (None, 1, x(4), False), (x(4), 1, x(4), True), (None, 1, None, True), (None, 1, None, True), (x(5), 2, x(1), False)]
+    assert got == sorted(want, key=str)
+
+
+def test_large_cluster_in_parts(spark, monkeypatch):
+    """A cluster that fills its filters, compared part by part, and the filters that many vectors ask for."""
+    random = np.random.default_rng(7)
+    centre = random.standard_normal(24)
+    side = random.standard_normal((700, 24))
+    cluster = centre + side / np.linalg.norm(side, axis=1, keepdims=True) * np.linalg.norm(centre) * random.uniform(0.05, 0.3, (700, 1))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([cluster, random.standard_normal((300, 24))]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    want = brute_links(rows, 0.98)
+    assert sum(n for n, _ in want.values()) > 20_000
+    monkeypatch.setattr(embeddings, "PART", 50)
+    monkeypatch.setattr(embeddings, "TILE", 32)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df, words=160).collect()}
+    assert sum(n for n, _ in got.values()) >= 0.99 * sum(n for n, _ in want.values())
+    assert all(n <= want[k][0] for k, (n, _) in got.items())
+    assert sum(got[k][1] == want[k][1] for k in want) >= 0.99 * len(want)
+    assert embeddings.words_for(2000) == embeddings.WORDS
+    assert 2048 * embeddings.words_for(10**9) ** 2 >= 10**9 * embeddings.FILTERS_EACH
+
+
 def test_op6(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     got = {r.vec_id: (r.n_links, r.component_id) for r in queries()["op6_embedding_near_dedup"](spark, SF).collect()}
