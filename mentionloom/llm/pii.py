@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import product
 
 import ahocorasick
 import pyarrow as pa
@@ -30,11 +31,18 @@ RUN = re.compile(r"[0-9]+")
 QUAD = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-LOGIN = re.compile(r"://([^\s/@:]{1,256}:[^\s/@]{1,256})@")
-LEAD = r"(?:[\x20_-]?(?:no|number|nr|id))?[.:#=]{0,2}\x20?"
-NUMBER = re.compile(LEAD + r"([A-Z]{0,4}[0-9][A-Z0-9-]{4,}[0-9])", re.IGNORECASE | re.ASCII)
+#: Ends at a slash, so each stretch is read once.
+LOGIN = re.compile(r"://([^\s/@:]+:[^\s/@]+)@")
+LEAD = r"(?:[\x20_-]?(?:no|number|nr|id)(?![A-Z]))?(?:[.:#=]{1,2}\x20?|\x20|(?=[0-9]))"
+#: A run with at least six letters and digits, of whatever length, or groups of four digits.
+NUMBER = re.compile(LEAD + r"([0-9]{4}(?:\x20[0-9]{4})+(?:\x20[0-9]{1,4})?(?![A-Z0-9])|[A-Z]{0,4}[0-9][A-Z0-9-]{4,}[0-9])", re.IGNORECASE | re.ASCII)
 #: As printed, in groups, or in one run.
 IBAN = re.compile(LEAD + r"([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})", re.IGNORECASE | re.ASCII)
+#: Three, two and four digits; no part is all zeros, and the first is neither 666 nor over 899.
+SSN = re.compile(r"(?!000|666|9)[0-9]{3}(-?)(?!00)[0-9]{2}\1(?!0000)[0-9]{4}", re.ASCII)
+PASSPORT = re.compile(r"[A-Z]{0,2}[0-9]{6,9}[A-Z]?", re.IGNORECASE | re.ASCII)
+#: What a number after a cue has to be, from end to end; the others are known by no form, an IBAN by its check digits.
+FORMS = {"ssn": SSN, "passport": PASSPORT}
 #: Characters of an IBAN, by country. Those of any other country have 15 to 34.
 IBAN_LENGTHS = {c: n for n, countries in {
     15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
@@ -50,8 +58,8 @@ def automaton() -> ahocorasick.Automaton:
     for d in DIGITS:
         found.add_word(d, "0")
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, "cue")
+        for form in map("".join, product(*zip(cue, cue.upper(), strict=True))):
+            found.add_word(form, cue)
     found.make_automaton()
     return found
 
@@ -119,15 +127,16 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str
         elif kind == "://":
             if m := LOGIN.match(text, last - 2):
                 found.append((m.start(1), m.end(1), "login"))
-        # a cue inside a number announces no other
-        elif last >= after["account"]:
+        # a cue inside a number announces no other, and one inside a word none at all
+        elif last >= after["account"] and not text[max(0, last - len(kind)) : last - len(kind) + 1].isalnum():
             if (m := IBAN.match(text, last + 1)) and (end := iban_end(text, m.start(1), m.end(1))):
                 after["account"] = end
                 ibans.add((m.start(1), end, "account"))
                 found.append((m.start(1), end, "account"))
-            elif m := NUMBER.match(text, last + 1):
+            elif kind != "iban" and (m := NUMBER.match(text, last + 1)):
                 after["account"] = m.end(1)
-                found.append((m.start(1), m.end(1), "account"))
+                if kind not in FORMS or FORMS[kind].fullmatch(m[1]):
+                    found.append((m.start(1), m.end(1), "account"))
     base = [x for x in found if x[2] in BASE]
     if len(base) < len(found):
         found = base + [x for x in found if x[2] not in BASE and (x in ibans or not any(b[0] < x[1] and x[0] < b[1] for b in base))]
@@ -147,8 +156,10 @@ def redact(text: str, found: list[tuple[int, int, str]]) -> str:
 def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, found (array of start, end, kind) and redacted text of every row.
 
-    A null text has no spans and stays null. Rows are independent: repeated rows get equal results, other columns
-    don't matter."""
+    Besides the base kinds, user and password of a URL are a ``login``, and the number after a cue an ``account``: an IBAN
+    whose length and check digits hold, a number of the form that the cue asks for, or any run of six letters and digits or
+    more. Texts are read whole, and no span is cut, however long. A null text has no spans and stays null; an empty one has
+    none. Rows are independent: repeated rows get equal results, other columns don't matter."""
     small_batches(docs.sparkSession)
 
     def search(batches):
