@@ -14,13 +14,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mentionloom.llm.common import mix64, small_batches
+from mentionloom.llm.common import dropped, mix64, small_batches, written
 
 ORDER = 5
-#: Training documents a language, expected; picked by a hash of the id, whole texts.
+#: Training texts a language, expected; picked by a hash, whole texts.
 TRAINING_DOCS = 400
 #: Below this calibrated probability a prediction is marked as rejected.
 REJECT_BELOW = 0.5
@@ -234,19 +234,23 @@ def calibrate(models: Models, rows: list[tuple[str, str]]) -> None:
     models.curve = w
 
 
-def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = TRAINING_DOCS) -> Models | None:
-    """Models from about ``most`` documents of every language, picked by a hash of key and text, and a fifth as many for calibration.
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = TRAINING_DOCS) -> Models | None:
+    """Models from about ``most`` different texts of every language, picked by a hash of the text, and a fifth as many for calibration.
 
-    Run counts are made on the executors; the driver gets counts of distinct runs of these bounded samples."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null")
+    A text counts once, however many rows have it. Run counts are made on the executors; the driver gets counts of distinct
+    runs, and the texts for calibration, of these bounded samples: never more than 1.5 times as many as expected."""
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null")
+    mark = F.xxhash64(F.lit(3), "text")
     # a share for each language, a number a language; texts are filtered where they are read
-    shares = {r["lang"]: min(1.0, 1.2 * most / r["count"]) for r in rows.groupBy("lang").count().collect()}
+    shares = {r["lang"]: min(1.0, 1.2 * most / max(1, r["texts"])) for r in rows.groupBy("lang").agg(F.approx_count_distinct(mark, 0.02).alias("texts")).collect()}
     if not shares:
         return None
     share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")]
-    draw = F.pmod(F.xxhash64(F.lit(3), "key", "text"), F.lit(1_000_000)) / 1_000_000
+    draw = F.pmod(mark, F.lit(1_000_000)) / 1_000_000
     # five in six of the picked documents make the models, the rest the calibration
-    picked = rows.withColumn("draw", draw).withColumn("share", share).filter("draw < share")
+    some = rows.withColumn("draw", draw).withColumn("share", share).filter("draw < share").dropDuplicates(["lang", "text"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+    picked = written(some.withColumn("rank", rank).filter(F.col("rank") <= int(1.8 * most)).drop("rank"), "language-sample")
     small_batches(docs.sparkSession)
 
     def count(batches):
@@ -266,12 +270,14 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     if models is not None:
         held = picked.filter("1.2 * draw >= share").select("lang", "text").collect()
         calibrate(models, [(r["lang"], r["text"]) for r in held])
+    dropped(picked)
     return models
 
 
 def predict_language(docs: DataFrame, models: Models | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred, score and rejected of every row. Null texts and texts without letters are ``und`` with score 0,
-    as is every text without models. Rows are independent: repeated rows get equal results, other columns don't matter."""
+    as is every text without models. Texts are read whole, however long; of languages that tie, the first by name wins. Rows
+    are independent: repeated rows get equal results, other columns don't matter."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 

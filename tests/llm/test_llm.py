@@ -351,6 +351,79 @@ def test_packing_edges(odd, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+# ---- more of personal data and languages
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("ftp://" + "u" * 300 + ":" + "p" * 300 + "@host/x", [(6, 607, "login")]),
+    ("Account " + "12345" * 12 + " was", [(8, 68, "account")]),
+    ("account 1234 5678 9012 34, and", [(8, 25, "account")]),
+    ("IBAN DE89 3704 0044 0532 0130 00.", [(5, 32, "account")]),
+    ("iban DE88370400440532013000", []),
+    ("unaccountable1234567 accountable7654321", []),
+    ("aCCt#: 7654321", [(7, 14, "account")]),
+    ("ssn 666-12-1234, SSN: 123-45-6789, ssn 123-00-6789", [(22, 33, "account")]),
+    ("passport no. X1234567 or passport 12", [(13, 21, "account")]),
+])
+def test_accounts_are_read_to_their_borders(text, want):
+    found = pii.spans(text, pii.automaton())
+    assert [x for x in found if x[2] not in pii.BASE] == want
+    left = pii.redact(text, found)
+    assert all(text[s:e] not in left for s, e, _ in want)
+
+
+def test_models_are_kneser_ney():
+    """Bits of runs against the formula over dictionaries: distinct left neighbours below the top, one discount a length."""
+    random.seed(15)
+    runs_ = Counter("".join(random.choice("abcd") for _ in range(random.randint(1, 7))) for _ in range(60))
+    other = Counter({"dddd": 3, "abba": 1})
+    models = langid.train({"x": runs_, "y": other})
+    order, marks = langid.ORDER, lambda run: [*langid.PAD, *run, chr(langid.END)]
+
+    def grams(run, n):
+        s = marks(run)
+        return [tuple(s[i - n + 1 : i + 1]) for i in range(order, len(s))]
+
+    def probability(counts):
+        level = {order: Counter()}
+        for run, c in counts.items():
+            for g in grams(run, order):
+                level[order][g] += c
+        for n in range(order - 1, 0, -1):
+            level[n] = Counter(g[1:] for g in level[n + 1])
+
+        def p(g):
+            n = len(g)
+            if n == 1:
+                return (1 - langid.UNSEEN) * level[1][g] / sum(level[1].values()) if g in level[1] else langid.UNSEEN / langid.ALPHABET
+            after = {k: c for k, c in level[n].items() if k[:-1] == g[:-1]}
+            if not after:
+                return p(g[1:])
+            times = Counter(level[n].values())
+            d = min(0.95, max(0.1, times[1] / (times[1] + 2 * times[2]))) if times[1] else 0.1
+            total = sum(after.values())
+            return max(level[n][g] - d, 0) / total + sum(min(c, d) for c in after.values()) / total * p(g[1:])
+
+        return p
+
+    some = [*list(runs_)[:10], "abcdabcd", "e", "zabz"]
+    bits, lengths = models.bits(some)
+    assert lengths.tolist() == [len(x) + 1 for x in some]
+    for j, counts in enumerate((runs_, other)):
+        p = probability(counts)
+        want = [-sum(math.log2(p(g)) for g in grams(run, order)) for run in some]
+        assert bits[:, j].tolist() == pytest.approx(want, rel=1e-5)
+
+
+def test_a_repeated_row_is_one_text(spark):
+    rows = [("en", "the same old text again and again")] * 3000 + [("en", f"text number {i} of many words") for i in range(300)] + [("de", f"ein anderer satz {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    once = df.distinct()
+    a, b = (langid.learn(x, most=100) for x in (df, once))
+    assert a.languages == b.languages == ["de", "en"]
+    assert all((x == y).all() for x, y in zip(a.hashes + a.logs, b.hashes + b.logs, strict=True))
+
+
 # ---- embeddings
 
 
