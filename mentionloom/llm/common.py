@@ -20,9 +20,12 @@ ROWS_PER_BATCH = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all run
+    on this machine. On a cluster no folder of one machine will do."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="mentionloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
