@@ -5,6 +5,7 @@ Everything stays sparse: pairs without an edge are at distance 1 and are never w
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +14,26 @@ EPS, MIN_SAMPLES = 0.1, 30
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder that the session names."""
+    """Cut the lineage: written as Parquet to the shared folder that the session names, and read from there. A folder of
+    one machine will do only where everything runs on it."""
     spark: SparkSession = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="mentionloom-graph-"))
-    return df.checkpoint()
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="mentionloom-graph-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    path = f"{at.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _dropped(df: DataFrame) -> None:
+    """Delete a table made by ``checkpointed`` that nothing reads any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def edges(pairs: DataFrame, src: str = "software_mention", dst: str = "synonym", conf: str = "synonym_conf") -> DataFrame:
@@ -35,19 +51,26 @@ def vertices(pairs: DataFrame, src: str = "software_mention", dst: str = "synony
 
 
 def components(v: DataFrame, e: DataFrame) -> DataFrame:
-    """(v, component): the smallest vertex that edges reach. Each round takes the smallest label around and then that
-    label's own label, so the rounds grow as the logarithm of the longest path."""
-    links = checkpointed(both_ways(e).select("src", "dst"))
-    now = checkpointed(v.select("v", F.col("v").alias("label")))
+    """(v, component): the smallest vertex that edges reach.
+
+    Large-star and small-star rounds by turns (Kiveris et al., 2014): every vertex links its larger neighbours to the
+    smallest one around, then itself and its smaller neighbours to the smallest of these. The edges never grow in number,
+    a component's edges stay spread over its vertices until it is a star, and the rounds grow as the logarithm of the input."""
+    now = checkpointed(e.filter("src != dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
     while True:
-        around = links.join(now.select(F.col("v").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("v")).agg(F.min("label").alias("near"))
-        low = now.join(around, "v", "left").select("v", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
-        jump = low.select(F.col("v").alias("low"), F.col("low").alias("far"))
-        after = checkpointed(low.join(jump, "low").select("v", F.least("low", "far").alias("next"), "label"))
-        changed = not after.filter(F.col("next") != F.col("label")).isEmpty()
-        now = after.select("v", F.col("next").alias("label"))
-        if not changed:
-            return now.select("v", F.col("label").alias("component"))
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        floor = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = large.join(floor, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a != b")
+        after = checkpointed(small.unionByName(floor.select("a", F.col("low").alias("b"))).distinct())
+        # equal counts and sums of hashes: the edges have stayed as they are
+        mark = lambda t: t.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        same = mark(now) == mark(after)
+        _dropped(now)
+        now = after
+        if same:
+            return v.select("v").join(now.select(F.col("a").alias("v"), F.col("b").alias("component")), "v", "left").select("v", F.coalesce("component", "v").alias("component"))
 
 
 def dbscan(v: DataFrame, e: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
