@@ -1,14 +1,16 @@
-"""Katz back-off bigram scores (Katz, 1987).
+"""Katz back-off trigram scores (Katz, 1987).
 
-Counts of word pairs get Good-Turing discounts up to LARGE occurrences; what a context saves is spread over the words
-that it hasn't been followed by, with weights that make every context's probabilities sum to exactly 1. Below the
-pairs stands the smoothed word distribution (c + 1/2) / (N + (V + 1) / 2), in which all unknown words share one place.
+Counts of n-grams get Good-Turing discounts up to LARGE occurrences; what a context saves is spread over the words that it
+hasn't been followed by, in the proportions that the shorter context gives them, with weights that make every context's
+probabilities sum to exactly 1: pairs of words back off to one, and one to the smoothed word distribution
+(c + 1/2) / (N + (V + 1) / 2), in which all unknown words share one place.
 
 The model is never in one piece. Texts are turned once into batches of word numbers. Batches ask the shards of the
-word table for their distinct words' counts and ids, then the shards of the pair table for their distinct pairs and
-contexts; a batch's training pairs and its questions are one message, so shards count and answer in one go. The pairs
-of a context that holds over 1/HOT of all tokens are dealt out by pair, their sums go by way of a table of at most HOT
-rows. Each token is then evaluated: the pair if it has been seen, else the context's weight times the word."""
+word table for their distinct words' counts and ids, then the shards of the table of two words, then of that of three, for
+their distinct n-grams and contexts; a batch's training n-grams and its questions are one message, so shards count and
+answer in one go. Sums of contexts are whole numbers, so they don't depend on any order. The n-grams of a context that
+holds over 1/HOT of all tokens are dealt out by n-gram, their sums go by way of a table of at most HOT rows. Each token is
+then evaluated from the longest n-gram down: what has been seen, else the context's weight times the shorter one."""
 
 from __future__ import annotations
 
@@ -23,13 +25,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionloom.llm.common import buckets_for, lower_ascii, mix64, small_batches, written
+from mentionloom.llm.common import buckets_for, dropped, lower_ascii, mix64, small_batches, written
 
 #: Tokens of a batch, about; a text is never cut.
 BATCH = 1_000_000
-#: Pairs seen more often aren't discounted.
+#: N-grams seen more often aren't discounted.
 LARGE = 5
 HOT = 1000
+#: Sums of a context, and the columns of a message.
+SUMS = 2 * LARGE + 2
+MESSAGE = ("u", "v", "of", "runs", "words", "lower", "trained")
+#: Id of what is before the start of a text; no word has it.
+NOWHERE = (1 << 62) - 1
 #: Stand-ins for the end of a text and for what is before its first word; no word is empty or a space.
 END, START = b"", b" "
 
@@ -134,100 +141,154 @@ def word_shards(made: DataFrame, shards: int) -> DataFrame:
     return asked.groupBy("shard").applyInArrow(answer, "batch long, numbers binary, counts binary, ids binary, n long, v long")
 
 
+def word_answers(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and ids of a batch's words."""
+    answers = [(np.cumsum(_unpack(a["numbers"], np.int64)), a) for a in row["answers"]]
+    size = sum(len(n) for n, _ in answers)
+    counts, ids = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for n, a in answers:
+        counts[n], ids[n] = _unpack(a["counts"], np.uint64), _unpack(a["ids"], np.uint64)
+    return counts, ids
+
+
+class Grams:
+    """Distinct n-grams of a batch, by the ids of their contexts and words: ids (u, v) and count of each context, which of
+    them an n-gram has, its word's id, the count of the n-gram without its first word, and its training count here."""
+
+    def __init__(self, u, v, of, context, word, lower, trained):
+        self.u, self.v, self.of, self.context, self.word, self.lower, self.trained = u, v, of, context, word, lower, trained
+
+    def dealt(self, shards: int, limit: float) -> list[np.ndarray]:
+        """Places of the n-grams for each shard, in order: by context, or by n-gram where the context is hot."""
+        key = mix64(self.u.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + self.v.astype(np.uint64))
+        hot = self.of > limit
+        to = np.where(hot[self.context], mix64(key[self.context] + self.word.astype(np.uint64)), key[self.context]) % np.uint64(shards)
+        by = np.argsort(to.astype(np.uint32), kind="stable")
+        ends = np.searchsorted(to[by], np.arange(shards + 1))
+        return [by[ends[i] : ends[i + 1]] for i in range(shards)]
+
+
 class Batch:
-    """A batch's documents with the answers to its words: word counts and ids, tokens, contexts, distinct pairs."""
-
-    def __init__(self, row: dict, shards: int):
-        self.shards = shards
-        answers = [(np.cumsum(_unpack(a["numbers"], np.int64)), a) for a in row["answers"]]
-        size = sum(len(n) for n, _ in answers)
-        self.counts, self.ids = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for n, a in answers:
-            self.counts[n], self.ids[n] = _unpack(a["counts"], np.uint64), _unpack(a["ids"], np.uint64)
+    """A batch's documents: word counts and ids, tokens, distinct pairs and what is known of them."""
+
+    def __init__(self, row: dict):
+        self.counts, self.ids = _unpack(row["counts"], np.int64), _unpack(row["ids"], np.int64)
         self.tokens, self.lengths = _unpack(row["tokens"], np.uint32).astype(np.int64), _unpack(row["lengths"], np.int64)
         self.firsts = np.cumsum(self.lengths) - self.lengths
-        context = np.empty_like(self.tokens)
-        context[1:] = self.tokens[:-1]
-        context[self.firsts] = 1
         self.held = np.array(row["held_out"], bool)
-        # pairs by the ids of context and word
-        order = np.argsort(self.ids)
-        place = np.empty(size, np.int64)
-        place[order] = np.arange(size)
-        pairs, self.inverse = np.unique(place[context] * size + place[self.tokens], return_inverse=True)
-        self.context, self.word = order[pairs // size], order[pairs % size]
-        self.trained = np.bincount(self.inverse[np.repeat(~self.held, self.lengths)], minlength=len(pairs))
-
-    def dealt(self, total: int) -> list[np.ndarray]:
-        """Places of the distinct pairs for each shard, in order: by context, or by pair where the context is hot."""
-        c, w = self.ids[self.context].astype(np.uint64), self.ids[self.word].astype(np.uint64)
-        hot = self.counts[self.context] * HOT > total
-        to = mix64(np.where(hot, c * np.uint64(0x9E3779B97F4A7C15) + w, c)) % np.uint64(self.shards)
-        by = np.argsort(to, kind="stable")
-        ends = np.searchsorted(to[by], np.arange(self.shards + 1))
-        return [by[ends[i] : ends[i + 1]] for i in range(self.shards)]
-
-
-def pair_shards(joined: DataFrame, shards: int, total: int, distinct: int) -> DataFrame:
-    """Answers (batch, shard, counts of pairs, sums of contexts), and sums by hot context; context -1 has the numbers of
-    pairs seen 1, 2, ... LARGE + 1 times.  A context's sums: the numbers of words after it by count, and their share of the word distribution."""
-    fields = [f"n{r}" for r in range(1, LARGE + 1)]
+        self.seen = np.repeat(~self.held, self.lengths)
+        self.size = len(self.ids)
+        before = np.empty_like(self.tokens)
+        before[1:] = self.tokens[:-1]
+        before[self.firsts] = 1
+        self.order = np.argsort(self.ids)
+        self.place = np.empty(self.size, np.int64)
+        self.place[self.order] = np.arange(self.size)
+        pairs, self.pair_of = np.unique(self.place[before] * self.size + self.place[self.tokens], return_inverse=True)
+        self.context, self.word = self.order[pairs // self.size], self.order[pairs % self.size]
+
+    def pairs(self) -> Grams:
+        trained = np.bincount(self.pair_of[self.seen], minlength=len(self.word))
+        return Grams(np.zeros(self.size, np.int64), self.ids, self.counts, self.context, self.ids[self.word], self.counts[self.word], trained)
+
+    def triples(self, counts: np.ndarray) -> Grams:
+        """From the counts of all pairs. What is before a first word is a pair of its own, in place of the last one."""
+        before = np.empty_like(self.pair_of)
+        before[1:] = self.pair_of[:-1]
+        before[self.firsts] = len(self.word)
+        triples, first, self.triple_of = np.unique(before * self.size + self.place[self.tokens], return_index=True, return_inverse=True)
+        trained = np.bincount(self.triple_of[self.seen], minlength=len(triples))
+        u, v, of = np.append(self.ids[self.context], NOWHERE), np.append(self.ids[self.word], self.ids[1]), np.append(counts, self.counts[1])
+        return Grams(u, v, of, triples // self.size, self.ids[self.order[triples % self.size]], counts[self.pair_of[first]], trained)
+
+
+def gram_shards(asked: DataFrame, shards: int, limit: float, name: str, grams) -> DataFrame:
+    """Answers (batch, shard, counts of n-grams, sums of contexts) to ``grams`` of every batch, and sums by hot context
+    (u, v); context (-1, -1) has the numbers of n-grams seen 1, 2, ... LARGE + 1 times. A context's sums: numbers of words
+    after it by count, and of their shorter n-grams: by count up to LARGE, the sum of larger counts, their number."""
+    fields = [f"s{i}" for i in range(SUMS)]
 
     def ask(batches):
         for b in batches:
             for row in b.to_pylist():
-                x = Batch(row, shards)
-                for i, at in enumerate(x.dealt(total)):
+                x = grams(row)
+                for i, at in enumerate(x.dealt(shards, limit)):
                     if len(at):
                         c = x.context[at]
                         first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-                        runs = np.diff(np.append(first, len(c)))
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array([i], pa.int32()), pa.array([row["batch"]], pa.int64()), pa.array([_pack(x.ids[c[first]])], pa.binary()), pa.array([_pack(x.counts[c[first]])], pa.binary()), pa.array([_pack(runs)], pa.binary()),
-                            pa.array([_pack(x.ids[x.word[at]])], pa.binary()), pa.array([_pack(x.counts[x.word[at]])], pa.binary()), pa.array([_pack(x.trained[at].astype(np.uint32))], pa.binary()),
-                        ], names=["shard", "batch", "contexts", "context_counts", "runs", "words", "word_counts", "trained"])
+                        runs, c = np.diff(np.append(first, len(c))), c[first]
+                        columns = [x.u[c], x.v[c], x.of[c], runs, x.word[at], x.lower[at], x.trained[at]]
+                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([row["batch"]], pa.int64()), *[pa.array([_pack(col.astype(np.int64))], pa.binary()) for col in columns]], names=["shard", "batch", *MESSAGE])
 
     def answer(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
-        of = lambda c, kind=np.int64: [_unpack(x, kind) for x in table[c].to_pylist()]
-        contexts, context_counts, runs, words = of("contexts"), of("context_counts"), of("runs"), of("words")
+        us, vs, ofs, runs, words, lower, trained = ([_unpack(x, np.int64) for x in table[c].to_pylist()] for c in MESSAGE)
         sizes = list(map(len, words))
-        c = np.concatenate([np.repeat(x, r) for x, r in zip(contexts, runs, strict=True)])
-        w, wc, trained = np.concatenate(words), np.concatenate(of("word_counts")), np.concatenate(of("trained", np.uint32)).astype(np.int64)
-        order = np.lexsort((w, c))
-        new = np.concatenate([[True], (c[order][1:] != c[order][:-1]) | (w[order][1:] != w[order][:-1])])
-        pair = np.empty(len(c), np.int64)
-        pair[order] = np.cumsum(new) - 1
-        counts = np.bincount(pair, trained).astype(np.int64)
-        pc, pw = c[order][new], wc[order][new]
-        seen = counts > 0
-        every, which = np.unique(pc, return_inverse=True)
-        sums = np.zeros((len(every), LARGE + 1))
+        u, v = (np.concatenate([np.repeat(x, r) for x, r in zip(col, runs, strict=True)]) for col in (us, vs))
+        w = np.concatenate(words)
+        order = np.lexsort((w, v, u))
+        cu, cv, cw = u[order], v[order], w[order]
+        context_new = np.concatenate([[True], (cu[1:] != cu[:-1]) | (cv[1:] != cv[:-1])])
+        new = context_new.copy()
+        new[1:] |= cw[1:] != cw[:-1]
+        gram, of = np.empty(len(w), np.int64), np.empty(len(w), np.int64)
+        gram[order], of[order] = np.cumsum(new) - 1, np.cumsum(context_new) - 1
+        counts = np.bincount(gram, np.concatenate(trained)).astype(np.int64)
+        which, low, contexts = (np.cumsum(context_new) - 1)[new], np.concatenate(lower)[order][new], int(context_new.sum())
+        sums = np.zeros((SUMS, contexts), np.int64)
         for r in range(1, LARGE + 1):
-            sums[:, r - 1] = np.bincount(which[counts == r], minlength=len(every))
-        share = (pw + 0.5) / (total + 0.5 * (distinct + 1))
-        sums[:, LARGE] = np.bincount(which[seen], share[seen], len(every))
-        edges, packed = np.cumsum([0, *sizes]), []
+            sums[r - 1] = np.bincount(which[counts == r], minlength=contexts)
+            sums[LARGE + r - 1] = np.bincount(which[(counts > 0) & (low == r)], minlength=contexts)
+        rest = (counts > 0) & (low > LARGE)
+        sums[2 * LARGE + 1] = np.bincount(which[rest], minlength=contexts)
+        # whole numbers below 2 ** 53 are exact as doubles
+        sums[2 * LARGE] = np.bincount(which[rest], low[rest], contexts).astype(np.int64)
+        edges, packed, hot = np.cumsum([0, *sizes]), [], []
         for i, (s, e) in enumerate(zip(edges, edges[1:], strict=False)):
-            rows = sums[np.searchsorted(every, contexts[i])]
-            packed.append((_pack(counts[pair[s:e]].astype(np.uint32)), _pack(rows[:, :LARGE].astype(np.uint32).T), _pack(rows[:, LARGE])))
-        hot = np.unique(np.concatenate([x[n * HOT > total] for x, n in zip(contexts, context_counts, strict=True)]))
-        at = np.searchsorted(every, hot)
+            first = s + np.cumsum(runs[i]) - runs[i]
+            packed.append((_pack(counts[gram[s:e]].astype(np.uint32)), _pack(sums[:, of[first]])))
+            hot.append(of[first[ofs[i] > limit]])
+        hot = np.unique(np.concatenate(hot))
         n, m = table.num_rows, len(hot) + 1
         none = pa.nulls(n, pa.int64())
-        times = [int((counts == r).sum()) for r in range(1, LARGE + 2)]
-        columns = [pa.concat_arrays([none, pa.array(np.append(sums[at, r], times[r]).astype(np.int64))]) for r in range(LARGE)]
-        return pa.table([
-            pa.concat_arrays([table["batch"].combine_chunks(), pa.nulls(m, pa.int64())]), pa.array([shard] * (n + m), pa.int32()), *[pa.array([x[i] for x in packed] + [None] * m, pa.binary()) for i in range(3)],
-            pa.concat_arrays([none, pa.array(np.append(hot, -1).astype(np.int64))]), *columns, pa.concat_arrays([pa.nulls(n, pa.float64()), pa.array(np.append(sums[at, LARGE], times[LARGE]).astype(np.float64))]),
-        ], names=["batch", "shard", "counts", "kinds", "shares", "context", *fields, "share"])
+        times = [int((counts == r).sum()) for r in range(1, LARGE + 2)] + [0] * (SUMS - LARGE - 1)
+        at = np.flatnonzero(context_new)[hot]
+        told = np.concatenate([np.stack([cu[at], cv[at]]), sums[:, hot]]), np.array([-1, -1, *times])[:, None]
+        columns = [pa.concat_arrays([none, pa.array(x)]) for x in np.concatenate(told, axis=1)]
+        return pa.table([pa.concat_arrays([table["batch"].combine_chunks(), pa.nulls(m, pa.int64())]), pa.array([shard] * (n + m), pa.int32()), *[pa.array([x[i] for x in packed] + [None] * m, pa.binary()) for i in range(2)], *columns], names=["batch", "shard", "counts", "sums", "u", "v", *fields])
+
+    sent = asked.mapInArrow(ask, "shard int, batch long, " + ", ".join(f"{c} binary" for c in MESSAGE))
+    return written(sent.groupBy("shard").applyInArrow(answer, "batch long, shard int, counts binary, sums binary, u long, v long, " + ", ".join(f"{f} long" for f in fields)), name)
+
+
+def of_batches(answers: DataFrame, name: str) -> DataFrame:
+    return answers.filter("batch is not null").groupBy("batch").agg(F.collect_list(F.struct("shard", "counts", "sums")).alias(name))
+
+
+def hot_sums(answers: DataFrame) -> tuple[dict[tuple[int, int], list[int]], np.ndarray]:
+    """Sums by hot context, and discounts. At most HOT rows, and one."""
+    rows = answers.filter("u is not null").groupBy("u", "v").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(SUMS)]).collect()
+    found = {(r["u"], r["v"]): [int(r[f"s{i}"]) for i in range(SUMS)] for r in rows}
+    times = found.pop((-1, -1), [0] * SUMS)[: LARGE + 1]
+    return found, discounts(times)
+
 
-    asked = joined.mapInArrow(ask, "shard int, batch long, contexts binary, context_counts binary, runs binary, words binary, word_counts binary, trained binary")
-    return asked.groupBy("shard").applyInArrow(answer, "batch long, shard int, counts binary, kinds binary, shares binary, context long, " + ", ".join(f"{f} long" for f in fields) + ", share double")
+def gram_answers(x: Grams, answers: list[dict], shards: int, limit: float, hot: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the n-grams and sums of the contexts (a column a context) of a batch."""
+    counts, sums, at = np.zeros(len(x.word), np.int64), np.zeros((SUMS, len(x.u)), np.int64), x.dealt(shards, limit)
+    for a in answers:
+        p = at[a["shard"]]
+        counts[p] = _unpack(a["counts"], np.uint32)
+        own = x.context[p]
+        sums[:, own[np.concatenate([[True], own[1:] != own[:-1]])]] = _unpack(a["sums"], np.int64).reshape(SUMS, -1)
+    for i in np.flatnonzero(x.of > limit):
+        if (told := hot.get((int(x.u[i]), int(x.v[i])))) is not None:
+            sums[:, i] = told
+    return counts, sums
 
 
 def discounts(times: list[float]) -> np.ndarray:
-    """Good-Turing discounts of counts 1 to LARGE, from the numbers of pairs seen 1 to LARGE + 1 times.
+    """Good-Turing discounts of counts 1 to LARGE, from the numbers of n-grams seen 1 to LARGE + 1 times.
 
     Groups of copies make bumps in these numbers. From the first count on whose discount, or whose place after the counts
     below it, a bump spoils, the numbers are taken from their log-linear fit (Gale and Sampson, 1995), which always gives
@@ -255,23 +316,26 @@ def discounts(times: list[float]) -> np.ndarray:
     return (r - min(0.9, max(0.1, less))) / r
 
 
-def pair_probability(c: np.ndarray, of: np.ndarray, kinds: np.ndarray, share: np.ndarray, word: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """P(word | context) from the pair's count, the context's count, the numbers of words after it by count, the sum of
-    their word probabilities, and the word's probability. A context without discounted words gives half a count away."""
-    r = np.arange(1, LARGE + 1)
-    saved = kinds @ ((1 - d) * r)
+def context_weights(of: np.ndarray, sums: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What counts are divided by after each context, and what the context saves. One without discounted words gives half a count away."""
+    saved = (1 - d) * np.arange(1, LARGE + 1) @ sums[:LARGE]
     extra = np.where(saved > 0, 0.0, 0.5)
-    whole = of + extra
+    return np.maximum(of + extra, 1e-300), saved + extra
+
+
+def back_off(x: Grams, c: np.ndarray, whole: np.ndarray, saved: np.ndarray, share: np.ndarray, shorter: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """P(word | context) of n-grams from their counts; ``share``: of the words seen after a context, the sum of their
+    probabilities after the shorter context; ``shorter``: that of the n-gram's own word."""
     kept = np.concatenate([[0.0], d, [1.0]])[np.minimum(c, LARGE + 1)] * c
-    weight = (saved + extra) / np.maximum(whole, 1e-300) / np.maximum(1 - share, 1e-15)
-    return np.where(of == 0, word, np.where(c > 0, kept / np.maximum(whole, 1e-300), weight * word))
+    weight = saved / whole / np.maximum(1 - share, 1e-15)
+    return np.where(x.of[x.context] == 0, shorter, np.where(c > 0, kept / whole[x.context], weight[x.context] * shorter))
 
 
 def katz_scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) of every row; rows where ``held_out`` isn't true train.
 
-    Null and empty texts are the end token alone. Without training rows all words are unknown. Equal rows get equal scores,
-    and count as often as they come; an empty table gives an empty one; other columns don't matter."""
+    Null and empty texts are the end token alone; a text is never cut, however long. Without training rows all words are
+    unknown. Equal rows get equal scores, and count as often as they come; an empty table gives an empty one; other columns don't matter."""
     small_batches(docs.sparkSession)
     shards = buckets_for(docs, mb=4)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
@@ -279,42 +343,61 @@ def katz_scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
     words = written(word_shards(made, shards), "lm-words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     told = words.filter("batch is not null").groupBy("batch").agg(F.collect_list(F.struct("numbers", "counts", "ids")).alias("answers"))
-    joined = made.drop("counts", "words").join(told, "batch")
-    pairs = written(pair_shards(joined.drop("keys"), shards, total, distinct), "lm-pairs")
-    fields = [f"n{r}" for r in range(1, LARGE + 1)]
-    # at most HOT rows, and one
-    sums = pairs.filter("context is not null").groupBy("context").agg(*[F.sum(f).alias(f) for f in fields], F.sum("share").alias("share")).collect()
-    times = next(([r[f] for f in fields] + [r["share"]] for r in sums if r["context"] == -1), [0] * (LARGE + 1))
-    d, hot = discounts(times), {r["context"]: ([r[f] for f in fields], r["share"]) for r in sums if r["context"] != -1}
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    # contexts that occur more often are hot
+    limit = total / HOT
+    kind = rows.schema["key"].dataType.simpleString()
+    plain = f"batch long, tokens binary, lengths binary, keys array<{kind}>, held_out array<boolean>, counts binary, ids binary"
+
+    def with_words(batches):
+        for b in batches:
+            for i, row in enumerate(b.select(["answers"]).to_pylist()):
+                packed = [pa.array([_pack(x)], pa.binary()) for x in word_answers(row)]
+                yield pa.RecordBatch.from_arrays([*[b[c].slice(i, 1) for c in ("batch", "tokens", "lengths", "keys", "held_out")], *packed], names=["batch", "tokens", "lengths", "keys", "held_out", "counts", "ids"])
+
+    known = written(made.drop("counts", "words").join(told, "batch").mapInArrow(with_words, plain), "lm-tokens")
+    dropped(made, words)
+    two = gram_shards(known.drop("keys"), shards, limit, "lm-pairs", lambda row: Batch(row).pairs())
+    hot2, d2 = hot_sums(two)
+
+    def with_pairs(batches):
+        for b in batches:
+            for i, row in enumerate(b.drop_columns(["keys"]).to_pylist()):
+                packed = [pa.array([_pack(x)], pa.binary()) for x in gram_answers(Batch(row).pairs(), row["two"], shards, limit, hot2)]
+                yield pa.RecordBatch.from_arrays([*[b[c].slice(i, 1) for c in names], *packed], names=[*names, "pairs", "pair_sums"])
+
+    names = known.columns
+    paired = written(known.join(of_batches(two, "two"), "batch").select(*names, "two").mapInArrow(with_pairs, f"{plain}, pairs binary, pair_sums binary"), "lm-paired")
+    dropped(known, two)
+    three = gram_shards(paired.drop("keys", "pair_sums"), shards, limit, "lm-triples", lambda row: Batch(row).triples(_unpack(row["pairs"], np.int64)))
+    hot3, d3 = hot_sums(three)
 
     def evaluate(batches):
+        r = np.arange(1, LARGE + 1)
         for b in batches:
-            for row in b.to_pylist():
-                x = Batch(row, shards)
-                c = np.zeros(len(x.word), np.int64)
-                kinds, share = np.zeros((len(x.ids), LARGE)), np.zeros(len(x.ids))
-                at = x.dealt(total)
-                for a in row["pairs"]:
-                    p = at[a["shard"]]
-                    c[p] = _unpack(a["counts"], np.uint32)
-                    own = x.context[p]
-                    own = own[np.concatenate([[True], own[1:] != own[:-1]])]
-                    kinds[own], share[own] = _unpack(a["kinds"], np.uint32).reshape(LARGE, -1).T, _unpack(a["shares"], np.float64)
-                for i in np.flatnonzero(x.counts * HOT > total):
-                    if int(x.ids[i]) in shared.value:
-                        kinds[i], share[i] = shared.value[int(x.ids[i])]
+            for i, row in enumerate(b.drop_columns(["keys"]).to_pylist()):
+                x = Batch(row)
                 base = (x.counts + 0.5) / (total + 0.5 * (distinct + 1))
-                p = pair_probability(c, x.counts[x.context], kinds[x.context], share[x.context], base[x.word], d)
-                scores = np.add.reduceat(np.log10(p)[x.inverse], x.firsts)
+                pairs, c2, sums2 = x.pairs(), _unpack(row["pairs"], np.int64), _unpack(row["pair_sums"], np.int64).reshape(SUMS, -1)
+                # of the words seen after a context: all counts, and a half for each of them
+                low = sums2[LARGE:]
+                share = (r @ low[:LARGE] + low[LARGE] + 0.5 * (low[:LARGE].sum(0) + low[LARGE + 1])) / (total + 0.5 * (distinct + 1))
+                whole2, saved2 = context_weights(x.counts, sums2, d2)
+                p2 = back_off(pairs, c2, whole2, saved2, share, base[x.word], d2)
+                triples = x.triples(c2)
+                c3, sums3 = gram_answers(triples, row["three"], shards, limit, hot3)
+                # every word seen after two has been seen after one, so its probability there is a discounted count
+                last = np.append(x.word, 1)
+                share = ((d2 * r) @ sums3[LARGE : 2 * LARGE] + sums3[2 * LARGE]) / whole2[last]
+                whole3, saved3 = context_weights(triples.of, sums3, d3)
+                shorter = np.zeros(len(triples.word))
+                shorter[x.triple_of] = p2[x.pair_of]
+                p3 = back_off(triples, c3, whole3, saved3, share, shorter, d3)
+                scores = np.add.reduceat(np.log10(p3)[x.triple_of], x.firsts)
                 bases = np.add.reduceat(np.log10(base)[x.tokens], x.firsts)
-                known = np.add.reduceat((x.counts[x.tokens] > 0).astype(np.int64), x.firsts)
-                kind = b.schema.field("keys").type.value_type
-                yield pa.RecordBatch.from_arrays([pa.array(row["keys"], kind), pa.array(x.held), pa.array(x.lengths), pa.array(known), pa.array(np.full(len(known), total)), pa.array(bases), pa.array(scores)], names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                seen = np.add.reduceat((x.counts[x.tokens] > 0).astype(np.int64), x.firsts)
+                yield pa.RecordBatch.from_arrays([b["keys"].slice(i, 1).flatten(), pa.array(x.held), pa.array(x.lengths), pa.array(seen), pa.array(np.full(len(seen), total)), pa.array(bases), pa.array(scores)], names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    answers = pairs.filter("batch is not null").groupBy("batch").agg(F.collect_list(F.struct("shard", "counts", "kinds", "shares")).alias("pairs"))
-    kind = rows.schema["key"].dataType.simpleString()
-    return joined.join(answers, "batch").mapInArrow(evaluate, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("key", key)
+    return paired.join(of_batches(three, "three"), "batch").mapInArrow(evaluate, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("key", key)
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -622,49 +622,86 @@ def test_mixing_edges(odd, empty):
 # ---- language-model scores
 
 
-def brute_katz(texts, held):
+def brute_katz(texts, held, order=3):
+    """The back-off probability by recursion over tuples: of a word after up to two words, longest first."""
     tokens = {k: [*words_of(t), b""] for k, t in texts.items()}
     c = Counter(w for k in tokens if not held[k] for w in tokens[k])
     total, distinct = sum(c.values()), len(c)
-    pairs, of = Counter(), Counter()
+    grams = {n: Counter() for n in range(2, order + 1)}
     for k, ws in tokens.items():
         if not held[k]:
-            for a, b in zip([None, *ws], ws, strict=False):
-                pairs[a, b] += 1
-                of[a] += 1
-    times = Counter(pairs.values())
-    d = lm.discounts([times[r] for r in range(1, lm.LARGE + 2)])
-    word = lambda w: (c[w] + 0.5) / (total + 0.5 * (distinct + 1))
-    saved, share = Counter(), Counter()
-    for (a, b), n in pairs.items():
-        saved[a] += n * (1 - d[n - 1]) if n <= lm.LARGE else 0
-        share[a] += word(b)
-
-    def p(a, b):
-        if not of[a]:
-            return word(b)
-        extra = 0 if saved[a] > 0 else 0.5
-        n = pairs[a, b]
-        if n:
-            return n * (d[n - 1] if n <= lm.LARGE else 1) / (of[a] + extra)
-        return (saved[a] + extra) / (of[a] + extra) / (1 - share[a]) * word(b)
-
-    return tokens, c, total, word, p, of
-
-
-def test_op8(spark, texts):
-    rows = {r.doc_id: r for r in queries()["op8_lm_scoring"](spark, SF).collect()}
-    held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in texts}
-    tokens, c, total, word, p, of = brute_katz(texts, held)
+            padded = [None] * (order - 1) + ws
+            for i in range(order - 1, len(padded)):
+                for n in grams:
+                    grams[n][tuple(padded[i - n + 1 : i + 1])] += 1
+    d = {n: lm.discounts([Counter(g.values())[r] for r in range(1, lm.LARGE + 2)]) for n, g in grams.items()}
+    after = {n: defaultdict(dict) for n in grams}
+    for n, g in grams.items():
+        for x, m in g.items():
+            after[n][x[:-1]][x[-1]] = m
+    shares = {}
+
+    def p(context, w):
+        n = len(context) + 1
+        if n == 1:
+            return (c[w] + 0.5) / (total + 0.5 * (distinct + 1))
+        seen = after[n].get(context)
+        if not seen:
+            return p(context[1:], w)
+        if context not in shares:
+            saved = sum(m * (1 - d[n][m - 1]) for m in seen.values() if m <= lm.LARGE)
+            shares[context] = sum(seen.values()), saved, 0 if saved > 0 else 0.5, sum(p(context[1:], x) for x in seen)
+        of, saved, extra, share = shares[context]
+        if w in seen:
+            return seen[w] * (d[n][seen[w] - 1] if seen[w] <= lm.LARGE else 1) / (of + extra)
+        return (saved + extra) / (of + extra) / (1 - share) * p(context[1:], w)
+
+    return tokens, c, total, p, after
+
+
+def check_katz(rows, texts, held):
+    tokens, c, total, p, after = brute_katz(texts, held)
     assert rows.keys() == texts.keys()
     for k, r in rows.items():
         ws = tokens[k]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[k], len(ws), sum(w in c for w in ws), total)
-        assert r.base_score == pytest.approx(sum(math.log10(word(w)) for w in ws), rel=1e-9)
-        assert r.score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip([None, *ws], ws, strict=False)), rel=1e-9)
-    for a in [None, *list(c)[:20]]:
-        if of[a]:
-            assert sum(p(a, b) for b in c) + p(a, b"never seen") == pytest.approx(1, rel=1e-9)
+        assert r.base_score == pytest.approx(sum(math.log10(p((), w)) for w in ws), rel=1e-9)
+        assert r.score == pytest.approx(sum(math.log10(p((a, b), w)) for a, b, w in zip([None, None, *ws], [None, *ws], ws, strict=False)), rel=1e-9)
+    for n in after:
+        for context in list(after[n])[:8]:
+            assert sum(p(context, w) for w in c) + p(context, b"never seen") == pytest.approx(1, rel=1e-9)
+
+
+def test_op8(spark, texts):
+    rows = {r.doc_id: r for r in queries()["op8_lm_scoring"](spark, SF).collect()}
+    check_katz(rows, texts, {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in texts})
+
+
+def test_katz_of_small_batches_and_hot_contexts(spark, monkeypatch):
+    """Texts over many batches and shards, few words, contexts of which most are hot; a text longer than a batch."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lm, "BATCH", 150)
+    monkeypatch.setattr(lm, "HOT", 40)
+    random.seed(18)
+    texts = {i: " ".join(random.choice("a a a a b b c d e f".split()) for _ in range(random.randint(0, 30))) for i in range(120)}
+    texts[500] = " ".join(random.choice("abcdefg") for _ in range(400))
+    held = {k: k % 5 == 1 for k in texts}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    check_katz({r.doc_id: r for r in lm.katz_scores(df, F.col("doc_id") % 5 == 1).collect()}, texts, held)
+
+
+def test_copies_of_training_texts_stand_out(spark):
+    """Of prose whose words are drawn at random, held-out copies of training texts score far above all other held-out texts."""
+    from pyspark.sql import functions as F
+
+    random.seed(19)
+    prose = lambda: " ".join(f"w{int(random.paretovariate(0.6)) % 3000}" for _ in range(120))
+    copies, others, rest = ([prose() for _ in range(n)] for n in (30, 50, 100))
+    rows = [(i, x, i < 80) for i, x in enumerate(copies + others + copies + rest)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    score = {r.doc_id: r.score / r.n_tokens for r in lm.katz_scores(df, F.col("held")).collect()}
+    assert min(score[i] for i in range(30)) > max(score[i] for i in range(30, 80)) + 1
 
 
 def test_katz_edges(odd, empty):
