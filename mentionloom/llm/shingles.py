@@ -39,6 +39,8 @@ BAND = 1.05
 FREQUENT = 1 << 18
 #: Shingles that a task sorts at once, and how many of their documents have one that is counted.
 FLUSH, SEEN = 2_000_000, 3
+#: So many names of documents are broadcast at most, in a few megabytes; the texts of more are dealt out by name.
+NAMED = 1 << 17
 #: Rows of the regions that are handled at once.
 ROWS = 1 << 17
 #: Bits of a hash that a sketch counts by.
@@ -258,7 +260,7 @@ def measured(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
 
     pairs = written(pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(may, "a long, b long"), "pairs")
     named = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    # written down, so that few of them are known to be few and all texts stay where they are
+    # written down and counted: all texts stay where they are for a few
     keys = written(named.join(classes.select("fp", "first"), "fp").select(F.col("first.key").alias("_key"), F.col("first.mark").alias("_mark"), "fp"), "named")
 
     def sets(batches):
@@ -272,7 +274,8 @@ def measured(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
                         seen.add(f), kept.append((f, h))
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in kept], pa.int64()), pa.array([h.tobytes() for _, h in kept], pa.binary())], names=["fp", "shingles"])
 
-    texts = docs.join(keys, docs.key.eqNullSafe(keys._key) & (docs.mark == keys._mark)).select("text", "fp")
+    some = F.broadcast(keys) if keys.count() <= NAMED else keys
+    texts = docs.join(some, docs.key.eqNullSafe(some._key) & (docs.mark == some._mark)).select("text", "fp")
     # rows with one id and one text may give a set more than once; the distances are made distinct below
     found = written(texts.mapInArrow(sets, "fp long, shingles binary"), "sets")
 
