@@ -696,7 +696,7 @@ def test_copies_of_training_texts_stand_out(spark):
     from pyspark.sql import functions as F
 
     random.seed(19)
-    prose = lambda: " ".join(f"w{int(random.paretovariate(0.6)) % 3000}" for _ in range(120))
+    prose = lambda: " ".join(f"w{int(3000 * random.random() ** 2)}" for _ in range(120))
     copies, others, rest = ([prose() for _ in range(n)] for n in (30, 50, 100))
     rows = [(i, x, i < 80) for i, x in enumerate(copies + others + copies + rest)]
     df = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
