@@ -111,3 +111,10 @@ def detokenized(tokens_: str, text: str) -> Column:
     pattern = spacing_pattern(F.rtrim(F.col(tokens_)))
     found = F.call_function("regexp_extract", F.col(text), pattern, F.lit(0))
     return F.when(F.coalesce(F.col(tokens_), F.lit("")) == "", F.col(tokens_)).when(F.call_function("rlike", F.col(text), pattern), found).otherwise(F.col(tokens_))
+
+
+def list_literal(c: Column) -> Column:
+    """The strings of a list as it is printed, in single or double quotes; null where nothing is listed between brackets."""
+    quoted = F.regexp_extract_all(c, F.lit(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""), F.lit(0))
+    plain = F.transform(quoted, lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"\\(['\"\\])", "$1"))
+    return F.when(F.trim(c).rlike(r"(?s)^\[.*\]$"), plain)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,17 +92,17 @@ def collapse(tagged: Tagged, legacy: bool = False) -> list[tuple[str, str]]:
 def mentions(sents: DataFrame, tagger: Tagger, sentence: str = "sentence", legacy: bool = False, batch: int = 256) -> DataFrame:
     """One row a mention: the sentence's columns, and software, version. Sentences go to the tagger in batches."""
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tag = tagger()
-        for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch]
-                found = [collapse(glued(t), legacy) for t in tag([s or "" for s in part[sentence]])]
-                rows = part.loc[part.index.repeat([len(f) for f in found])].reset_index(drop=True)
-                yield rows.assign(software=[a for f in found for a, _ in f], version=[b for f in found for _, b in f])
+        for b in batches:
+            texts = [s or "" for s in b.column(sentence).to_pylist()]
+            found = [collapse(glued(t), legacy) for at in range(0, len(texts), batch) for t in tag(texts[at : at + batch])]
+            rows = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+            said = [pa.array([m[k] for f in found for m in f], pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in b.columns], *said], names=[*b.schema.names, "software", "version"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sents.schema)
-    return sents.mapInPandas(work, fields + ", software string, version string")
+    return sents.mapInArrow(work, fields + ", software string, version string")
 
 
 def detokenize(df: DataFrame, text: str = "text", columns: tuple[str, ...] = ("software", "version")) -> DataFrame:

@@ -1,7 +1,7 @@
 """Similarity join of strings by Jaro-Winkler of q-grams, blocked without losing a pair.
 
 For a threshold t the Jaro part is at least w = (t - 0.4) / 0.6, so of n1 and n2 grams at least B * n1 * n2 / (n1 + n2)
-are common, B = 3 w - 1. Hence the sizes differ at most by B - 1, and with the grams of either string in a common order,
+are common, B = 3 w - 1. Hence the sizes differ at most by B - 1 if that is positive, and with the grams of either string in a common order,
 rare ones first, one of the first n1 - common + 1 grams of one is among the first n2 - common + 1 of the other. A string
 is put down for every band of sizes that a partner may have, by as few grams as that band asks for, and the place of the
 shared gram bounds what can follow it. Valid for t above 0.7."""
@@ -43,12 +43,14 @@ def similar_pairs(left: DataFrame, right: DataFrame, column: str = "software", t
         raise ValueError("the blocking needs a threshold above 0.7")
     b = 3 * (threshold - 0.4) / 0.6 - 1
     a, c = _grams(left, column, q), _grams(right, column, q)
+    longest = a.unionByName(c).agg(F.max("n")).first()[0] or 1
     rarity = a.unionByName(c).groupBy("gram", "occurrence").count()
 
     def prefixes(t: DataFrame, name: str) -> DataFrame:
         n = F.col("n")
         place = F.row_number().over(Window.partitionBy("s").orderBy("count", "gram", "occurrence")) - 1
-        least, most = F.greatest(F.lit(1), F.ceil((b - 1) * n - 1e-9)), F.floor(n / (b - 1) + 1e-9)
+        least = F.greatest(F.lit(1), F.ceil((b - 1) * n - 1e-9))
+        most = F.least(F.lit(longest), F.floor(n / (b - 1) + 1e-9)) if b > 1 else F.lit(longest)
         kept = t.join(rarity, ["gram", "occurrence"]).withColumn("place", place).filter(F.col("place") <= n - _common(b, n, least))
         kept = kept.withColumn("to", F.explode(F.sequence(_band(least), _band(most))))
         # a band's smallest sizes need the fewest common grams

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mentionloom.functions import text as T
 from mentionloom.operators import curate, evaluate, extract, graph, ids, link, simjoin, stats, synonyms
-from mentionloom.sources import catalogs
+from mentionloom.sources import catalogs, nxml
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -181,7 +181,9 @@ def license_from_path(spark: SparkSession, sf: str) -> DataFrame:
 NAMES = {"the", "de", "der", "la"}
 
 
-@_register()
+@_register(rf"""WITH {SPLIT}, w AS (SELECT id, sentence_no, unnest(l) AS w, generate_subscripts(l, 1) AS pos FROM (SELECT id, sentence_no, list_filter(string_split_regex(substr(sentence, 1, 512), '[ \x09-\x0D\x1C-\x1F\x{{85}}\x{{A0}}]+'), lambda x: x <> '') AS l FROM s)),
+    n AS (SELECT id, sentence_no, pos, trim(w, '.,;:()') AS name FROM w WHERE trim(w, '.,;:()') IN ('the', 'de', 'der', 'la')), g AS (SELECT *, pos - row_number() OVER (PARTITION BY id, sentence_no ORDER BY pos) AS run FROM n),
+    m AS (SELECT id, string_agg(name, ' ' ORDER BY pos) AS software FROM g GROUP BY id, sentence_no, run) SELECT id, software, count(*) AS n FROM m GROUP BY id, software""")
 def mention_extract(spark: SparkSession, sf: str) -> DataFrame:
     """Mentions by document, from the dictionary tagger; adjacent names are one mention."""
     sents = extract.sentences(_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
@@ -276,7 +278,12 @@ def string_sim_q1(spark: SparkSession, sf: str) -> DataFrame:
     return _similar(spark, sf, 0.8, 1).withColumn("synonym_conf", F.round("synonym_conf", 9))
 
 
-@_register()
+#: DuckDB compares the bytes of two strings; every bigram (54 there are) becomes one byte.
+BIGRAMS = """s AS (SELECT DISTINCT p_name AS s FROM part WHERE length(p_name) >= 2), x AS (SELECT s, i, substr(s, i, 2) AS gram FROM (SELECT s, unnest(range(1, length(s))) AS i FROM s)),
+    code AS (SELECT gram, chr(CAST(33 + row_number() OVER (ORDER BY gram) AS INTEGER)) AS c FROM (SELECT DISTINCT gram FROM x)), t AS (SELECT s, string_agg(c, '' ORDER BY i) AS t FROM x JOIN code USING (gram) GROUP BY s)"""
+
+
+@_register(f"WITH {BIGRAMS} SELECT a.s AS software_mention, b.s AS synonym, round(jaro_winkler_similarity(a.t, b.t), 9) AS synonym_conf FROM t a, t b WHERE jaro_winkler_similarity(a.t, b.t) >= 0.75")
 def string_sim_q2(spark: SparkSession, sf: str) -> DataFrame:
     return _similar(spark, sf, 0.75, 2).withColumn("synonym_conf", F.round("synonym_conf", 9))
 
@@ -315,11 +322,11 @@ EDGES = """words AS (SELECT v, unnest(string_split(v, ' ')) AS w FROM (SELECT DI
 NEAR = "near AS (SELECT src, dst FROM b WHERE 1 - conf <= 0.1 + 1e-12)"
 
 
-@_register(f"""WITH RECURSIVE {EDGES}, strong AS (SELECT src, dst FROM b WHERE conf >= 0.95), r AS (SELECT v, v AS c FROM v UNION SELECT s.dst, r.c FROM r JOIN strong s ON s.src = r.v)
+@_register(f"""WITH RECURSIVE {EDGES}, strong AS (SELECT src, dst FROM b), r AS (SELECT v, v AS c FROM v UNION SELECT s.dst, r.c FROM r JOIN strong s ON s.src = r.v)
     SELECT v, min(c) AS component FROM r GROUP BY v""")
 def connected_components(spark: SparkSession, sf: str) -> DataFrame:
     e = graph.edges(_graph(spark, sf))
-    return graph.components(graph.vertices(_graph(spark, sf)), e.filter("conf >= 0.95"))
+    return graph.components(graph.vertices(_graph(spark, sf)), e)
 
 
 CORES = f"{NEAR}, deg AS (SELECT src AS v, count(*) + 1 AS n FROM near GROUP BY 1), core AS (SELECT v FROM deg WHERE n >= 10)"
@@ -376,7 +383,20 @@ def entity_profile(spark: SparkSession, sf: str) -> DataFrame:
     return stats.profile(_mentions(spark, sf), clusters, first)
 
 
-@_register()
+#: Entities: components of all edges, density clusters of the largest, their silhouette, names by papers.
+LARGEST = """ar AS (SELECT v, v AS c FROM v0 UNION SELECT b0.dst, ar.c FROM ar JOIN b0 ON b0.src = ar.v), parts AS (SELECT v, min(c) AS c FROM ar GROUP BY v), big AS (SELECT c FROM parts GROUP BY c ORDER BY count(*) DESC, c LIMIT 1),
+    v AS (SELECT v FROM parts JOIN big USING (c)), b AS (SELECT b0.* FROM b0 JOIN v ON v.v = b0.src)"""
+WIDTHS = """q AS (SELECT v, coalesce(cluster, '') AS g FROM k), sz AS (SELECT g, count(*) AS n FROM q GROUP BY g),
+    dist AS (SELECT x.v, x.g, y.g AS h, sum(1 - coalesce(b.conf, CASE WHEN x.v = y.v THEN 1 ELSE 0 END)) AS d FROM q x, q y LEFT JOIN b ON b.src = x.v AND b.dst = y.v GROUP BY ALL),
+    ab AS (SELECT v, dist.g, max(CASE WHEN dist.g = h AND n > 1 THEN d / (n - 1) END) AS a, min(CASE WHEN dist.g <> h THEN d / n END) AS b FROM dist JOIN sz ON sz.g = h GROUP BY 1, 2),
+    take AS (SELECT coalesce(avg(CASE WHEN a IS NULL THEN 0 WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END), 0) > 0 OR (SELECT count(*) FROM sz) <= 1 AS yes FROM ab)"""
+
+
+@_register(f"""WITH RECURSIVE {EDGES.replace("b AS (SELECT src", "b0 AS (SELECT src").replace("v AS (SELECT DISTINCT src AS v FROM b)", "v0 AS (SELECT DISTINCT src AS v FROM b0)")}, {LARGEST}, {CORES}, {SPLITS}, {WIDTHS},
+    fr AS (SELECT p_name AS v, count(DISTINCT l_orderkey) AS freq FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+    c AS (SELECT v, 'component:' || c AS cluster FROM parts WHERE c NOT IN (SELECT c FROM big) UNION ALL SELECT v, 'cluster:' || CASE WHEN yes THEN cluster ELSE '*' END FROM k, take WHERE NOT yes OR cluster IS NOT NULL),
+    nm AS (SELECT cluster, arg_min(c.v, (-coalesce(freq, 0), c.v)) AS name FROM c LEFT JOIN fr ON fr.v = c.v GROUP BY cluster)
+    SELECT v, cluster, name FROM c JOIN nm USING (cluster) UNION ALL SELECT v, 'single:' || v, v FROM k, take WHERE yes AND cluster IS NULL""")
 def entities(spark: SparkSession, sf: str) -> DataFrame:
     """The whole chain: components, density clusters of the largest, silhouette gate, names."""
     return graph.entities(_graph(spark, sf), _frequencies(spark, sf), 0.1, 10)
@@ -395,3 +415,88 @@ def eval_disambiguation(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when(F.col("toxic") == 1, "Not software").when(F.col("quality") == 0, "Not synonym").otherwise(F.element_at(F.array(F.lit("Exact"), F.lit("Narrow"), F.lit("Unclear")), (F.col("doc_id") % 3 + 1).cast("int")))
     rows = _table(spark, sf, "labels").select(F.col("doc_id").alias("software_mention"), F.col("doc_id").alias("synonym"), kind.alias("synonym_label"))
     return evaluate.disambiguation(rows).withColumn("percent", F.round("percent", 6))
+
+
+def _table_page(spark: SparkSession, sf: str, cells: list) -> DataFrame:
+    """One page whose table has a head and a row for each part."""
+    row = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells], F.lit("</tr>"))
+    rows = _table(spark, sf, "part").groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows"))
+    return rows.select(F.concat(F.lit("<table><tr><th>Name</th></tr>"), "rows", F.lit("</table>")).alias("html"))
+
+
+@_register("""SELECT DISTINCT p_name AS software_mention, 'CRAN' AS source, 'https://cran.r-project.org/web/packages/' || p_partkey || '/index.html' AS package_url, p_type AS description FROM part""")
+def cran_links(spark: SparkSession, sf: str) -> DataFrame:
+    """The CRAN index: a name with a relative link, and a title with marks inside, in each row of a table."""
+    name = F.concat(F.lit('<a href="../../web/packages/'), F.col("p_partkey"), F.lit('/index.html">'), F.col("p_name"), F.lit("</a>"))
+    raw = catalogs.cran(_table_page(spark, sf, [name, F.concat(F.lit(" <b>"), "p_type", F.lit("</b>"))]))
+    return raw.select(F.col("CRAN Package").alias("software_mention"), F.lit("CRAN").alias("source"), F.col("CRAN Link").alias("package_url"), F.col("Title").alias("description")).distinct()
+
+
+@_register("""SELECT DISTINCT lower(p_type) AS package, 'https://www.bioconductor.org/packages/release/bioc/' || p_partkey AS link, p_brand AS maintainer, p_name AS title FROM part""")
+def bioconductor_links(spark: SparkSession, sf: str) -> DataFrame:
+    """The Bioconductor index, names in lower case."""
+    name = F.concat(F.lit('<a href="bioc/'), F.col("p_partkey"), F.lit('">'), F.col("p_type"), F.lit("</a>"))
+    raw = catalogs.bioconductor(_table_page(spark, sf, [name, F.col("p_brand"), F.col("p_name")]))
+    return raw.select(F.col("Bioconductor Package").alias("package"), F.col("BioConductor Link").alias("link"), F.col("Maintainer").alias("maintainer"), F.col("Title").alias("title")).distinct()
+
+
+def _resources(spark: SparkSession, sf: str) -> DataFrame:
+    """A response for each part name: the query's expansions, and a row with a linked resource name; every third part's is another's."""
+    part = _table(spark, sf, "part")
+    named = F.when(F.col("p_partkey") % 3 == 0, F.lit("other")).when(F.col("p_partkey") % 3 == 1, F.upper("p_name")).otherwise(F.concat("p_name", F.lit(" tool")))
+    link = F.concat(F.lit('&lt;a href="https://host/'), F.col("p_partkey"), F.lit('"&gt;'), named, F.lit("&lt;/a&gt;"))
+    said = F.concat(F.lit("<query><clauses><clauses><expansion><expansion>"), "p_name", F.lit(" tool</expansion><expansion>x</expansion></expansion></clauses></clauses></query>"))
+    data = lambda n, v: F.concat(F.lit(f"<data><name>{n}</name><value>"), v, F.lit("</value></data>"))
+    return part.select("p_partkey", F.col("p_name").alias("mention"), F.concat(F.lit("<response>"), said, F.lit("<result><results><row>"), data("Resource Name", link), data("Resource ID", F.concat(F.lit("RRID:"), "p_partkey")), F.lit("</row></results></result></response>")).alias("xml"))
+
+
+@_register("""SELECT p_name AS mention, CASE WHEN p_partkey % 3 = 1 THEN upper(p_name) ELSE p_name || ' tool' END AS resource, 'RRID:' || p_partkey AS rrid, 'https://host/' || p_partkey AS link FROM part WHERE p_partkey % 3 <> 0""")
+def scicrunch_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Resources whose linked name is the mention or one of its expansions, by lower case."""
+    found = catalogs.scicrunch(_resources(spark, sf))
+    return found.select(F.col("software_name").alias("mention"), F.col("Resource Name").alias("resource"), F.col("Resource ID").alias("rrid"), F.col("Resource Name Link").alias("link"))
+
+
+@_register("""SELECT DISTINCT p_name AS mention, unnest([p_name || ' tool', 'x', lower(p_name), p_name]) AS synonym FROM part WHERE p_partkey % 3 <> 0 AND p_name IS NOT NULL""")
+def resource_synonyms(spark: SparkSession, sf: str) -> DataFrame:
+    """Expansions of the resources that were found, and each with itself."""
+    return synonyms.catalog_synonyms(catalogs.scicrunch(_resources(spark, sf)), "software_name")
+
+
+@_register("""WITH r AS (SELECT DISTINCT p_brand AS software_mention, p_name AS synonym, 1.0::DOUBLE AS synonym_conf, 'keywords' AS synonym_source FROM part)
+    SELECT * FROM r WHERE software_mention IN (SELECT software_mention FROM r GROUP BY 1 HAVING count(*) >= 46)""")
+def scored_synonyms(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = _table(spark, sf, "part").select(F.col("p_brand").alias("software_mention"), F.col("p_name").alias("synonym"))
+    return synonyms.scored(pairs, "keywords", least=46)
+
+
+#: A paper for each document: its first words as title, two paragraphs in a section, references and marks inside.
+@_register(r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, regexp_replace(substr(coalesce(text, ''), 1, 200), '[^a-zA-Z ]', '', 'g') AS t, regexp_replace(substr(coalesce(text, ''), 201, 200), '[^a-zA-Z ]', '', 'g') AS u FROM documents)
+    SELECT CAST(doc_id AS VARCHAR) AS pmid, 2000 + CAST(doc_id % 20 AS INTEGER) AS pubdate, source, CAST(number AS INTEGER) AS number, text FROM (
+    SELECT *, unnest(['paper_title', 'paper_abstract', 'fig_caption', 'Methods', 'Methods']) AS source, unnest([0, 0, 0, 0, 1]) AS number, unnest([lang || ' ' || chr(945) || t, u, 'Fig ' || u, t || ' & ' || u || chr(160) || '<x>', u]) AS text FROM d)""")
+def nxml_objects(spark: SparkSession, sf: str) -> DataFrame:
+    plain = lambda a: F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), a, 200), "[^a-zA-Z ]", "")
+    d = _table(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), plain(1).alias("t"), plain(201).alias("u"))
+    xml = F.concat(
+        F.lit("<article><front><article-meta><article-id pub-id-type=\"pmid\">"), "doc_id", F.lit("</article-id><title-group><article-title>"), "lang", F.lit(" &#x3b1;"), "t",
+        F.lit("</article-title></title-group><pub-date><year>"), (F.col("doc_id") % 20 + 2000).cast("string"), F.lit("</year></pub-date><abstract>"), "u",
+        F.lit("</abstract></article-meta></front><body><sec><title>Methods</title><p><i>"), "t", F.lit("</i> &amp; "), "u", F.lit("&#160;<![CDATA[<x>]]></p><p id=\"2\">"), "u",
+        F.lit("</p></sec><fig><caption>Fig "), "u", F.lit("</caption></fig></body></article>"),
+    )
+    papers = d.select(F.concat(F.lit("/comm/"), "doc_id", F.lit(".nxml")).alias("path"), xml.alias("xml"))
+    return nxml.objects(nxml.well_formed(papers)).select("pmid", "pubdate", "source", "number", "text")
+
+
+@_register("""WITH m AS (SELECT doc_id, 'SM' || doc_id % 50 AS ID FROM documents), t AS (SELECT DISTINCT 'SM' || doc_id % 50 AS ID, doc_id AS pos, CASE WHEN quality = 1 THEN 'software' ELSE 'not_software' END AS label FROM labels),
+    l AS (SELECT ID, arg_max(label, pos) AS label FROM t GROUP BY ID) SELECT doc_id, ID, label FROM m LEFT JOIN l USING (ID)""")
+def last_curation_label(spark: SparkSession, sf: str) -> DataFrame:
+    id_ = F.concat(F.lit("SM"), F.col("doc_id") % 50).alias("ID")
+    terms = _table(spark, sf, "labels").select(id_, F.col("doc_id").alias("pos"), F.when(F.col("quality") == 1, "software").otherwise("not_software").alias("label"))
+    return curate.last_label(_table(spark, sf, "documents").select("doc_id", id_), terms, "pos").select("doc_id", "ID", "label")
+
+
+@_register("""WITH f AS (SELECT p_name AS software, 'SM' || (row_number() OVER (ORDER BY min(p_partkey), p_name) - 1) AS ID FROM part WHERE p_name IS NOT NULL GROUP BY p_name) SELECT p_partkey, software, ID FROM part JOIN f ON p_name = software""")
+def strict_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Every mention has an id, or the query fails."""
+    part = _table(spark, sf, "part").filter("p_name is not null").select("p_partkey", F.col("p_name").alias("software"))
+    return ids.with_ids(part, ids.assign_ids(part, position="p_partkey"), strict=True).select("p_partkey", "software", "ID")

@@ -300,3 +300,39 @@ def test_streaming(spark, tmp_path):
     for _ in range(2):
         ingest.ingest(spark, source, schema, str(tmp_path / "out"), str(tmp_path / "c2"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_list_literals(spark):
+    rows = [("['a', \"it's\"]", ["a", "it's"]), ("[]", []), ("['x\\\\y', 'q\\'s']", ["x\\y", "q's"]), ("none", None), (None, None)]
+    got = [r[0] for r in spark.createDataFrame([(i, s) for i, (s, _) in enumerate(rows)], "i int, s string").orderBy("i").select(T.list_literal(F.col("s"))).collect()]
+    assert got == [w for _, w in rows]
+
+
+def test_command_line(spark, tmp_path):
+    from mentionloom.__main__ import main
+
+    papers, names = tmp_path / "papers", tmp_path / "names.txt"
+    papers.mkdir()
+    (papers / "ok.nxml").write_text(PAPER.replace("R</italic> &amp; more", "R</italic> 3.2 &#945;"))
+    names.write_text("R\n")
+    main(["extract", str(papers), str(tmp_path / "m"), "--names", str(names)])
+    assert [(r.software, r.version) for r in spark.read.parquet(str(tmp_path / "m")).collect()] == [("R", "3.2")]
+    spark.createDataFrame([("R", "1"), ("R", "2"), ("Stata", "1"), ("Rr", "1")], "software string, pmcid string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    main(["top", str(tmp_path / "t"), str(tmp_path / "top"), "--top-k", "1", "--format", "csv"])
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "top"), header=True).collect()] == [("R", "2")]
+    main(["assign-ids", str(tmp_path / "t"), str(tmp_path / "i")])
+    assert {r.software: r.ID for r in spark.read.parquet(str(tmp_path / "i")).collect()} == {"R": "SM0", "Stata": "SM1", "Rr": "SM2"}
+    main(["similar", str(tmp_path / "t"), str(tmp_path / "s")])
+    assert {(r.software_mention, r.synonym) for r in spark.read.parquet(str(tmp_path / "s")).collect()} == {("Stata", "Stata"), ("Rr", "Rr")}
+
+
+@pytest.mark.parametrize("threshold", [0.75, 0.85, 0.9])
+def test_similar_pairs_lose_none(spark, threshold):
+    """Against all pairs of random strings of like and unlike sizes."""
+    random.seed(int(threshold * 100))
+    some = {"".join(random.choice("abcd") for _ in range(random.randint(2, 14))) for _ in range(60)}
+    some |= {x[: random.randint(0, 3)] + "d" + x[2:] for x in list(some)}
+    df = spark.createDataFrame([(x,) for x in some], "software string")
+    got = {(r.software_mention, r.synonym) for r in simjoin.similar_pairs(df, df, threshold=threshold).collect()}
+    kept = [x for x in some if len(x) >= 2]
+    assert got == {(x, y) for x in kept for y in kept if jaro_winkler(x, y) >= threshold}
