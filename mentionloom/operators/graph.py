@@ -6,11 +6,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EPS, MIN_SAMPLES = 0.1, 30
+#: So many edges go through one task at most, in a few tens of megabytes; more are joined round by round.
+FEW = 1 << 16
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -50,13 +54,34 @@ def vertices(pairs: DataFrame, src: str = "software_mention", dst: str = "synony
     return pairs.select(F.col(src).alias("v")).union(pairs.select(F.col(dst))).filter("v is not null").distinct()
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stars of a few edges, in one pass."""
+    root: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = root[y]
+            x = y
+        return x
+
+    for b in batches:
+        for x, y in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True):
+            low, high = sorted((find(x), find(y)), key=lambda s: s.encode("utf-8", "surrogatepass"))
+            root[high] = low
+    yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.string()), pa.array([find(x) for x in list(root)], pa.string())], names=["v", "component"])
+
+
 def components(v: DataFrame, e: DataFrame) -> DataFrame:
     """(v, component): the smallest vertex that edges reach.
 
     Large-star and small-star rounds by turns (Kiveris et al., 2014): every vertex links its larger neighbours to the
     smallest one around, then itself and its smaller neighbours to the smallest of these. The edges never grow in number,
-    a component's edges stay spread over its vertices until it is a star, and the rounds grow as the logarithm of the input."""
+    a component's edges stay spread over its vertices until it is a star, and the rounds grow as the logarithm of the input.
+    FEW edges at most are no work for rounds and go through one task."""
     now = checkpointed(e.filter("src != dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    of = lambda found: v.select("v").join(found, "v", "left").select("v", F.coalesce("component", "v").alias("component"))
+    if now.count() <= FEW:
+        return of(now.coalesce(1).mapInArrow(_forest, "v string, component string"))
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
@@ -70,7 +95,7 @@ def components(v: DataFrame, e: DataFrame) -> DataFrame:
         _dropped(now)
         now = after
         if same:
-            return v.select("v").join(now.select(F.col("a").alias("v"), F.col("b").alias("component")), "v", "left").select("v", F.coalesce("component", "v").alias("component"))
+            return of(now.select(F.col("a").alias("v"), F.col("b").alias("component")))
 
 
 def dbscan(v: DataFrame, e: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
