@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from mentionloom.llm.common import buckets_for, dropped, lower_ascii, mix64, small_batches, written
 
 #: Tokens of a batch, about; a text is never cut.
-BATCH = 1_000_000
+BATCH = 600_000
 #: N-grams seen more often aren't discounted.
 LARGE = 5
 HOT = 1000

@@ -63,7 +63,11 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, places: int = SOUR
     words in bin -1, as has a null text. Duplicate clusters are equal texts. Rows are dealt out by a hash of id,
     text and their number to groups of bounded size that are packed each on its own, so a hot source or a huge
     cluster is spread over all groups; a cluster's copies take as many bins. Null sources count as one source.
-    Equal rows are pieces of their own; an empty table gives an empty one; other columns don't matter."""
+    Pieces of one size go in by the hash that dealt them out, bins of one residual fill up in the order they were opened.
+    Texts are read whole, however long. Equal rows are pieces of their own; an empty table gives an empty one; other columns
+    don't matter, but the key can't have the name of one of the results."""
+    if key in ("piece", "first_word", "n_words", "bin", "position", "used"):
+        raise ValueError(f"the key can't be named {key}")
     rows = docs.select(F.col(key).alias("key"), n_words(text).alias("size"), F.coalesce(F.concat(F.lit("s"), source), F.lit("")).alias("source"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("cluster"))
     # a number tells equal rows apart; it is written down so that a rerun deals them out alike
     rows = written(rows.withColumn("salt", F.monotonically_increasing_id()), "packing")
