@@ -8,7 +8,7 @@ probabilities sum to exactly 1: pairs of words back off to one, and one to the s
 The model is never in one piece. Texts are turned once into batches of word numbers. Batches ask the shards of the
 word table for their distinct words' counts and ids, then the shards of the table of two words, then of that of three, for
 their distinct n-grams and contexts; a batch's training n-grams and its questions are one message, so shards count and
-answer in one go. Sums of contexts are whole numbers, so they don't depend on any order. The n-grams of a context that
+answer in one go. The n-grams of a context that
 holds over 1/HOT of all tokens are dealt out by n-gram, their sums go by way of a table of at most HOT rows. Each token is
 then evaluated from the longest n-gram down: what has been seen, else the context's weight times the shorter one."""
 
@@ -32,9 +32,9 @@ BATCH = 600_000
 #: N-grams seen more often aren't discounted.
 LARGE = 5
 HOT = 1000
-#: Sums of a context, and the columns of a message.
-SUMS = 2 * LARGE + 2
+#: Columns of a message, and of an answer.
 MESSAGE = ("u", "v", "of", "runs", "words", "lower", "trained")
+ANSWER = ("counts", "kinds", "low")
 #: Id of what is before the start of a text; no word has it.
 NOWHERE = (1 << 62) - 1
 #: Stand-ins for the end of a text and for what is before its first word; no word is empty or a space.
@@ -202,11 +202,12 @@ class Batch:
         return Grams(u, v, of, triples // self.size, self.ids[self.order[triples % self.size]], counts[self.pair_of[first]], trained)
 
 
-def gram_shards(asked: DataFrame, shards: int, limit: float, name: str, grams) -> DataFrame:
-    """Answers (batch, shard, counts of n-grams, sums of contexts) to ``grams`` of every batch, and sums by hot context
-    (u, v); context (-1, -1) has the numbers of n-grams seen 1, 2, ... LARGE + 1 times. A context's sums: numbers of words
-    after it by count, and of their shorter n-grams: by count up to LARGE, the sum of larger counts, their number."""
-    fields = [f"s{i}" for i in range(SUMS)]
+def gram_shards(asked: DataFrame, shards: int, limit: float, name: str, grams, weigh) -> DataFrame:
+    """Answers (batch, shard, counts of n-grams, kinds and low of contexts) to ``grams`` of every batch, and the same by hot
+    context (u, v); context (-1, -1) has the numbers of n-grams seen 1, 2, ... LARGE + 1 times. A context's kinds are the
+    numbers of words seen after it, by count up to LARGE; its low is the sum over them of what ``weigh`` makes of the counts
+    of their shorter n-grams."""
+    fields = [f"n{r}" for r in range(1, LARGE + 1)]
 
     def ask(batches):
         for b in batches:
@@ -234,57 +235,54 @@ def gram_shards(asked: DataFrame, shards: int, limit: float, name: str, grams) -
         gram, of = np.empty(len(w), np.int64), np.empty(len(w), np.int64)
         gram[order], of[order] = np.cumsum(new) - 1, np.cumsum(context_new) - 1
         counts = np.bincount(gram, np.concatenate(trained)).astype(np.int64)
-        which, low, contexts = (np.cumsum(context_new) - 1)[new], np.concatenate(lower)[order][new], int(context_new.sum())
-        sums = np.zeros((SUMS, contexts), np.int64)
-        for r in range(1, LARGE + 1):
-            sums[r - 1] = np.bincount(which[counts == r], minlength=contexts)
-            sums[LARGE + r - 1] = np.bincount(which[(counts > 0) & (low == r)], minlength=contexts)
-        rest = (counts > 0) & (low > LARGE)
-        sums[2 * LARGE + 1] = np.bincount(which[rest], minlength=contexts)
-        # whole numbers below 2 ** 53 are exact as doubles
-        sums[2 * LARGE] = np.bincount(which[rest], low[rest], contexts).astype(np.int64)
+        which, lowers, contexts = (np.cumsum(context_new) - 1)[new], np.concatenate(lower)[order][new], int(context_new.sum())
+        kinds = np.stack([np.bincount(which[counts == r], minlength=contexts) for r in range(1, LARGE + 1)])
+        seen = counts > 0
+        low = np.bincount(which[seen], weigh(lowers[seen]), contexts)
         edges, packed, hot = np.cumsum([0, *sizes]), [], []
         for i, (s, e) in enumerate(zip(edges, edges[1:], strict=False)):
             first = s + np.cumsum(runs[i]) - runs[i]
-            packed.append((_pack(counts[gram[s:e]].astype(np.uint32)), _pack(sums[:, of[first]])))
+            packed.append((_pack(counts[gram[s:e]].astype(np.uint32)), _pack(kinds[:, of[first]].astype(np.uint32)), _pack(low[of[first]])))
             hot.append(of[first[ofs[i] > limit]])
         hot = np.unique(np.concatenate(hot))
         n, m = table.num_rows, len(hot) + 1
         none = pa.nulls(n, pa.int64())
-        times = [int((counts == r).sum()) for r in range(1, LARGE + 2)] + [0] * (SUMS - LARGE - 1)
+        times = [int((counts == r).sum()) for r in range(1, LARGE + 2)]
         at = np.flatnonzero(context_new)[hot]
-        told = np.concatenate([np.stack([cu[at], cv[at]]), sums[:, hot]]), np.array([-1, -1, *times])[:, None]
-        columns = [pa.concat_arrays([none, pa.array(x)]) for x in np.concatenate(told, axis=1)]
-        return pa.table([pa.concat_arrays([table["batch"].combine_chunks(), pa.nulls(m, pa.int64())]), pa.array([shard] * (n + m), pa.int32()), *[pa.array([x[i] for x in packed] + [None] * m, pa.binary()) for i in range(2)], *columns], names=["batch", "shard", "counts", "sums", "u", "v", *fields])
+        told = np.concatenate([np.concatenate([np.stack([cu[at], cv[at]]), kinds[:, hot]]), np.array([-1, -1, *times[:LARGE]])[:, None]], axis=1)
+        columns = [pa.concat_arrays([none, pa.array(x)]) for x in told] + [pa.concat_arrays([pa.nulls(n, pa.float64()), pa.array(np.append(low[hot], float(times[LARGE])))])]
+        return pa.table([pa.concat_arrays([table["batch"].combine_chunks(), pa.nulls(m, pa.int64())]), pa.array([shard] * (n + m), pa.int32()), *[pa.array([x[i] for x in packed] + [None] * m, pa.binary()) for i in range(3)], *columns], names=["batch", "shard", *ANSWER, "u", "v", *fields, "sum"])
 
     sent = asked.mapInArrow(ask, "shard int, batch long, " + ", ".join(f"{c} binary" for c in MESSAGE))
-    return written(sent.groupBy("shard").applyInArrow(answer, "batch long, shard int, counts binary, sums binary, u long, v long, " + ", ".join(f"{f} long" for f in fields)), name)
+    return written(sent.groupBy("shard").applyInArrow(answer, "batch long, shard int, counts binary, kinds binary, low binary, u long, v long, " + ", ".join(f"{f} long" for f in fields) + ", sum double"), name)
 
 
 def of_batches(answers: DataFrame, name: str) -> DataFrame:
-    return answers.filter("batch is not null").groupBy("batch").agg(F.collect_list(F.struct("shard", "counts", "sums")).alias(name))
+    return answers.filter("batch is not null").groupBy("batch").agg(F.collect_list(F.struct("shard", *ANSWER)).alias(name))
 
 
-def hot_sums(answers: DataFrame) -> tuple[dict[tuple[int, int], list[int]], np.ndarray]:
-    """Sums by hot context, and discounts. At most HOT rows, and one."""
-    rows = answers.filter("u is not null").groupBy("u", "v").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(SUMS)]).collect()
-    found = {(r["u"], r["v"]): [int(r[f"s{i}"]) for i in range(SUMS)] for r in rows}
-    times = found.pop((-1, -1), [0] * SUMS)[: LARGE + 1]
-    return found, discounts(times)
+def hot_sums(answers: DataFrame) -> tuple[dict[tuple[int, int], tuple[list[int], float]], np.ndarray]:
+    """Kinds and low by hot context, and discounts. At most HOT rows, and one."""
+    fields = [f"n{r}" for r in range(1, LARGE + 1)]
+    rows = answers.filter("u is not null").groupBy("u", "v").agg(*[F.sum(f).alias(f) for f in fields], F.sum("sum").alias("sum")).collect()
+    found = {(r["u"], r["v"]): ([int(r[f]) for f in fields], r["sum"]) for r in rows}
+    kinds, rest = found.pop((-1, -1), ([0] * LARGE, 0))
+    return found, discounts([*kinds, rest])
 
 
-def gram_answers(x: Grams, answers: list[dict], shards: int, limit: float, hot: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the n-grams and sums of the contexts (a column a context) of a batch."""
-    counts, sums, at = np.zeros(len(x.word), np.int64), np.zeros((SUMS, len(x.u)), np.int64), x.dealt(shards, limit)
+def gram_answers(x: Grams, answers: list[dict], shards: int, limit: float, hot: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of the n-grams, and kinds (a column a context) and low of the contexts of a batch."""
+    counts, kinds, low, at = np.zeros(len(x.word), np.uint32), np.zeros((LARGE, len(x.u)), np.uint32), np.zeros(len(x.u)), x.dealt(shards, limit)
     for a in answers:
         p = at[a["shard"]]
         counts[p] = _unpack(a["counts"], np.uint32)
         own = x.context[p]
-        sums[:, own[np.concatenate([[True], own[1:] != own[:-1]])]] = _unpack(a["sums"], np.int64).reshape(SUMS, -1)
+        own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+        kinds[:, own], low[own] = _unpack(a["kinds"], np.uint32).reshape(LARGE, -1), _unpack(a["low"], np.float64)
     for i in np.flatnonzero(x.of > limit):
         if (told := hot.get((int(x.u[i]), int(x.v[i])))) is not None:
-            sums[:, i] = told
-    return counts, sums
+            kinds[:, i], low[i] = told
+    return counts, kinds, low
 
 
 def discounts(times: list[float]) -> np.ndarray:
@@ -316,17 +314,21 @@ def discounts(times: list[float]) -> np.ndarray:
     return (r - min(0.9, max(0.1, less))) / r
 
 
-def context_weights(of: np.ndarray, sums: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def context_weights(of: np.ndarray, kinds: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What counts are divided by after each context, and what the context saves. One without discounted words gives half a count away."""
-    saved = (1 - d) * np.arange(1, LARGE + 1) @ sums[:LARGE]
+    saved = (1 - d) * np.arange(1, LARGE + 1) @ kinds
     extra = np.where(saved > 0, 0.0, 0.5)
     return np.maximum(of + extra, 1e-300), saved + extra
 
 
+def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0.0], d, [1.0]])[np.minimum(c, LARGE + 1)] * c
+
+
 def back_off(x: Grams, c: np.ndarray, whole: np.ndarray, saved: np.ndarray, share: np.ndarray, shorter: np.ndarray, d: np.ndarray) -> np.ndarray:
     """P(word | context) of n-grams from their counts; ``share``: of the words seen after a context, the sum of their
     probabilities after the shorter context; ``shorter``: that of the n-gram's own word."""
-    kept = np.concatenate([[0.0], d, [1.0]])[np.minimum(c, LARGE + 1)] * c
+    kept = discounted(c, d)
     weight = saved / whole / np.maximum(1 - share, 1e-15)
     return np.where(x.of[x.context] == 0, shorter, np.where(c > 0, kept / whole[x.context], weight[x.context] * shorter))
 
@@ -356,39 +358,37 @@ def katz_scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
 
     known = written(made.drop("counts", "words").join(told, "batch").mapInArrow(with_words, plain), "lm-tokens")
     dropped(made, words)
-    two = gram_shards(known.drop("keys"), shards, limit, "lm-pairs", lambda row: Batch(row).pairs())
+    two = gram_shards(known.drop("keys"), shards, limit, "lm-pairs", lambda row: Batch(row).pairs(), lambda c: 2.0 * c + 1)
     hot2, d2 = hot_sums(two)
 
     def with_pairs(batches):
         for b in batches:
             for i, row in enumerate(b.drop_columns(["keys"]).to_pylist()):
                 packed = [pa.array([_pack(x)], pa.binary()) for x in gram_answers(Batch(row).pairs(), row["two"], shards, limit, hot2)]
-                yield pa.RecordBatch.from_arrays([*[b[c].slice(i, 1) for c in names], *packed], names=[*names, "pairs", "pair_sums"])
+                yield pa.RecordBatch.from_arrays([*[b[c].slice(i, 1) for c in names], *packed], names=[*names, "pairs", "kinds", "low"])
 
     names = known.columns
-    paired = written(known.join(of_batches(two, "two"), "batch").select(*names, "two").mapInArrow(with_pairs, f"{plain}, pairs binary, pair_sums binary"), "lm-paired")
+    paired = written(known.join(of_batches(two, "two"), "batch").select(*names, "two").mapInArrow(with_pairs, f"{plain}, pairs binary, kinds binary, low binary"), "lm-paired")
     dropped(known, two)
-    three = gram_shards(paired.drop("keys", "pair_sums"), shards, limit, "lm-triples", lambda row: Batch(row).triples(_unpack(row["pairs"], np.int64)))
+    three = gram_shards(paired.drop("keys", "kinds", "low"), shards, limit, "lm-triples", lambda row: Batch(row).triples(_unpack(row["pairs"], np.uint32).astype(np.int64)), lambda c: discounted(c, d2))
     hot3, d3 = hot_sums(three)
 
     def evaluate(batches):
-        r = np.arange(1, LARGE + 1)
         for b in batches:
             for i, row in enumerate(b.drop_columns(["keys"]).to_pylist()):
                 x = Batch(row)
                 base = (x.counts + 0.5) / (total + 0.5 * (distinct + 1))
-                pairs, c2, sums2 = x.pairs(), _unpack(row["pairs"], np.int64), _unpack(row["pair_sums"], np.int64).reshape(SUMS, -1)
-                # of the words seen after a context: all counts, and a half for each of them
-                low = sums2[LARGE:]
-                share = (r @ low[:LARGE] + low[LARGE] + 0.5 * (low[:LARGE].sum(0) + low[LARGE + 1])) / (total + 0.5 * (distinct + 1))
-                whole2, saved2 = context_weights(x.counts, sums2, d2)
+                pairs, c2, kinds2 = x.pairs(), _unpack(row["pairs"], np.uint32).astype(np.int64), _unpack(row["kinds"], np.uint32).reshape(LARGE, -1)
+                # low: of the words seen after a context, twice all counts, and one for each
+                share = _unpack(row["low"], np.float64) / 2 / (total + 0.5 * (distinct + 1))
+                whole2, saved2 = context_weights(x.counts, kinds2, d2)
                 p2 = back_off(pairs, c2, whole2, saved2, share, base[x.word], d2)
                 triples = x.triples(c2)
-                c3, sums3 = gram_answers(triples, row["three"], shards, limit, hot3)
+                c3, kinds3, low3 = gram_answers(triples, row["three"], shards, limit, hot3)
                 # every word seen after two has been seen after one, so its probability there is a discounted count
                 last = np.append(x.word, 1)
-                share = ((d2 * r) @ sums3[LARGE : 2 * LARGE] + sums3[2 * LARGE]) / whole2[last]
-                whole3, saved3 = context_weights(triples.of, sums3, d3)
+                share = low3 / whole2[last]
+                whole3, saved3 = context_weights(triples.of, kinds3, d3)
                 shorter = np.zeros(len(triples.word))
                 shorter[x.triple_of] = p2[x.pair_of]
                 p3 = back_off(triples, c3, whole3, saved3, share, shorter, d3)
