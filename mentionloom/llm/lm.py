@@ -41,15 +41,19 @@ NOWHERE = (1 << 62) - 1
 END, START = b"", b" "
 
 
+#: Made once a process; each holds tables that take longer to make than most messages to code.
+_WRITE, _READ = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _pack(x: np.ndarray) -> bytes:
     """Compressed, first bytes of all numbers first: high bytes are mostly zero, and cost next to nothing together."""
     x = np.ascontiguousarray(x).ravel()
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+    return _WRITE.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
 
 
 def _unpack(x: bytes, kind) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(width, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(_READ.decompress(x), np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 def batches_of(rows: DataFrame) -> DataFrame:
@@ -163,8 +167,10 @@ class Grams:
         key = mix64(self.u.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + self.v.astype(np.uint64))
         hot = self.of > limit
         to = np.where(hot[self.context], mix64(key[self.context] + self.word.astype(np.uint64)), key[self.context]) % np.uint64(shards)
-        by = np.argsort(to.astype(np.uint32), kind="stable")
-        ends = np.searchsorted(to[by], np.arange(shards + 1))
+        # narrow numbers are sorted in linear time
+        by = np.argsort(to.astype(np.uint16 if shards <= 1 << 16 else np.uint32), kind="stable")
+        ends = np.cumsum(np.bincount(to.astype(np.int64), minlength=shards))
+        ends = np.concatenate([[0], ends])
         return [by[ends[i] : ends[i + 1]] for i in range(shards)]
 
 
@@ -196,10 +202,13 @@ class Batch:
         before = np.empty_like(self.pair_of)
         before[1:] = self.pair_of[:-1]
         before[self.firsts] = len(self.word)
-        triples, first, self.triple_of = np.unique(before * self.size + self.place[self.tokens], return_index=True, return_inverse=True)
+        triples, self.triple_of = np.unique(before * self.size + self.place[self.tokens], return_inverse=True)
+        # any occurrence tells the pair that ends a triple
+        pair = np.empty(len(triples), np.int64)
+        pair[self.triple_of] = self.pair_of
         trained = np.bincount(self.triple_of[self.seen], minlength=len(triples))
         u, v, of = np.append(self.ids[self.context], NOWHERE), np.append(self.ids[self.word], self.ids[1]), np.append(counts, self.counts[1])
-        return Grams(u, v, of, triples // self.size, self.ids[self.order[triples % self.size]], counts[self.pair_of[first]], trained)
+        return Grams(u, v, of, triples // self.size, self.ids[self.order[triples % self.size]], counts[pair], trained)
 
 
 def gram_shards(asked: DataFrame, shards: int, limit: float, name: str, grams, weigh) -> DataFrame:
@@ -212,30 +221,38 @@ def gram_shards(asked: DataFrame, shards: int, limit: float, name: str, grams, w
     def ask(batches):
         for b in batches:
             for row in b.to_pylist():
-                x = grams(row)
+                x, rows = grams(row), []
                 for i, at in enumerate(x.dealt(shards, limit)):
                     if len(at):
                         c = x.context[at]
                         first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
                         runs, c = np.diff(np.append(first, len(c))), c[first]
-                        columns = [x.u[c], x.v[c], x.of[c], runs, x.word[at], x.lower[at], x.trained[at]]
-                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([row["batch"]], pa.int64()), *[pa.array([_pack(col.astype(np.int64))], pa.binary()) for col in columns]], names=["shard", "batch", *MESSAGE])
+                        rows.append((i, *[_pack(col.astype(np.int64)) for col in (x.u[c], x.v[c], x.of[c], runs, x.word[at], x.lower[at], x.trained[at])]))
+                for k in range(0, len(rows), 64):
+                    to, *columns = zip(*rows[k : k + 64], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([row["batch"]] * len(to), pa.int64()), *[pa.array(col, pa.binary()) for col in columns]], names=["shard", "batch", *MESSAGE])
 
     def answer(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
         us, vs, ofs, runs, words, lower, trained = ([_unpack(x, np.int64) for x in table[c].to_pylist()] for c in MESSAGE)
         sizes = list(map(len, words))
-        u, v = (np.concatenate([np.repeat(x, r) for x, r in zip(col, runs, strict=True)]) for col in (us, vs))
-        w = np.concatenate(words)
-        order = np.lexsort((w, v, u))
-        cu, cv, cw = u[order], v[order], w[order]
-        context_new = np.concatenate([[True], (cu[1:] != cu[:-1]) | (cv[1:] != cv[:-1])])
-        new = context_new.copy()
-        new[1:] |= cw[1:] != cw[:-1]
-        gram, of = np.empty(len(w), np.int64), np.empty(len(w), np.int64)
-        gram[order], of[order] = np.cumsum(new) - 1, np.cumsum(context_new) - 1
+        # contexts come as runs, so they are told apart before their n-grams are
+        u, v, run = np.concatenate(us), np.concatenate(vs), np.concatenate(runs)
+        order = np.lexsort((v, u))
+        new = np.concatenate([[True], (u[order][1:] != u[order][:-1]) | (v[order][1:] != v[order][:-1])])
+        of_run = np.empty(len(u), np.int64)
+        of_run[order] = np.cumsum(new) - 1
+        cu, cv, contexts = u[order][new], v[order][new], int(new.sum())
+        of, w = np.repeat(of_run, run), np.concatenate(words)
+        if contexts.bit_length() + int(w.max()).bit_length() < 63:
+            order = np.argsort((of << int(w.max()).bit_length()) | w)
+        else:
+            order = np.lexsort((w, of))
+        new = np.concatenate([[True], (of[order][1:] != of[order][:-1]) | (w[order][1:] != w[order][:-1])])
+        gram = np.empty(len(w), np.int64)
+        gram[order] = np.cumsum(new) - 1
         counts = np.bincount(gram, np.concatenate(trained)).astype(np.int64)
-        which, lowers, contexts = (np.cumsum(context_new) - 1)[new], np.concatenate(lower)[order][new], int(context_new.sum())
+        which, lowers = of[order][new], np.concatenate(lower)[order][new]
         kinds = np.stack([np.bincount(which[counts == r], minlength=contexts) for r in range(1, LARGE + 1)])
         seen = counts > 0
         low = np.bincount(which[seen], weigh(lowers[seen]), contexts)
@@ -248,8 +265,7 @@ def gram_shards(asked: DataFrame, shards: int, limit: float, name: str, grams, w
         n, m = table.num_rows, len(hot) + 1
         none = pa.nulls(n, pa.int64())
         times = [int((counts == r).sum()) for r in range(1, LARGE + 2)]
-        at = np.flatnonzero(context_new)[hot]
-        told = np.concatenate([np.concatenate([np.stack([cu[at], cv[at]]), kinds[:, hot]]), np.array([-1, -1, *times[:LARGE]])[:, None]], axis=1)
+        told = np.concatenate([np.concatenate([np.stack([cu[hot], cv[hot]]), kinds[:, hot]]), np.array([-1, -1, *times[:LARGE]])[:, None]], axis=1)
         columns = [pa.concat_arrays([none, pa.array(x)]) for x in told] + [pa.concat_arrays([pa.nulls(n, pa.float64()), pa.array(np.append(low[hot], float(times[LARGE])))])]
         return pa.table([pa.concat_arrays([table["batch"].combine_chunks(), pa.nulls(m, pa.int64())]), pa.array([shard] * (n + m), pa.int32()), *[pa.array([x[i] for x in packed] + [None] * m, pa.binary()) for i in range(3)], *columns], names=["batch", "shard", *ANSWER, "u", "v", *fields, "sum"])
 
