@@ -162,8 +162,13 @@ class Grams:
     def __init__(self, u, v, of, context, word, lower, trained):
         self.u, self.v, self.of, self.context, self.word, self.lower, self.trained = u, v, of, context, word, lower, trained
 
+    def complete(self, limit: float) -> np.ndarray:
+        """Contexts of which every occurrence is in this batch, so that nobody has to be asked; hot ones aside."""
+        return (np.bincount(self.context, self.trained, len(self.of)) == self.of) & (self.of <= limit)
+
     def dealt(self, shards: int, limit: float) -> list[np.ndarray]:
-        """Places of the n-grams for each shard, in order: by context, or by n-gram where the context is hot."""
+        """Places of the n-grams for each shard, in order: by context, or by n-gram where the context is hot. A context
+        that no training text has goes to none."""
         key = mix64(self.u.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + self.v.astype(np.uint64))
         hot = self.of > limit
         to = np.where(hot[self.context], mix64(key[self.context] + self.word.astype(np.uint64)), key[self.context]) % np.uint64(shards)
@@ -171,6 +176,8 @@ class Grams:
         by = np.argsort(to.astype(np.uint16 if shards <= 1 << 16 else np.uint32), kind="stable")
         ends = np.cumsum(np.bincount(to.astype(np.int64), minlength=shards))
         ends = np.concatenate([[0], ends])
+        some = self.of[self.context] > 0
+        by, ends = by[some[by]], np.concatenate([[0], np.cumsum(some[by])])[ends]
         return [by[ends[i] : ends[i + 1]] for i in range(shards)]
 
 
@@ -259,7 +266,10 @@ def gram_shards(asked: DataFrame, shards: int, limit: float, name: str, grams, w
         edges, packed, hot = np.cumsum([0, *sizes]), [], []
         for i, (s, e) in enumerate(zip(edges, edges[1:], strict=False)):
             first = s + np.cumsum(runs[i]) - runs[i]
-            packed.append((_pack(counts[gram[s:e]].astype(np.uint32)), _pack(kinds[:, of[first]].astype(np.uint32)), _pack(low[of[first]])))
+            # a batch that has a whole context knows as much
+            asks = (np.add.reduceat(trained[i], first - s) != ofs[i]) | (ofs[i] > limit)
+            known = of[first[asks]]
+            packed.append((_pack(counts[gram[s:e][np.repeat(asks, runs[i])]].astype(np.uint32)), _pack(kinds[:, known].astype(np.uint32)), _pack(low[known])))
             hot.append(of[first[ofs[i] > limit]])
         hot = np.unique(np.concatenate(hot))
         n, m = table.num_rows, len(hot) + 1
@@ -286,14 +296,20 @@ def hot_sums(answers: DataFrame) -> tuple[dict[tuple[int, int], tuple[list[int],
     return found, discounts([*kinds, rest])
 
 
-def gram_answers(x: Grams, answers: list[dict], shards: int, limit: float, hot: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of the n-grams, and kinds (a column a context) and low of the contexts of a batch."""
-    counts, kinds, low, at = np.zeros(len(x.word), np.uint32), np.zeros((LARGE, len(x.u)), np.uint32), np.zeros(len(x.u)), x.dealt(shards, limit)
-    for a in answers:
+def gram_answers(x: Grams, answers: list[dict] | None, shards: int, limit: float, hot: dict, weigh) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of the n-grams, and kinds (a column a context) and low of the contexts of a batch: its own where it has a
+    context's every occurrence, else those that it has been told."""
+    whole, at = x.complete(limit), x.dealt(shards, limit)
+    counts, seen = np.where(whole[x.context], x.trained, 0).astype(np.uint32), x.trained > 0
+    kinds = np.stack([np.bincount(x.context[x.trained == r], minlength=len(x.u)) for r in range(1, LARGE + 1)]).astype(np.uint32)
+    low = np.bincount(x.context[seen], weigh(x.lower[seen]), len(x.u))
+    kinds[:, ~whole], low[~whole] = 0, 0
+    for a in answers or ():  # none where no context is in a training text
         p = at[a["shard"]]
+        p = p[~whole[x.context[p]]]
         counts[p] = _unpack(a["counts"], np.uint32)
         own = x.context[p]
-        own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+        own = own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
         kinds[:, own], low[own] = _unpack(a["kinds"], np.uint32).reshape(LARGE, -1), _unpack(a["low"], np.float64)
     for i in np.flatnonzero(x.of > limit):
         if (told := hot.get((int(x.u[i]), int(x.v[i])))) is not None:
@@ -330,6 +346,11 @@ def discounts(times: list[float]) -> np.ndarray:
     return (r - min(0.9, max(0.1, less))) / r
 
 
+def twice(c: np.ndarray) -> np.ndarray:
+    """Twice (c + 1/2), as a whole number."""
+    return 2.0 * c + 1
+
+
 def context_weights(of: np.ndarray, kinds: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What counts are divided by after each context, and what the context saves. One without discounted words gives half a count away."""
     saved = (1 - d) * np.arange(1, LARGE + 1) @ kinds
@@ -374,17 +395,17 @@ def katz_scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
 
     known = written(made.drop("counts", "words").join(told, "batch").mapInArrow(with_words, plain), "lm-tokens")
     dropped(made, words)
-    two = gram_shards(known.drop("keys"), shards, limit, "lm-pairs", lambda row: Batch(row).pairs(), lambda c: 2.0 * c + 1)
+    two = gram_shards(known.drop("keys"), shards, limit, "lm-pairs", lambda row: Batch(row).pairs(), twice)
     hot2, d2 = hot_sums(two)
 
     def with_pairs(batches):
         for b in batches:
             for i, row in enumerate(b.drop_columns(["keys"]).to_pylist()):
-                packed = [pa.array([_pack(x)], pa.binary()) for x in gram_answers(Batch(row).pairs(), row["two"], shards, limit, hot2)]
+                packed = [pa.array([_pack(x)], pa.binary()) for x in gram_answers(Batch(row).pairs(), row["two"], shards, limit, hot2, twice)]
                 yield pa.RecordBatch.from_arrays([*[b[c].slice(i, 1) for c in names], *packed], names=[*names, "pairs", "kinds", "low"])
 
     names = known.columns
-    paired = written(known.join(of_batches(two, "two"), "batch").select(*names, "two").mapInArrow(with_pairs, f"{plain}, pairs binary, kinds binary, low binary"), "lm-paired")
+    paired = written(known.join(of_batches(two, "two"), "batch", "left").select(*names, "two").mapInArrow(with_pairs, f"{plain}, pairs binary, kinds binary, low binary"), "lm-paired")
     dropped(known, two)
     three = gram_shards(paired.drop("keys", "kinds", "low"), shards, limit, "lm-triples", lambda row: Batch(row).triples(_unpack(row["pairs"], np.uint32).astype(np.int64)), lambda c: discounted(c, d2))
     hot3, d3 = hot_sums(three)
@@ -400,7 +421,7 @@ def katz_scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
                 whole2, saved2 = context_weights(x.counts, kinds2, d2)
                 p2 = back_off(pairs, c2, whole2, saved2, share, base[x.word], d2)
                 triples = x.triples(c2)
-                c3, kinds3, low3 = gram_answers(triples, row["three"], shards, limit, hot3)
+                c3, kinds3, low3 = gram_answers(triples, row["three"], shards, limit, hot3, lambda c: discounted(c, d2))
                 # every word seen after two has been seen after one, so its probability there is a discounted count
                 last = np.append(x.word, 1)
                 share = low3 / whole2[last]
@@ -413,7 +434,7 @@ def katz_scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
                 seen = np.add.reduceat((x.counts[x.tokens] > 0).astype(np.int64), x.firsts)
                 yield pa.RecordBatch.from_arrays([b["keys"].slice(i, 1).flatten(), pa.array(x.held), pa.array(x.lengths), pa.array(seen), pa.array(np.full(len(seen), total)), pa.array(bases), pa.array(scores)], names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return paired.join(of_batches(three, "three"), "batch").mapInArrow(evaluate, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("key", key)
+    return paired.join(of_batches(three, "three"), "batch", "left").mapInArrow(evaluate, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("key", key)
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
