@@ -5,6 +5,7 @@ and it scores whole texts in Arrow batches against a fixed threshold."""
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionloom.llm.common import Vocabulary, small_batches
+from mentionloom.llm.common import Vocabulary, freed, small_batches
 
 #: Features are hashed into so many weights.
 DIMENSIONS = 1 << 18
@@ -135,14 +136,18 @@ def _platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
 def train(rows: list[tuple[str, int, float]], epochs: int = 6, rate: float = 0.3) -> QualityModel | None:
     """A model from (text, quality, weight) rows; None unless both classes are there. One row in five calibrates, by weight."""
     words = Vocabulary()
-    parts = []
+    # two long arrays, whose memory goes back when they do; that of many short ones would stay with the process
+    every, shares, ends, known = array("i"), array("f"), [0], []
     for text, quality, weight in rows:
         raw = (text or "").encode("utf-8", "surrogatepass")
         w = raw.split()
         index, value = features(raw, words.hashed(w))
         words.trim()
         if len(index):
-            parts.append((index, value, int(quality), weight))
+            every.frombytes(index.tobytes()), shares.frombytes(value.tobytes())
+            ends.append(len(every)), known.append((int(quality), weight))
+    every, shares = np.frombuffer(every, np.int32), np.frombuffer(shares, np.float32)
+    parts = [(every[s:e], shares[s:e], *k) for s, e, k in zip(ends, ends[1:], known, strict=False)]
     fit, held = [p for i, p in enumerate(parts) if i % 5], parts[::5]
     if len({p[2] for p in fit}) < 2:
         return None
@@ -178,6 +183,13 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS,
     return [(r["_text"], r["_y"], stands[r["_y"]]) for r in rows]
 
 
+def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> QualityModel | None:
+    """The model of the labelled rows. Nothing but it stays in the driver's memory, which all later stages need."""
+    model = train(labelled_rows(docs, labels, key=key, text=text))
+    freed()
+    return model
+
+
 def score_quality(docs: DataFrame, model: QualityModel | None, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """key, the statistics, base_failed, probability and kept of every row.
 
@@ -212,7 +224,7 @@ def score_quality(docs: DataFrame, model: QualityModel | None, key: str = "doc_i
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their own columns. The verdict is made beside the row."""
-    model = train(labelled_rows(docs, labels, key=key, text=text))
+    model = trained(docs, labels, key=key, text=text)
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     packed = docs.select(F.struct(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).alias("key"), F.col(text).alias("text"))
     return score_quality(packed, model, key="key", text="text").filter("kept").select(*[F.col(f"key.{n}").alias(c) for c, n in names.items()])
@@ -221,4 +233,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document, with the model trained on the labels."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return score_quality(docs, train(labelled_rows(docs, labels)))
+    return score_quality(docs, trained(docs, labels))

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mentionloom.llm.common import Vocabulary, buckets_for, dropped, lower_ascii, mix64, small_batches, written
+from mentionloom.llm.common import Vocabulary, buckets_for, dropped, freed, lower_ascii, mix64, small_batches, written
 from mentionloom.llm.components import components
 
 WORDS = 5
@@ -116,6 +116,8 @@ def summaries(rows: DataFrame) -> DataFrame:
                 yield from flush()
                 held, seen, size = [], set(), 0
         yield from flush()
+        words, held, seen = None, [], set()
+        freed()
 
     key = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(work, f"key {key}, n long, fp long, hash long, count long, sketch binary, mark long")
@@ -169,6 +171,8 @@ def regions(rows: DataFrame, order, buckets: int) -> DataFrame:
                 if len(seen) > 200_000:
                     seen = set()
         yield from flush()
+        words, parts, seen = None, [], set()
+        freed()
 
     def join(s, fp, n, place):
         """Pairs of whole regions that are small, and members of those that aren't."""

@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -147,6 +148,23 @@ def test_calibration_keeps_the_shares_of_the_classes(spark):
         assert 0.75 < np.mean(told) < 0.9
 
 
+def test_training_leaves_no_memory_behind():
+    """What training holds stays with the driver for all stages that follow, unless it goes back to the system."""
+
+    def held():
+        return sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())))
+
+    random.seed(3)
+    words = [f"w{random.getrandbits(40):x}" for _ in range(20_000)]
+    rows = [(" ".join(random.choices(words, k=400)), i % 2, 1.0) for i in range(1500)]
+    quality.train(rows[:50])
+    before, tokens = held(), [len(quality.features(t.encode(), np.zeros(400, np.uint64))[0]) for t, _, _ in rows[:20]]
+    features = sum(tokens) / 20 * 8 * len(rows) / 1024
+    keep = quality.train(rows, epochs=1)
+    assert held() - before < 0.5 * features
+    assert keep is not None
+
+
 def test_quality_edges(spark, odd, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     model = quality.train(quality.labelled_rows(odd, labels))
