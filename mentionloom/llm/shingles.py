@@ -324,10 +324,15 @@ def pivots_of(members: DataFrame, most: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= most).select("s", F.col("low.fp").alias("p"))
 
 
-def star_pairs(members: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Every pivot with the members of its region that it may link with."""
+def stars(members: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(s, fp, p): every pivot with the members of its region that it may link with, but for those measured from it there."""
     centre = _side(members.join(pivots, (members.s == pivots.s) & (members.fp == pivots.p), "left_semi"), "y")
-    return _ordered(_side(members, "x").join(centre, "s").filter(_fits("x", "y")))
+    new = ~F.coalesce(F.map_contains_key("d_x", F.col("fp_y")), F.lit(False))
+    return _side(members, "x").join(centre, "s").filter(_fits("x", "y") & new).select("s", F.col("fp_x").alias("fp"), F.col("fp_y").alias("p"))
+
+
+def star_pairs(star: DataFrame) -> DataFrame:
+    return star.select(F.least("fp", "p").alias("a"), F.greatest("fp", "p").alias("b"))
 
 
 def banded(members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -374,24 +379,23 @@ def _components(docs: DataFrame, key: str, text: str) -> DataFrame:
     met = written(regions(rows, order, buckets_for(docs)), "regions")
     # no two members are in one cell as yet, and none is measured
     members = met.filter("s is not null").select("s", F.col("a").alias("fp"), "n", "place", F.col("a").alias("cell"), F.lit(None).cast("map<long,double>").alias("d"), F.lit(False).alias("main"))
-    pivots = written(pivots_of(members, 1), "pivots")
-    known = [measured(met.filter("s is null").select("a", "b").unionByName(star_pairs(members, pivots)), rows, classes)]
-    members, last = members.select("s", "fp", "n", "place"), False
+    star, last = stars(members, written(pivots_of(members, 1), "pivots")), False
+    known = [measured(met.filter("s is null").select("a", "b").unionByName(star_pairs(star)), rows, classes)]
     for depth in range(1, ROUNDS + 1):
         # where more pivots have found nothing to measure, the windows alone leave few pairs
         last = last or depth == ROUNDS
         distances = reduce(DataFrame.unionByName, known)
         cells = written(components(distances.filter(LINKED).select("a", "b")), "cells")
-        members = open_members(members, pivots, distances, cells)
+        members = open_members(members, star, distances, cells)
         if members.isEmpty():
             break
         large, small = banded(members)
         if not last:
             few = _few(members, large, small)
             more = written(pivots_of(members.join(few, "s", "left_anti"), 4**depth), "pivots")
-            pivots = pivots.unionByName(more)
+            star = stars(members, more)
             large, small = (t.join(few, "s", "left_semi") for t in (large, small))
-            pairs = cell_pairs(large, small).unionByName(star_pairs(members, more))
+            pairs = cell_pairs(large, small).unionByName(star_pairs(star))
         else:
             pairs = cell_pairs(large, small)
         new = pairs.distinct().join(distances.select("a", "b"), ["a", "b"], "left_anti")
@@ -399,7 +403,7 @@ def _components(docs: DataFrame, key: str, text: str) -> DataFrame:
         if last:
             break
         # those whose pairs have all been measured are done
-        members = written(members.join(few, "s", "left_anti").select("s", "fp", "n", "place"), "members")
+        members = members.join(few, "s", "left_anti")
         if members.isEmpty():
             break
         last = known[-1].isEmpty()
@@ -412,16 +416,18 @@ def _components(docs: DataFrame, key: str, text: str) -> DataFrame:
     return out.select("key", "mark", "n", "component", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
 
 
-def open_members(members: DataFrame, pivots: DataFrame, distances: DataFrame, cells: DataFrame) -> DataFrame:
+def open_members(members: DataFrame, star: DataFrame, distances: DataFrame, cells: DataFrame) -> DataFrame:
     """The members of regions that are more than one cell, with their cell, whether it is the region's largest, and their
-    distances d from its pivots."""
-    at = members.join(cells.select(F.col("node").alias("fp"), F.col("component").alias("cell")), "fp", "left").withColumn("cell", F.coalesce("cell", "fp"))
+    distances d from its pivots: those they had, and those that their ``star`` has found."""
+    at = members.select("s", "fp", "n", "place", "d").join(cells.select(F.col("node").alias("fp"), F.col("component").alias("cell")), "fp", "left").withColumn("cell", F.coalesce("cell", "fp"))
     main = at.groupBy("s", "cell").count().groupBy("s").agg(F.max(F.struct("count", "cell"))["cell"].alias("main"), F.count("*").alias("cells")).filter("cells > 1").select("s", "main")
     at = at.join(main, "s").withColumn("main", F.col("main") == F.col("cell"))
     far = distances.select(F.col("a").alias("fp"), F.col("b").alias("p"), "na", "nb", "both").unionByName(distances.select(F.col("b").alias("fp"), F.col("a").alias("p"), "na", "nb", "both"))
     far = far.select("fp", "p", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("distance"))
-    told = at.join(pivots, "s").join(far, ["fp", "p"]).groupBy("s", "fp").agg(F.map_from_entries(F.collect_set(F.struct("p", "distance"))).alias("d"))
-    return written(at.join(told, ["s", "fp"], "left"), "members")
+    # pairs that may link, so far fewer than members times pivots
+    told = star.join(far, ["fp", "p"]).groupBy("s", "fp").agg(F.map_from_entries(F.collect_set(F.struct("p", "distance"))).alias("told"))
+    d = F.when(F.col("told").isNull(), F.col("d")).when(F.col("d").isNull(), F.col("told")).otherwise(F.map_concat("d", "told"))
+    return written(at.join(told, ["s", "fp"], "left").withColumn("d", d).drop("told"), "members")
 
 
 def _few(members: DataFrame, large: DataFrame, small: DataFrame) -> DataFrame:

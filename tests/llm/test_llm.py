@@ -989,6 +989,24 @@ def test_join_bridges_large_groups(spark):
         assert {k: got[k] for k in c} == want
 
 
+def test_distances_come_from_pairs_that_may_link(spark, monkeypatch):
+    """Members of a region that no pivot may link with are in no join of all members with all pivots."""
+    seen = []
+    made = shingles.open_members
+    monkeypatch.setattr(shingles, "open_members", lambda members, star, *rest: seen.append((members, star)) or made(members, star, *rest))
+    random.seed(5)
+    passage = " ".join(f"p{i}" for i in range(9))
+    texts = {i: passage + " " + " ".join(f"x{i}y{j}" for j in range(20 + 4 * (i % 40))) for i in range(120)}
+    texts |= {1000 + i: texts[i] + f" end{i}" for i in range(0, 120, 2)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(shingles, "SEEN", 10**6)  # no shingle counts as frequent, so those of the passage are pivots as well
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingles.jaccard_components(df).collect()}
+    assert got == brute_join(texts)
+    members, star = seen[0]
+    assert star.columns == ["s", "fp", "p"]
+    assert 0 < star.count() < members.count() // 2
+
+
 def test_join_edges(odd, empty):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in shingles.jaccard_components(odd).collect()]
     assert sorted(got, key=str) == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4), (5, 1, 4), (None, 1, None), (6, 2, 6)], key=str)
