@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionloom.llm.common import buckets_for, dropped, lower_ascii, mix64, small_batches, written
+from mentionloom.llm.common import bucketed, buckets_for, dropped, lower_ascii, mix64, small_batches, written
 
 #: Tokens of a batch, about; a text is never cut.
 BATCH = 600_000
@@ -218,11 +218,33 @@ class Batch:
         return Grams(u, v, of, triples // self.size, self.ids[self.order[triples % self.size]], counts[pair], trained)
 
 
+def lows(context: np.ndarray, lower: np.ndarray, contexts: int, weigh) -> np.ndarray:
+    """A column a context: the numbers of its words whose shorter n-grams have counts of 1 to LARGE, and the sum of what
+    ``weigh`` makes of larger counts, which is whole. These are small numbers, and pack well; their sum is a fraction.
+    Where it makes whole numbers of all counts, there is their sum alone."""
+    alone = 0 if (weigh(np.arange(1, LARGE + 1)) % 1 == 0).all() else LARGE
+    numbers = [np.bincount(context[lower == r], minlength=contexts) for r in range(1, alone + 1)]
+    more = lower > alone
+    return np.stack([*numbers, np.bincount(context[more], weigh(lower[more]), contexts)]).astype(np.uint64)
+
+
+def low_sums(low: np.ndarray, weigh) -> np.ndarray:
+    """By context, the sum of what ``weigh`` makes of the counts of all shorter n-grams, added up in one order everywhere."""
+    out = low[-1].astype(np.float64)
+    for n, w in zip(low[:-1], weigh(np.arange(1, LARGE + 1)), strict=False):
+        out += n * w
+    return out
+
+
+def told_lows(packed: bytes, contexts: int, weigh) -> np.ndarray:
+    low = _unpack(packed, np.uint64)
+    return low_sums(low.reshape(-1, contexts), weigh) if contexts else np.zeros(0)
+
+
 def gram_shards(asked: DataFrame, shards: int, limit: float, name: str, grams, weigh) -> DataFrame:
     """Answers (batch, shard, counts of n-grams, kinds and low of contexts) to ``grams`` of every batch, and the same by hot
     context (u, v); context (-1, -1) has the numbers of n-grams seen 1, 2, ... LARGE + 1 times. A context's kinds are the
-    numbers of words seen after it, by count up to LARGE; its low is the sum over them of what ``weigh`` makes of the counts
-    of their shorter n-grams."""
+    numbers of words seen after it, by count up to LARGE; its low is what ``lows`` has of them."""
     fields = [f"n{r}" for r in range(1, LARGE + 1)]
 
     def ask(batches):
@@ -261,30 +283,29 @@ def gram_shards(asked: DataFrame, shards: int, limit: float, name: str, grams, w
         counts = np.bincount(gram, np.concatenate(trained)).astype(np.int64)
         which, lowers = of[order][new], np.concatenate(lower)[order][new]
         kinds = np.stack([np.bincount(which[counts == r], minlength=contexts) for r in range(1, LARGE + 1)])
-        seen = counts > 0
-        low = np.bincount(which[seen], weigh(lowers[seen]), contexts)
+        low = lows(which, np.where(counts > 0, lowers, 0), contexts, weigh)
         edges, packed, hot = np.cumsum([0, *sizes]), [], []
         for i, (s, e) in enumerate(zip(edges, edges[1:], strict=False)):
             first = s + np.cumsum(runs[i]) - runs[i]
             # a batch that has a whole context knows as much
             asks = (np.add.reduceat(trained[i], first - s) != ofs[i]) | (ofs[i] > limit)
             known = of[first[asks]]
-            packed.append((_pack(counts[gram[s:e][np.repeat(asks, runs[i])]].astype(np.uint32)), _pack(kinds[:, known].astype(np.uint32)), _pack(low[known])))
+            packed.append((_pack(counts[gram[s:e][np.repeat(asks, runs[i])]].astype(np.uint32)), _pack(kinds[:, known].astype(np.uint32)), _pack(low[:, known])))
             hot.append(of[first[ofs[i] > limit]])
         hot = np.unique(np.concatenate(hot))
         n, m = table.num_rows, len(hot) + 1
         none = pa.nulls(n, pa.int64())
         times = [int((counts == r).sum()) for r in range(1, LARGE + 2)]
         told = np.concatenate([np.concatenate([np.stack([cu[hot], cv[hot]]), kinds[:, hot]]), np.array([-1, -1, *times[:LARGE]])[:, None]], axis=1)
-        columns = [pa.concat_arrays([none, pa.array(x)]) for x in told] + [pa.concat_arrays([pa.nulls(n, pa.float64()), pa.array(np.append(low[hot], float(times[LARGE])))])]
+        columns = [pa.concat_arrays([none, pa.array(x)]) for x in told] + [pa.concat_arrays([pa.nulls(n, pa.float64()), pa.array(np.append(low_sums(low[:, hot], weigh), float(times[LARGE])))])]
         return pa.table([pa.concat_arrays([table["batch"].combine_chunks(), pa.nulls(m, pa.int64())]), pa.array([shard] * (n + m), pa.int32()), *[pa.array([x[i] for x in packed] + [None] * m, pa.binary()) for i in range(3)], *columns], names=["batch", "shard", *ANSWER, "u", "v", *fields, "sum"])
 
     sent = asked.mapInArrow(ask, "shard int, batch long, " + ", ".join(f"{c} binary" for c in MESSAGE))
     return written(sent.groupBy("shard").applyInArrow(answer, "batch long, shard int, counts binary, kinds binary, low binary, u long, v long, " + ", ".join(f"{f} long" for f in fields) + ", sum double"), name)
 
 
-def of_batches(answers: DataFrame, name: str) -> DataFrame:
-    return answers.filter("batch is not null").groupBy("batch").agg(F.collect_list(F.struct("shard", *ANSWER)).alias(name))
+def of_batches(answers: DataFrame, name: str, buckets: int) -> DataFrame:
+    return answers.filter("batch is not null").repartition(buckets, "batch").groupBy("batch").agg(F.collect_list(F.struct("shard", *ANSWER)).alias(name))
 
 
 def hot_sums(answers: DataFrame) -> tuple[dict[tuple[int, int], tuple[list[int], float]], np.ndarray]:
@@ -300,9 +321,9 @@ def gram_answers(x: Grams, answers: list[dict] | None, shards: int, limit: float
     """Counts of the n-grams, and kinds (a column a context) and low of the contexts of a batch: its own where it has a
     context's every occurrence, else those that it has been told."""
     whole, at = x.complete(limit), x.dealt(shards, limit)
-    counts, seen = np.where(whole[x.context], x.trained, 0).astype(np.uint32), x.trained > 0
+    counts = np.where(whole[x.context], x.trained, 0).astype(np.uint32)
     kinds = np.stack([np.bincount(x.context[x.trained == r], minlength=len(x.u)) for r in range(1, LARGE + 1)]).astype(np.uint32)
-    low = np.bincount(x.context[seen], weigh(x.lower[seen]), len(x.u))
+    low = low_sums(lows(x.context, np.where(x.trained > 0, x.lower, 0), len(x.u), weigh), weigh)
     kinds[:, ~whole], low[~whole] = 0, 0
     for a in answers or ():  # none where no context is in a training text
         p = at[a["shard"]]
@@ -310,7 +331,7 @@ def gram_answers(x: Grams, answers: list[dict] | None, shards: int, limit: float
         counts[p] = _unpack(a["counts"], np.uint32)
         own = x.context[p]
         own = own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
-        kinds[:, own], low[own] = _unpack(a["kinds"], np.uint32).reshape(LARGE, -1), _unpack(a["low"], np.float64)
+        kinds[:, own], low[own] = _unpack(a["kinds"], np.uint32).reshape(LARGE, -1), told_lows(a["low"], len(own), weigh)
     for i in np.flatnonzero(x.of > limit):
         if (told := hot.get((int(x.u[i]), int(x.v[i])))) is not None:
             kinds[:, i], low[i] = told
@@ -393,7 +414,7 @@ def katz_scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
                 packed = [pa.array([_pack(x)], pa.binary()) for x in word_answers(row)]
                 yield pa.RecordBatch.from_arrays([*[b[c].slice(i, 1) for c in ("batch", "tokens", "lengths", "keys", "held_out")], *packed], names=["batch", "tokens", "lengths", "keys", "held_out", "counts", "ids"])
 
-    known = written(made.drop("counts", "words").join(told, "batch").mapInArrow(with_words, plain), "lm-tokens")
+    known = bucketed(made.drop("counts", "words").join(told, "batch").mapInArrow(with_words, plain), "lm-tokens", "batch", shards)
     dropped(made, words)
     two = gram_shards(known.drop("keys"), shards, limit, "lm-pairs", lambda row: Batch(row).pairs(), twice)
     hot2, d2 = hot_sums(two)
@@ -405,7 +426,7 @@ def katz_scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
                 yield pa.RecordBatch.from_arrays([*[b[c].slice(i, 1) for c in names], *packed], names=[*names, "pairs", "kinds", "low"])
 
     names = known.columns
-    paired = written(known.join(of_batches(two, "two"), "batch", "left").select(*names, "two").mapInArrow(with_pairs, f"{plain}, pairs binary, kinds binary, low binary"), "lm-paired")
+    paired = bucketed(known.join(of_batches(two, "two", shards), "batch", "left").select(*names, "two").mapInArrow(with_pairs, f"{plain}, pairs binary, kinds binary, low binary"), "lm-paired", "batch", shards)
     dropped(known, two)
     three = gram_shards(paired.drop("keys", "kinds", "low"), shards, limit, "lm-triples", lambda row: Batch(row).triples(_unpack(row["pairs"], np.uint32).astype(np.int64)), lambda c: discounted(c, d2))
     hot3, d3 = hot_sums(three)
@@ -434,7 +455,7 @@ def katz_scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
                 seen = np.add.reduceat((x.counts[x.tokens] > 0).astype(np.int64), x.firsts)
                 yield pa.RecordBatch.from_arrays([b["keys"].slice(i, 1).flatten(), pa.array(x.held), pa.array(x.lengths), pa.array(seen), pa.array(np.full(len(seen), total)), pa.array(bases), pa.array(scores)], names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return paired.join(of_batches(three, "three"), "batch", "left").mapInArrow(evaluate, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("key", key)
+    return paired.join(of_batches(three, "three", shards), "batch", "left").mapInArrow(evaluate, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("key", key)
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

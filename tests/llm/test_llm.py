@@ -735,6 +735,23 @@ def test_katz_of_small_batches_and_hot_contexts(spark, monkeypatch):
     check_katz({r.doc_id: r for r in lm.katz_scores(df, F.col("doc_id") % 5 == 1).collect()}, texts, held)
 
 
+def test_answers_about_triples_are_short(spark, monkeypatch):
+    """A context's sum of discounted counts is a fraction, which takes eight bytes; what it is made of takes few."""
+    tables = {}
+    made = lm.written
+    monkeypatch.setattr(lm, "written", lambda df, name: tables.setdefault(name, made(df, name)))
+    monkeypatch.setattr(lm, "dropped", lambda *tables: None)
+    random.seed(17)
+    words, weights = [f"w{i}" for i in range(3000)], [1 / (i + 3) for i in range(3000)]
+    rows = [(i, " ".join(random.choices(words, weights, k=300))) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lm.katz_scores(df, lm.F.col("doc_id") % 5 == 1).count()
+    answers = tables["lm-triples"].filter("batch is not null").select("kinds", "low").collect()
+    contexts = sum(len(lm._unpack(r.kinds, np.uint32)) // lm.LARGE for r in answers)
+    assert contexts > 50_000
+    assert sum(len(r.low) for r in answers) < 2.5 * contexts
+
+
 def test_copies_of_training_texts_stand_out(spark):
     """Of prose whose words are drawn at random, and of which some comes twice, held-out copies of training texts score far above
     all other held-out texts."""
