@@ -23,13 +23,13 @@ SOURCE_PLACES = 4
 GROUP_ROWS = 2048
 
 
-def pack(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity: int = CAPACITY, places: int = SOURCE_PLACES) -> np.ndarray:
-    """Bins of the pieces, largest pieces first, ties in the order given. Sources and clusters are numbers from 0;
+def pack(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity: int = CAPACITY, places: int = SOURCE_PLACES, order_in: np.ndarray | None = None) -> np.ndarray:
+    """Bins of the pieces, which go in as ``order_in`` says, else largest pieces first, ties in the order given. Sources and clusters are numbers from 0;
     a cluster below 0 conflicts with nothing. Pieces of 0 words go to bin -1."""
     bins = np.full(len(sizes), -1, np.int64)
     order: list[tuple[int, int]] = []  # (residual, bin)
     in_bin: list[list[int]] = []  # cluster bitmap, then a source bitmap for each place taken
-    for i in np.argsort(-sizes, kind="stable"):
+    for i in np.argsort(-sizes, kind="stable") if order_in is None else order_in:
         size = int(sizes[i])
         if size == 0:
             continue
@@ -56,6 +56,17 @@ def pack(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity:
     return bins
 
 
+def pressed_first(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity: int = CAPACITY, places: int = SOURCE_PLACES) -> np.ndarray:
+    """The order in which pieces go in: largest first, but before all others those of sources and clusters that need over
+    half of their places in as many bins as the words fill. Left to the end, their small pieces would open bins of their own."""
+    some = sizes > 0
+    bins = max(1, -(-int(sizes.sum()) // capacity))
+    pressed = 2 * np.bincount(sources[some], minlength=sources.max(initial=0) + 1)[sources] > places * bins
+    copied = some & (clusters >= 0)
+    pressed |= (clusters >= 0) & (2 * np.bincount(clusters[copied], minlength=max(0, clusters.max(initial=0)) + 1)[np.maximum(clusters, 0)] > bins)
+    return np.lexsort((-sizes, ~pressed))
+
+
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, places: int = SOURCE_PLACES, group_rows: int = GROUP_ROWS, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row a piece: key, piece, first_word, n_words, bin (long, its group in the high bits), position, used.
 
@@ -63,7 +74,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, places: int = SOUR
     words in bin -1, as has a null text. Duplicate clusters are equal texts. Rows are dealt out by a hash of id,
     text and their number to groups of bounded size that are packed each on its own, so a hot source or a huge
     cluster is spread over all groups; a cluster's copies take as many bins. Null sources count as one source.
-    Pieces of one size go in by the hash that dealt them out, bins of one residual fill up in the order they were opened.
+    Pieces go in as ``pressed_first`` says, those of one size by the hash that dealt them out; bins of one residual fill up in the order they were opened.
     Texts are read whole, however long. Equal rows are pieces of their own; an empty table gives an empty one; other columns
     don't matter, but the key can't have the name of one of the results."""
     if key in ("piece", "first_word", "n_words", "bin", "position", "used"):
@@ -86,11 +97,11 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, places: int = SOUR
         shared = np.cumsum(copies > 1) - 1  # only clusters with several pieces can conflict
         shared[copies == 1] = -1
         group = table["pack"][0].as_py()
-        bins = pack(sizes, sources, shared[clusters], capacity, places)
+        came = pressed_first(sizes, sources, shared[clusters], capacity, places)
+        bins = pack(sizes, sources, shared[clusters], capacity, places, came)
         count = max(0, bins.max() + 1)
         used = np.bincount(bins[bins >= 0], sizes[bins >= 0], count).astype(np.int64)
         # pieces of a bin in the order they went in
-        came = np.argsort(-sizes, kind="stable")
         by_bin = came[np.argsort(bins[came], kind="stable")]
         starts = np.searchsorted(bins[by_bin], bins[by_bin])
         position = np.empty(len(bins), np.int64)

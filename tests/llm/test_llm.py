@@ -377,6 +377,20 @@ def test_pack_takes_the_tightest_compatible_bin():
         assert packing.pack(sizes, sources, clusters, 50, 2).tolist() == brute_pack(sizes.tolist(), sources.tolist(), clusters.tolist(), 50, 2)
 
 
+def test_small_pieces_of_a_hot_source_share_bins_with_others():
+    """A source with a third of all pieces: its small pieces must not be left over, four to a bin of their own."""
+    random = np.random.default_rng(6)
+    sizes = np.minimum(random.lognormal(5, 1, 1200), packing.CAPACITY).astype(np.int64)
+    sources, clusters = np.maximum(0, random.integers(-10, 21, 1200)), np.full(1200, -1, np.int64)
+    order = packing.pressed_first(sizes, sources, clusters)
+    assert sorted(order) == list(range(1200))
+    bins = packing.pack(sizes, sources, clusters, order_in=order)
+    assert np.bincount(bins[sizes > 0], sizes[sizes > 0]).max() <= packing.CAPACITY
+    assert max(Counter(zip(bins.tolist(), sources.tolist(), strict=True)).values()) <= packing.SOURCE_PLACES
+    assert sizes.sum() >= 0.9 * packing.CAPACITY * (bins.max() + 1)
+    assert sizes.sum() < 0.9 * packing.CAPACITY * (packing.pack(sizes, sources, clusters).max() + 1)
+
+
 def test_bins_are_full(spark):
     """Sizes as of prose, one source with a third of all rows, copies in clusters: nine tenths of all places are taken."""
     random.seed(21)
