@@ -13,6 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -927,6 +928,44 @@ def test_words_give_the_ids_of_the_text():
             assert ids.tolist() == [i for x in expected for i in x]
 
 
+def test_words_are_told_apart():
+    """By all their bytes: zeros at the end, long words that start alike, words that were forgotten in between."""
+    random.seed(9)
+    some = list({"".join(random.choices("ab\0é", k=random.choice((0, 1, 2, 3, 7, 8, 9, 15, 16, 17, 18, 40)))) for _ in range(20_000)})
+    words, known = tokenfiles.Words(), {}
+    for i in range(0, len(some), 3000):
+        seen = some[: i + 3000]
+        found = words.find(pa.array(seen))
+        assert found.tolist() == [known.get(w, -1) for w in seen]
+        new = [w for w in seen if w not in known]
+        words.add(pa.array(new))
+        known |= {w: len(known) + k for k, w in enumerate(new)}
+        assert words.find(pa.array(new)).tolist() == [known[w] for w in new]
+        if i == 6000:
+            keep = np.array([k % 3 == 0 for k in range(len(known))])
+            words.keep(keep)
+            known = {w: k for k, w in enumerate(w for w, j in known.items() if keep[j])}
+    assert len(words) == len(known)
+
+
+def test_texts_come_as_arrow_arrays():
+    some = ["One, two.  THREE", None, "", " \t", "x<|endoftext|>Y z\x1c", "naïve, ciónes. a1b2-c3"]
+    t, e = Tokenizer.from_file(TOKENIZER), tokenfiles.Encoder(TOKENIZER)
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in some]
+    for array in (pa.array(some), pa.array(["left out", *some])[1:], pa.array(some, pa.large_string())):
+        ids, counts = e.encode(array)
+        assert counts.tolist() == list(map(len, want))
+        assert ids.tolist() == [i for x in want for i in x]
+
+
+def test_codes_carry():
+    """Intervals that run over into words given off before, in as many blocks as it takes to meet some."""
+    ids = (np.random.default_rng(7).geometric(0.02, 300_000) * 37 % 65536).astype(np.uint16)
+    words, sizes = tokenfiles.encode_blocks(ids, 1000)
+    assert words.max() <= 0xFFFF and words.itemsize == 2 and (sizes % 2 == 0).all()
+    assert (tokenfiles.decode_blocks(words, sizes, len(ids), 1000) == ids).all()
+
+
 def test_op9(spark, texts):
     rows = {r.doc_id: r for r in queries()["op9_token_files"](spark, SF).collect()}
     t, start = Tokenizer.from_file(TOKENIZER), 0
