@@ -14,18 +14,16 @@ then evaluated from the longest n-gram down: what has been seen, else the contex
 
 from __future__ import annotations
 
-from collections import defaultdict
-from itertools import count
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionloom.llm.common import bucketed, buckets_for, dropped, lower_ascii, mix64, small_batches, written
+from mentionloom.llm.common import bucketed, buckets_for, dropped, mix64, small_batches, trimmed, written
 
 #: Tokens of a batch, about; a text is never cut.
 BATCH = 600_000
@@ -46,14 +44,30 @@ _WRITE, _READ = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Compressed, first bytes of all numbers first: high bytes are mostly zero, and cost next to nothing together."""
+    """How many bytes the numbers need, then these compressed, first bytes of all numbers first: high bytes are mostly zero,
+    and cost next to nothing together; those that are zero in all numbers are left out."""
     x = np.ascontiguousarray(x).ravel()
-    return _WRITE.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+    whole = x.view(f"u{x.itemsize}")
+    width = max(1, -(-int(whole.max()).bit_length() // 8)) if len(x) else 1
+    return bytes([width]) + _WRITE.compress(np.ascontiguousarray(whole.view(np.uint8).reshape(-1, x.itemsize)[:, :width].T))
 
 
 def _unpack(x: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(_READ.decompress(x), np.uint8).reshape(width, -1).T).view(kind).ravel()
+    """``kind`` may be narrower or wider than what was packed, as long as it holds the numbers."""
+    raw, width = np.frombuffer(_READ.decompress(memoryview(x)[1:]), np.uint8), x[0]
+    out = np.zeros((len(raw) // width, np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = raw.reshape(width, -1).T
+    return out.view(kind).ravel()
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words, A-Z lower-cased, and how many each text has. ASCII white space alone parts words, as in ``bytes.split``."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    found, edges = words.flatten(), np.asarray(words.offsets)
+    # space at the ends of a text makes empty words
+    some = pc.greater(pc.binary_length(found), 0)
+    upto = np.append(0, np.cumsum(some.to_numpy(zero_copy_only=False)))
+    return found.filter(some), np.diff(upto[edges])
 
 
 def batches_of(rows: DataFrame) -> DataFrame:
@@ -64,17 +78,23 @@ def batches_of(rows: DataFrame) -> DataFrame:
         kind = None
 
         def row():
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids))
-            tokens = np.concatenate(texts)
+            coded = pa.concat_arrays(words).dictionary_encode()
+            lengths = np.concatenate(sizes) + 1
+            # the end of a text is 0, what is before its first word 1
+            tokens = np.zeros(lengths.sum(), np.int64)
+            inner = np.ones(len(tokens), bool)
+            inner[np.cumsum(lengths) - 1] = False
+            tokens[inner] = np.asarray(coded.indices).astype(np.int64) + 2
+            distinct = [END, START, *coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)]
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
             # frequent words get small numbers; the two stand-ins keep theirs
-            often = np.bincount(tokens, minlength=len(ids))
+            often = np.bincount(tokens, minlength=len(hashes))
             by = np.concatenate([[0, 1], 2 + np.argsort(-often[2:], kind="stable")])
             place = np.empty(len(by), np.int64)
             place[by] = np.arange(len(by))
             tokens, hashes = place[tokens], hashes[by]
-            lengths = np.fromiter(map(len, texts), np.int64, len(texts))
             seen = np.repeat(~np.array(held, bool), lengths)
-            counts = np.bincount(tokens[seen], minlength=len(ids)).astype(np.uint32)
+            counts = np.bincount(tokens[seen], minlength=len(hashes)).astype(np.uint32)
             starts = int((~np.array(held, bool)).sum())
             counts[1] = starts  # as a context, what is before the first word occurs once a training text
             return pa.RecordBatch.from_arrays([
@@ -82,26 +102,26 @@ def batches_of(rows: DataFrame) -> DataFrame:
                 pa.array([_pack(lengths)], pa.binary()), pa.array([keys], pa.list_(kind)), pa.array([held], pa.list_(pa.bool_())),
             ], names=["batch", "words", "counts", "tokens", "lengths", "keys", "held_out"])
 
-        def clear():
-            ids = defaultdict(count().__next__)
-            ids[END], ids[START]
-            return ids, [], [], [], 0
-
-        ids, texts, keys, held, size = clear()
+        words, sizes, keys, held, size = [], [], [], [], 0
         for b in batches:
             kind = b.column(0).type
-            for k, h, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                w = lower_ascii(t).split()
-                w.append(END)
-                texts.append(np.fromiter(map(ids.__getitem__, w), np.int64, len(w)))
-                keys.append(k), held.append(h)
-                size += len(w)
+            found, n = words_of(b.column(2))
+            ends, first, k, h = np.cumsum(n + 1), 0, b.column(0).to_pylist(), b.column(1).to_pylist()
+            while first < len(n):
+                # the text that reaches BATCH tokens is the last one of a batch
+                done = int(ends[first - 1]) if first else 0
+                last = min(len(n), int(np.searchsorted(ends, done + BATCH - size)) + 1)
+                words.append(found.slice(done - first, int(ends[last - 1]) - last - (done - first)))
+                sizes.append(n[first:last]), keys.extend(k[first:last]), held.extend(h[first:last])
+                size, first = size + int(ends[last - 1]) - done, last
                 if size >= BATCH:
                     yield row()
                     number += 1
-                    ids, texts, keys, held, size = clear()
-        if texts:
+                    words, sizes, keys, held, size = [], [], [], [], 0
+        if keys:
             yield row()
+        words = found = b = None
+        trimmed()
 
     key = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(work, f"batch long, words binary, counts binary, tokens binary, lengths binary, keys array<{key}>, held_out array<boolean>")
@@ -223,9 +243,20 @@ def lows(context: np.ndarray, lower: np.ndarray, contexts: int, weigh) -> np.nda
     ``weigh`` makes of larger counts, which is whole. These are small numbers, and pack well; their sum is a fraction.
     Where it makes whole numbers of all counts, there is their sum alone."""
     alone = 0 if (weigh(np.arange(1, LARGE + 1)) % 1 == 0).all() else LARGE
-    numbers = [np.bincount(context[lower == r], minlength=contexts) for r in range(1, alone + 1)]
+    out = np.empty((alone + 1, contexts), np.uint64)
+    if alone:
+        out[:alone] = kinds_of(context, lower, contexts)
     more = lower > alone
-    return np.stack([*numbers, np.bincount(context[more], weigh(lower[more]), contexts)]).astype(np.uint64)
+    out[alone] = np.bincount(context[more], weigh(lower[more]), contexts)
+    return out
+
+
+def kinds_of(context: np.ndarray, counts: np.ndarray, contexts: int) -> np.ndarray:
+    """A column a context: the numbers of its n-grams whose counts are 1 to LARGE."""
+    out = np.empty((LARGE, contexts), np.uint32)
+    for r in range(1, LARGE + 1):
+        out[r - 1] = np.bincount(context[counts == r], minlength=contexts)
+    return out
 
 
 def low_sums(low: np.ndarray, weigh) -> np.ndarray:
@@ -241,6 +272,20 @@ def told_lows(packed: bytes, contexts: int, weigh) -> np.ndarray:
     return low_sums(low.reshape(-1, contexts), weigh) if contexts else np.zeros(0)
 
 
+def by_two(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Order by two whole numbers, of which NOWHERE is the largest: by one number where both fit into it, which is faster."""
+    bits = []
+    for x in (u, v):
+        top = int(x.max(initial=0, where=x != NOWHERE)) + 1
+        bits.append(top.bit_length())
+    if sum(bits) > 63:
+        return np.lexsort((v, u))
+    both = np.minimum(u, (1 << bits[0]) - 1)
+    both <<= bits[1]
+    both |= np.minimum(v, (1 << bits[1]) - 1)
+    return np.argsort(both)
+
+
 def gram_shards(asked: DataFrame, shards: int, limit: float, name: str, grams, weigh) -> DataFrame:
     """Answers (batch, shard, counts of n-grams, kinds and low of contexts) to ``grams`` of every batch, and the same by hot
     context (u, v); context (-1, -1) has the numbers of n-grams seen 1, 2, ... LARGE + 1 times. A context's kinds are the
@@ -248,6 +293,7 @@ def gram_shards(asked: DataFrame, shards: int, limit: float, name: str, grams, w
     fields = [f"n{r}" for r in range(1, LARGE + 1)]
 
     def ask(batches):
+        trimmed()
         for b in batches:
             for row in b.to_pylist():
                 x, rows = grams(row), []
@@ -263,35 +309,47 @@ def gram_shards(asked: DataFrame, shards: int, limit: float, name: str, grams, w
 
     def answer(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
-        us, vs, ofs, runs, words, lower, trained = ([_unpack(x, np.int64) for x in table[c].to_pylist()] for c in MESSAGE)
-        sizes = list(map(len, words))
-        # contexts come as runs, so they are told apart before their n-grams are
-        u, v, run = np.concatenate(us), np.concatenate(vs), np.concatenate(runs)
-        order = np.lexsort((v, u))
+        sent = {c: table[c].to_pylist() for c in MESSAGE}
+
+        def read(c: str, kind=np.int64) -> list[np.ndarray]:
+            return [_unpack(x, kind) for x in sent[c]]
+
+        # contexts come as runs, so they are told apart before their n-grams are; a column is unpacked when it is needed
+        runs = read("runs", np.int32)
+        sizes = [int(x.sum()) for x in runs]
+        u, v = np.concatenate(read("u")), np.concatenate(read("v"))
+        order = by_two(u, v)
         new = np.concatenate([[True], (u[order][1:] != u[order][:-1]) | (v[order][1:] != v[order][:-1])])
         of_run = np.empty(len(u), np.int64)
         of_run[order] = np.cumsum(new) - 1
         cu, cv, contexts = u[order][new], v[order][new], int(new.sum())
-        of, w = np.repeat(of_run, run), np.concatenate(words)
-        if contexts.bit_length() + int(w.max()).bit_length() < 63:
-            order = np.argsort((of << int(w.max()).bit_length()) | w)
-        else:
-            order = np.lexsort((w, of))
+        del u, v, order, new
+        of, w = np.repeat(of_run, np.concatenate(runs)), np.concatenate(read("words"))
+        del of_run
+        order = by_two(of, w)
         new = np.concatenate([[True], (of[order][1:] != of[order][:-1]) | (w[order][1:] != w[order][:-1])])
-        gram = np.empty(len(w), np.int64)
-        gram[order] = np.cumsum(new) - 1
+        gram = np.empty(len(w), np.int32)
+        gram[order] = np.cumsum(new, dtype=np.int32) - 1
+        order = order[new]
+        del new, w
+        trained = read("trained", np.uint32)
         counts = np.bincount(gram, np.concatenate(trained)).astype(np.int64)
-        which, lowers = of[order][new], np.concatenate(lower)[order][new]
-        kinds = np.stack([np.bincount(which[counts == r], minlength=contexts) for r in range(1, LARGE + 1)])
+        which, lowers = of[order], np.concatenate(read("lower"))[order]
+        del order
+        kinds = kinds_of(which, counts, contexts)
         low = lows(which, np.where(counts > 0, lowers, 0), contexts, weigh)
         edges, packed, hot = np.cumsum([0, *sizes]), [], []
         for i, (s, e) in enumerate(zip(edges, edges[1:], strict=False)):
             first = s + np.cumsum(runs[i]) - runs[i]
             # a batch that has a whole context knows as much
-            asks = (np.add.reduceat(trained[i], first - s) != ofs[i]) | (ofs[i] > limit)
+            occurs = _unpack(sent["of"][i], np.int64)
+            asks = (np.add.reduceat(trained[i], first - s, dtype=np.int64) != occurs) | (occurs > limit)
             known = of[first[asks]]
-            packed.append((_pack(counts[gram[s:e][np.repeat(asks, runs[i])]].astype(np.uint32)), _pack(kinds[:, known].astype(np.uint32)), _pack(low[:, known])))
-            hot.append(of[first[ofs[i] > limit]])
+            packed.append((_pack(counts[gram[s:e][np.repeat(asks, runs[i])]].astype(np.uint32)), _pack(kinds[:, known]), _pack(low[:, known])))
+            hot.append(of[first[occurs > limit]])
+        # what the workers keep between stages adds up
+        del runs, trained, sent, of, gram
+        trimmed()
         hot = np.unique(np.concatenate(hot))
         n, m = table.num_rows, len(hot) + 1
         none = pa.nulls(n, pa.int64())
@@ -322,7 +380,7 @@ def gram_answers(x: Grams, answers: list[dict] | None, shards: int, limit: float
     context's every occurrence, else those that it has been told."""
     whole, at = x.complete(limit), x.dealt(shards, limit)
     counts = np.where(whole[x.context], x.trained, 0).astype(np.uint32)
-    kinds = np.stack([np.bincount(x.context[x.trained == r], minlength=len(x.u)) for r in range(1, LARGE + 1)]).astype(np.uint32)
+    kinds = kinds_of(x.context, x.trained, len(x.u))
     low = low_sums(lows(x.context, np.where(x.trained > 0, x.lower, 0), len(x.u), weigh), weigh)
     kinds[:, ~whole], low[~whole] = 0, 0
     for a in answers or ():  # none where no context is in a training text
@@ -420,6 +478,7 @@ def katz_scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
     hot2, d2 = hot_sums(two)
 
     def with_pairs(batches):
+        trimmed()
         for b in batches:
             for i, row in enumerate(b.drop_columns(["keys"]).to_pylist()):
                 packed = [pa.array([_pack(x)], pa.binary()) for x in gram_answers(Batch(row).pairs(), row["two"], shards, limit, hot2, twice)]
@@ -432,6 +491,7 @@ def katz_scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
     hot3, d3 = hot_sums(three)
 
     def evaluate(batches):
+        trimmed()
         for b in batches:
             for i, row in enumerate(b.drop_columns(["keys"]).to_pylist()):
                 x = Batch(row)

@@ -750,6 +750,32 @@ def test_katz_of_small_batches_and_hot_contexts(spark, monkeypatch):
     check_katz({r.doc_id: r for r in lm.katz_scores(df, F.col("doc_id") % 5 == 1).collect()}, texts, held)
 
 
+def test_words_of_texts_are_those_of_split():
+    random.seed(23)
+    some = [None, "", " ", *("".join(random.choices("aB\0\t\n\v\f\r  \x1c\x1f\x85\xa0\u2003éÀİ", k=random.randint(1, 12))) for _ in range(2000))]
+    found, counts = lm.words_of(pa.array(["left out", *some])[1:])
+    assert counts.tolist() == [len(words_of(x)) for x in some]
+    assert [w.encode() for w in found.to_pylist()] == [w for x in some for w in words_of(x)]
+
+
+def test_numbers_take_the_bytes_they_need():
+    for top in (0, 1, 255, 256, 1 << 16, (1 << 62) - 1):
+        x = np.append(np.arange(100) % (top + 1), top)
+        assert lm._pack(x)[0] == max(1, -(-top.bit_length() // 8))
+        assert (lm._unpack(lm._pack(x), np.int64) == x).all()
+    for x in (np.zeros(0, np.uint32), np.array([-3, 5]), np.array([0.25, -1e300]), np.array([(1 << 64) - 1], np.uint64)):
+        assert (lm._unpack(lm._pack(x), x.dtype) == x).all()
+
+
+def test_order_by_two_numbers():
+    random_ = np.random.default_rng(3)
+    for top in (1, 2, 7, 8, 1000, 1 << 31, 1 << 40):
+        u, v = random_.integers(0, top, (2, 2000))
+        u[::50] = lm.NOWHERE
+        by, want = lm.by_two(u, v), np.lexsort((v, u))
+        assert (u[by] == u[want]).all() and (v[by] == v[want]).all()
+
+
 def test_answers_about_triples_are_short(spark, monkeypatch):
     """A context's sum of discounted counts is a fraction, which takes eight bytes; what it is made of takes few."""
     tables = {}
