@@ -23,6 +23,8 @@ CHARS, WORDS = (3, 5), (1, 2)
 THRESHOLD = 0.5
 #: Most labelled rows of each class that are taken for training.
 TRAINING_ROWS = 2000
+#: Parts of the labelled rows, one of which calibrates, and the fewest rows of a class that may do so alone.
+FOLDS, FEWEST = 5, 50
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\v\f\r"
 
 
@@ -134,7 +136,9 @@ def _platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
 
 
 def train(rows: list[tuple[str, int, float]], epochs: int = 6, rate: float = 0.3) -> QualityModel | None:
-    """A model from (text, quality, weight) rows; None unless both classes are there. One row in five calibrates, by weight."""
+    """A model from (text, quality, weight) rows; None unless both classes are there. One row in FOLDS calibrates, by weight.
+    Where these are fewer than FEWEST of a class, all rows calibrate, each by a model of the folds that it isn't in, and
+    the model is that of all rows: a handful would move the threshold by chance."""
     words = Vocabulary()
     # two long arrays, whose memory goes back when they do; that of many short ones would stay with the process
     every, shares, ends, known = array("i"), array("f"), [0], []
@@ -148,9 +152,29 @@ def train(rows: list[tuple[str, int, float]], epochs: int = 6, rate: float = 0.3
             ends.append(len(every)), known.append((int(quality), weight))
     every, shares = np.frombuffer(every, np.int32), np.frombuffer(shares, np.float32)
     parts = [(every[s:e], shares[s:e], *k) for s, e, k in zip(ends, ends[1:], known, strict=False)]
-    fit, held = [p for i, p in enumerate(parts) if i % 5], parts[::5]
-    if len({p[2] for p in fit}) < 2:
+    folds = [[p for i, p in enumerate(parts) if i % FOLDS != k] for k in range(FOLDS)]
+    if len({p[2] for p in folds[0]}) < 2:
         return None
+    held = parts[::FOLDS]
+    weights, bias = _fit(folds[0], epochs, rate)
+    z = [_logit(weights, bias, p) for p in held]
+    if min(sum(p[2] == k for p in held) for k in (0, 1)) < FEWEST and all(len({p[2] for p in fold}) == 2 for fold in folds):
+        for k in range(1, FOLDS):
+            other = _fit(folds[k], epochs, rate)
+            z += [_logit(*other, p) for p in parts[k::FOLDS]]
+            held = held + parts[k::FOLDS]
+        weights, bias = _fit(parts, epochs, rate)
+    y, weight = (np.array([p[k] for p in held], float) for k in (2, 3))
+    slope, shift = _platt(np.array(z), y, weight) if len(set(y)) > 1 else (1.0, 0.0)
+    return QualityModel(weights.astype(np.float32), bias, slope, shift)
+
+
+def _logit(weights: np.ndarray, bias: float, row: tuple) -> float:
+    return float(weights[row[0]] @ row[1]) + bias
+
+
+def _fit(fit: list[tuple], epochs: int, rate: float) -> tuple[np.ndarray, float]:
+    """Weights and bias from (features, shares, quality, weight) rows of both classes, which weigh the same in all."""
     weights, seen, bias, bias_seen = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-8), 0.0, 1e-8
     random = np.random.default_rng(7)
     share = sum(p[2] for p in fit) / len(fit)
@@ -164,10 +188,7 @@ def train(rows: list[tuple[str, int, float]], epochs: int = 6, rate: float = 0.3
             weights[index] -= rate * step / np.sqrt(seen[index])
             bias_seen += g * g
             bias -= rate * g / np.sqrt(bias_seen)
-    z = np.array([float(weights[i] @ v) + bias for i, v, _, _ in held])
-    y, weight = (np.array([p[k] for p in held], float) for k in (2, 3))
-    slope, shift = _platt(z, y, weight) if len(set(y)) > 1 else (1.0, 0.0)
-    return QualityModel(weights.astype(np.float32), bias, slope, shift)
+    return weights, bias
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, key: str = "doc_id", text: str = "text", label: str = "quality") -> list[tuple[str, int, float]]:

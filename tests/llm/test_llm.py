@@ -138,6 +138,20 @@ def test_quality_of_held_out_labels(spark):
     assert sum(not r.kept for r in bad) >= 0.9 * len(bad)
 
 
+def test_few_labels_calibrate_together(monkeypatch):
+    """All rows where a fifth has only a handful of a class, each by a model that hasn't seen it; else a fifth."""
+    random.seed(31)
+    rows = [(" ".join(random.choices(("good fine word text" if i % 6 else "bad junk $$$ %%% word").split(), k=30)), int(i % 6 > 0), 1.0) for i in range(90)]
+    asked = []
+    platt = quality._platt
+    monkeypatch.setattr(quality, "_platt", lambda z, y, weight: asked.append((len(z), int(sum(y)))) or platt(z, y, weight))
+    assert quality.train(rows) is not None
+    monkeypatch.setattr(quality, "FEWEST", 2)
+    assert quality.train(rows) is not None
+    assert asked == [(90, 75), (18, 15)]
+    assert quality.train([r for r in rows if r[1]]) is None
+
+
 def test_calibration_keeps_the_shares_of_the_classes(spark):
     """Texts that tell nothing, five of six good: the probability is near that share, however many rows a class may have."""
     random.seed(12)
