@@ -288,6 +288,26 @@ def test_nxml(spark, tmp_path):
     assert {(r.pmid, r.doi, r.pmcid, r.pubdate, r.license) for r in rows} == {("12", "10/x", "", 2019, "comm")}
 
 
+def test_nxml_sections_and_captions(spark):
+    """Marks, references and titles inside of pieces; titles without paragraphs, paragraphs before any title; papers without text."""
+    body = "<p>a &#x3b1;</p><sec><title>One <b>&amp;</b></title><p id='1'>x\r\ny<title>no</title></p><sec><title>Two</title></sec><sec><title/><p/><p><![CDATA[<x>]]> &quot;</p></sec></sec>"
+    xml = f"<article><front/><body>{body}</body><fig><caption><title>F.</title><p>é</p></caption></fig><fig/><fig></fig><table-wrap id='t'><caption>T<!-- - --></caption></table-wrap></article>"
+    papers = spark.createDataFrame([("/non_comm/1", xml), ("/2", None), ("/3", ""), ("/4", "<article><p></article>")], "path string, xml string")
+    rows = nxml.objects(nxml.well_formed(papers)).collect()
+    assert {(r.license, r.location, r.pmid, r.pubdate) for r in rows} == {("non_comm", "/non_comm/1", "", None)}
+    got = sorted((r.source, r.number, r.text) for r in rows)
+    assert got == sorted([("paper_title", 0, ""), ("paper_abstract", 0, ""), ("fig_caption", 0, "F.é"), ("fig_caption", 1, ""), ("tab_caption", 0, "T"), ("", 0, "a α"), ("One &", 1, "x\nyno"), ("Two", 2, '<x> "')])
+    # without a text there's still a title and an abstract
+    assert sorted((r.source, r.text) for r in nxml.objects(papers.filter("xml is null")).collect()) == [("paper_abstract", ""), ("paper_title", "")]
+
+
+def test_nxml_makes_each_paper_once(spark):
+    """Texts are made once and parsed as a whole twice, for being well-formed and for what a paper has once."""
+    made = spark.createDataFrame([("/1", PAPER)], "path string, part string").select("path", F.reverse(F.reverse(F.concat("part", F.lit(" ")))).alias("xml"))
+    plan = nxml.objects(nxml.well_formed(made))._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("reverse(reverse("), plan.count("from_xml("), plan.count(").evaluate(xml#"), plan.count("Union")) == (1, 1, 1, 0)
+
+
 def test_streaming(spark, tmp_path):
     schema = spark.createDataFrame([("a", 0)], "software string, pos long").schema
     source = str(tmp_path / "in")
