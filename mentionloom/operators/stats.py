@@ -49,6 +49,21 @@ def top_by(df: DataFrame, group: str, key: str, paper: str, k: int, value: str =
     return counts.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+#: Bytes of files that are read for one part of a join by paper.
+PART_BYTES = 24 << 20
+
+
+def by_paper(mentions: DataFrame, papers: DataFrame, paper: str) -> DataFrame:
+    """Mentions with what is known of their papers. The join's parts, in which the distinct papers are then counted, grow in
+    number with the tables and not in size: parts of a fixed number of bytes hold very many mentions, as these compress well."""
+    leaves = [plan.apply(i).stats().sizeInBytes() for df in (mentions, papers) for plan in [df._jdf.queryExecution().optimizedPlan().collectLeaves()] for i in range(plan.size())]
+    size = sum(int(str(x)) for x in leaves)
+    if size >> 60:  # a table whose size isn't known counts as 2^63 bytes
+        return mentions.join(papers, paper)
+    n = max(mentions.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+    return mentions.repartition(n, paper).join(papers.repartition(n, paper), paper)
+
+
 def field_top(df: DataFrame, text: str, keywords: list[str], key: str, paper: str, k: int) -> DataFrame:
     """Top keys among the rows whose text has a keyword."""
     return top_k(frequency(df.filter(any_keyword(F.col(text), keywords)), key, {"num_pmid": paper}), "num_pmid", key, k)

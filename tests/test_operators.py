@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import Row
@@ -11,9 +13,11 @@ from pyspark.sql import functions as F
 from mentionloom.functions import text as T
 from mentionloom.functions.similarity import jaro_winkler
 from mentionloom.operators import curate, evaluate, extract, graph, ids, link, simjoin, stats, synonyms
+from mentionloom.plans import catalogue
 from mentionloom.plans.schema import CURATION_TERMS, MENTIONS_RAW
 from mentionloom.sources import catalogs, nxml, stage, tables
 from mentionloom.streaming import ingest
+from tests.conftest import DATA
 
 
 def one(spark, value, expression):
@@ -274,6 +278,29 @@ PAPER = """<?xml version="1.0"?><article><front><article-meta><article-id pub-id
 <body><sec><title>Methods</title><p>We used <italic>R</italic> &amp; more.</p><p>Second.</p></sec><fig id="f"><caption><p>Fig one</p></caption></fig></body></article>"""
 
 
+def test_parts_of_papers_grow_in_number(spark, tmp_path, monkeypatch):
+    """Eight times the mentions are in more parts, not in larger ones; the query's parts go by the files that it reads."""
+    monkeypatch.setattr(stats, "PART_BYTES", 1 << 14, raising=False)
+    size = lambda *paths: sum(f.stat().st_size for p in paths for f in ([Path(p)] if Path(p).is_file() else Path(p).glob("*.parquet")))
+    parts = lambda *paths: max(spark.sparkContext.defaultParallelism, -(-size(*paths) // (1 << 14)))
+    tables_ = [f"{DATA}/sf0.01/{t}.parquet" for t in ("lineitem", "part", "orders")]
+    plan = catalogue.queries()["top_by_year"](spark, f"{DATA}/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    assert {int(n) for n in re.findall(r"hashpartitioning\(pmid#\d+L, (\d+)\), REPARTITION_BY_NUM", plan)} == {parts(*tables_)}
+    largest = []
+    for n in (20_000, 160_000):
+        m, p = str(tmp_path / f"m{n}"), str(tmp_path / f"p{n}")
+        spark.range(n).select(F.xxhash64(F.col("id") % (n // 4)).alias("pmid"), (F.col("id") % 7).alias("software")).write.parquet(m)
+        spark.range(n // 4).select(F.xxhash64("id").alias("pmid"), (F.col("id") % 3).alias("year")).write.parquet(p)
+        rows = stats.by_paper(spark.read.parquet(m), spark.read.parquet(p), "pmid")
+        counts = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(counts) == n
+        largest.append(max(counts))
+    assert largest[1] < 2 * largest[0]
+    # what has no known size is joined as it is
+    known = spark.createDataFrame([("a", 1), ("b", 1), ("b", None)], "software string, pmid long")
+    assert stats.by_paper(known, spark.createDataFrame([(1, 2000)], "pmid long, year int"), "pmid").count() == 2
+
+
 def test_nxml(spark, tmp_path):
     (tmp_path / "ok.nxml").write_text(PAPER)
     (tmp_path / "bad.nxml").write_text("<article><front>")
